@@ -158,7 +158,7 @@ def crop_pixels(pixels, slides, extent, mode="edge", fill=0, values=("r", "g", "
         def reach(c, last, lo, hi):
             a = F.when(F.col(c) == 0, F.least(F.lit(lo), F.lit(0))).otherwise(F.col(c))
             z = F.when(F.col(c) == last, F.greatest(F.lit(hi - 1), last)).otherwise(F.col(c))
-            return F.sequence(a.cast("int"), z.cast("int"))
+            return F.sequence(a.cast("long"), z.cast("long"))
 
         d = d.select(
             "sample", *values, F.col("x").alias("_x0"), "_w",
@@ -187,7 +187,8 @@ def window_mask_join(windows, mask, patch=224, stride=112):
     hit = (
         mask.select("sample", cover("y").alias("_t"), cover("x").alias("_l")).distinct()
         .select("sample", F.explode("_t").alias("_ti"), "_l")
-        .select("sample", (F.col("_ti") * stride).alias("top"), (F.explode("_l") * stride).alias("left"))
+        .select("sample", (F.col("_ti") * stride).alias("top"), F.explode("_l").alias("_li"))
+        .select("sample", "top", (F.col("_li") * stride).alias("left"))
         .distinct()
     )
     return windows.join(hit, ["sample", "top", "left"], "left_semi")
