@@ -125,8 +125,8 @@ def _(spark, sf):
     return G.crop_pixels(fx.pixels(spark, sf), fx.pixel_slides(spark, sf), (-4, 100, -4, 210), "constant", 255)
 
 
-@query("window_mask_join", """WITH win AS (SELECT t AS top, l AS left FROM pixel_slides, generate_series(0, height, 16) a(t), generate_series(0, width, 16) b(l))
-SELECT DISTINCT 's0' AS sample, top, left FROM win JOIN pixels ON y+16 BETWEEN top AND top+31 AND x+16 BETWEEN left AND left+31 WHERE r > 200""", ["pixels", "pixel_slides"])
+@query("window_mask_join", """WITH win AS (SELECT t AS top, l AS "left" FROM pixel_slides, generate_series(0, height, 16) a(t), generate_series(0, width, 16) b(l))
+SELECT DISTINCT 's0' AS sample, top, "left" FROM win JOIN pixels ON y+16 BETWEEN top AND top+31 AND x+16 BETWEEN "left" AND "left"+31 WHERE r > 200""", ["pixels", "pixel_slides"])
 def _(spark, sf):
     w = G.sliding_windows(fx.pixel_slides(spark, sf), 32, 16)
     return G.window_mask_join(w, fx.pixels(spark, sf).where("r > 200"), 32, 16)

@@ -35,4 +35,7 @@ def with_tables(uses, sql):
     if not need:
         return sql
     body = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in need)
-    return f"WITH {body}\n" + (", " + sql[5:] if sql.startswith("WITH ") else sql)
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(head):
+            return f"{head}{body}\n, {sql[len(head):]}"
+    return f"WITH {body}\n{sql}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.arrays import argmax_first, entropy
-from ..plans.scale import attach, exact_quantiles, global_index, hash32, settle, take_smallest
+from ..plans.scale import attach, attach_row, exact_quantiles, global_index, hash32, settle, take_smallest
 
 
 def entropy_bins(labels, n=3, y="y", by="domain_id"):
@@ -27,9 +27,9 @@ def coreset_budget(labels, frac=0.25, by="domain_id"):
     Rounding is half to even. Unknown domains (< 0) get no budget but count in N.
     """
     per = labels.groupBy(by).agg(F.count(F.lit(1)).alias("n_domain"))
-    tot = per.agg(F.sum("n_domain").alias("_all")).withColumn("_k", F.lit(1))
+    tot = per.agg(F.sum("n_domain").alias("_all"))
     keep = F.greatest(F.lit(1), F.ceil(F.lit(float(frac)) * F.col("_all")))
-    return attach(per.withColumn("_k", F.lit(1)), tot, "_k").where(F.col(by) >= 0).select(
+    return attach_row(per, tot).where(F.col(by) >= 0).select(
         by, "n_domain",
         F.greatest(F.lit(1), F.rint(keep * F.col("n_domain") / F.col("_all"))).cast("long").alias("budget"),
     )
@@ -145,11 +145,10 @@ def domain_counts(examples, by="domain_id"):
 def inverse_weights(examples, by="domain_id", out="weight"):
     """1 / n(domain); 1.0 for unknown domains, and for all when fewer than two domains are known."""
     n = domain_counts(examples, by)
-    k = n.agg(F.count(F.lit(1)).alias("_nd")).withColumn("_one", F.lit(1))
-    d = attach(attach(examples, n.withColumnRenamed("n", "_n"), by).withColumn("_one", F.lit(1)), k, "_one")
+    d = attach_row(attach(examples, n.withColumnRenamed("n", "_n"), by), n.agg(F.count(F.lit(1)).alias("_nd")))
     return d.withColumn(
         out, F.when((F.col("_nd") >= 2) & F.col("_n").isNotNull(), F.lit(1.0) / F.col("_n")).otherwise(1.0)
-    ).drop("_n", "_nd", "_one")
+    ).drop("_n", "_nd")
 
 
 def weighted_resample(examples, n, seed=0, ids="id", by="domain_id", scheme="xx"):
@@ -159,26 +158,26 @@ def weighted_resample(examples, n, seed=0, ids="id", by="domain_id", scheme="xx"
     slot among domains and unknown rows, then a position inside it; rows are found
     by an equi-join on their global position.
     """
-    nd = domain_counts(examples, by).agg(F.count(F.lit(1)).alias("_nd")).withColumn("_one", F.lit(1))
-    d = attach(examples.select(ids, by).withColumn("_one", F.lit(1)), nd, "_one").withColumn(
+    nd = domain_counts(examples, by).agg(F.count(F.lit(1)).alias("_nd"))
+    d = attach_row(examples.select(ids, by), nd).withColumn(
         "_g", F.when((F.col("_nd") >= 2) & (F.col(by) >= 0), F.col(by)).otherwise(-1)
     )
     rows = settle(global_index(d.select(ids, by, "_g"), ["_g", ids], "_pos"))
-    grp = rows.groupBy("_g").agg(F.min("_pos").alias("_off"), F.count(F.lit(1)).alias("_n"))
+    grp = settle(rows.groupBy("_g").agg(F.min("_pos").alias("_off"), F.count(F.lit(1)).alias("_n")))
     # one row per domain; unknown rows take the last slot
     known = F.col("_g") >= 0
     grp = grp.withColumn("_slot", F.when(known, F.row_number().over(Window.partitionBy(known).orderBy("_g")) - 1))
     tot = grp.agg(
         F.count(F.when(known, 1)).alias("_d"), F.coalesce(F.sum(F.when(~known, F.col("_n"))), F.lit(0)).alias("_u")
-    ).withColumn("_one", F.lit(1))
-    grp = attach(grp.withColumn("_one", F.lit(1)), tot, "_one").select(
+    )
+    grp = attach_row(grp, tot).select(
         F.coalesce(F.col("_slot"), F.col("_d")).cast("long").alias("_slot"), "_off", "_n"
     )
     draws = examples.sparkSession.range(n).withColumnRenamed("id", "draw")
     # fixed value: multiplier that decorrelates the second arithmetic draw
     u1 = hash32("draw", seed, scheme) / 4294967296.0
     u2 = hash32(F.col("draw") * 69069 + 1, seed, scheme) / 4294967296.0
-    draws = attach(draws.withColumns({"_one": F.lit(1), "_u1": u1, "_u2": u2}), tot, "_one").withColumn(
+    draws = attach_row(draws.withColumns({"_u1": u1, "_u2": u2}), tot).withColumn(
         "_x", F.floor(F.col("_u1") * (F.col("_d") + F.col("_u")))
     ).withColumn("_slot", F.least(F.col("_x"), F.col("_d")))
     draws = attach(draws, grp, "_slot", "inner").withColumn(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.scale import attach, settle
+from ..plans.scale import attach, attach_row
 
 
 def min_umi_reference(counts, min_umi=10, cell="cell", cnt="cnt"):
@@ -45,14 +45,14 @@ def deconvolve(counts, profile, iters=50, spot="spot", spots_per_task=64):
     Genes outside the profile are ignored; spots without any shared gene are absent.
     """
     classes = profile.select("ctype").distinct()
-    names = classes.agg(F.array_sort(F.collect_list("ctype")).alias("_names")).withColumn("_one", F.lit(1))
+    names = classes.agg(F.array_sort(F.collect_list("ctype")).alias("_names"))
     by_gene = profile.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("ctype", "mu"))).alias("_m"))
-    vec = attach(by_gene.withColumn("_one", F.lit(1)), names, "_one").select(
+    vec = attach_row(by_gene, names).select(
         "gene", "_names", F.transform("_names", lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0))).alias("_mu")
     )
     sums = profile.groupBy("ctype").agg(F.sum("mu").alias("_s"))
     total = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("ctype", "_s"))), lambda t: t["_s"]).alias("_tot"))
-    vec = attach(vec.withColumn("_one", F.lit(1)), total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    vec = attach_row(vec, total)
     n = counts.agg(F.approx_count_distinct(spot)).first()[0] or 1
     tasks = max(1, -(-int(n) // spots_per_task))
     d = attach(counts.where(F.col("cnt") > 0), vec, "gene", "inner").withColumn("_t", F.pmod(F.xxhash64(spot), F.lit(tasks)))

@@ -132,9 +132,10 @@ def _focal(grid, slides, weights, value, block):
         mean[~ok[core]] = np.nan
         res = pd.DataFrame({"sample": pdf["sample"][core], "row": pdf["row"][core], "col": pdf["col"][core]})
         present = ok[core]
-        res[value] = [m.tolist() if p else None for m, p in zip(mean, present)] if vector else [
-            float(m[0]) if p else None for m, p in zip(mean, present)
-        ]
+        if vector:
+            res[value] = pd.Series([m.tolist() if p else None for m, p in zip(mean, present)], index=res.index, dtype=object)
+        else:
+            res[value] = mean[:, 0]
         return res
 
     kind = grid.schema["sample"].dataType.simpleString()

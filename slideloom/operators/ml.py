@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window, functions as F
 
 from ..functions.arrays import all_finite, doubles, l2_normalise
-from ..plans.scale import attach, exact_quantiles, hash32, settle
+from ..plans.scale import attach, attach_row, exact_quantiles, hash32, settle
 
 
 def _moments(df, feat):
@@ -20,15 +20,15 @@ def _moments(df, feat):
     return s.select(
         vector_to_array("_s.mean").alias("_mean"),
         F.transform(vector_to_array("_s.variance"), lambda v: F.sqrt(F.greatest(v, F.lit(0.0)) * (n - 1) / n)).alias("_sd"),
-    ).withColumn("_one", F.lit(1))
+    )
 
 
 def _scaled(df, moments, feat, eps, sd=True):
-    d = attach(df.withColumn("_one", F.lit(1)), moments, "_one")
+    d = attach_row(df, moments)
     out = F.zip_with(doubles(feat), "_mean", lambda x, m: x - m)
     if sd:
         out = F.zip_with(out, "_sd", lambda x, s: x / (s + eps))
-    return d.withColumn(feat, out).drop("_one", "_mean", "_sd")
+    return d.withColumn(feat, out).drop("_mean", "_sd")
 
 
 def standardise(df, feat="feat", eps=1e-12):
@@ -70,96 +70,98 @@ def kmeans_sweep(df, ks=(5, 10, 15, 20, 25, 30), seed=42, feat="feat", keys=("sa
     return reduce(lambda a, b: a.unionByName(b), runs)
 
 
-def gmm(df, feats=("homogeneity", "energy", "entropy"), k=4, by="sample", keys=("row", "col"), iters=25, ridge=1e-6):
+def gmm(df, feats=("homogeneity", "energy", "entropy"), k=4, by="sample", keys=("row", "col"), iters=100, tol=1e-3, ridge=1e-6):
     """Gaussian mixture with full covariances, fitted for all samples at once.
 
-    Start: quantile groups of the first feature. Each round, rows meet their sample's
-    parameters, tasks add up responsibilities per sample and component, and only
-    these sums are shuffled. Returns (by, keys, feats, cluster).
+    Start: quantile groups of the first feature. Each round, tasks add up
+    responsibilities per sample and component in one pass over the rows; only these
+    sums are shuffled, and the driver turns them into the next parameters (a few
+    dozen numbers per sample). Ends when no sample's mean log-likelihood moves by
+    more than ``tol``. Returns (by, keys, feats, cluster).
     """
+    import numpy as np
+
     feats, keys = list(feats), list(keys)
     d = len(feats)
     kind = df.schema[by].dataType.simpleString()
-    rows = settle(df.select(by, *keys, *[F.col(f).cast("double").alias(f) for f in feats]).where(
-        sum((F.when(F.col(f).isNull(), 1).otherwise(0) for f in feats), F.lit(0)) == 0
-    ))
+    rows = settle(df.select(by, *keys, *[F.col(f).cast("double").alias(f) for f in feats]).dropna(subset=feats))
     cuts = exact_quantiles(rows, [by], feats[0], [i / k for i in range(1, k)], [f"_c{i}" for i in range(1, k)])
     start = attach(rows, cuts, by).withColumn(
         "k", sum((F.when(F.col(feats[0]) > F.col(f"_c{i}"), 1).otherwise(0) for i in range(1, k)), F.lit(0))
     )
     quad = [(i, j) for i in range(d) for j in range(i, d)]
-    names = ["n"] + [f"s{i}" for i in range(d)] + [f"q{i}_{j}" for i, j in quad]
+    names = ["n", "ll"] + [f"s{i}" for i in range(d)] + [f"q{i}_{j}" for i, j in quad]
     x = [F.col(f) for f in feats]
     stats = start.groupBy(by, "k").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(d)],
-        *[F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i, j in quad],
+        F.count(F.lit(1)).cast("double").alias("n"), F.lit(float("-inf")).alias("ll"),
+        *[F.sum(x[i]).alias(f"s{i}") for i in range(d)], *[F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i, j in quad],
     )
 
-    def solve(pdf):
-        import numpy as np
-        import pandas as pd
-
-        tot = pdf["n"].sum()
-        w, mu, prec, logdet = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), np.zeros(k)
-        for _, r in pdf.iterrows():
-            c, n = int(r["k"]), max(r["n"], 1e-12)
+    def solve(sums):
+        """Weights, means, precisions and log-determinants per sample from the collected sums."""
+        model, ll = {}, {}
+        for r in sums:
+            if r[by] not in model:
+                model[r[by]] = (np.zeros(k), np.zeros((k, d)), np.tile(np.eye(d), (k, 1, 1)), np.zeros(k))
+                ll[r[by]] = r["ll"]
+            w, mu, prec, logdet = model[r[by]]
+            c, n = r["k"], max(r["n"], 1e-12)
             m = np.array([r[f"s{i}"] for i in range(d)]) / n
             cov = np.zeros((d, d))
             for i, j in quad:
                 cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / n - m[i] * m[j]
             cov += ridge * np.eye(d)
-            w[c], mu[c], prec[c], logdet[c] = r["n"] / tot, m, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
-        flat = np.concatenate([w, mu.ravel(), prec.ravel(), logdet])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "_p": [flat.tolist()]})
-
-    def respond(pdf):
-        import numpy as np
-
-        v = pdf[feats].to_numpy(dtype=float)
-        par = np.stack(pdf["_p"].to_numpy())
-        w, mu = par[:, :k], par[:, k:k + k * d].reshape(-1, k, d)
-        prec = par[:, k + k * d:k + k * d + k * d * d].reshape(-1, k, d, d)
+            w[c], mu[c], prec[c], logdet[c] = r["n"], m, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+        mean_ll = {}
+        for s, (w, *_rest) in model.items():
+            mean_ll[s] = ll[s] / w.sum()
+            w /= w.sum()
+        return model, mean_ll
+
+    def respond(v, par):
+        w, mu, prec, logdet = par
         diff = v[:, None, :] - mu
-        maha = np.einsum("nki,nkij,nkj->nk", diff, prec, diff)
         with np.errstate(divide="ignore"):
-            lp = np.log(w) - 0.5 * (maha + par[:, -k:])
-        lp -= lp.max(axis=1, keepdims=True)
-        r = np.exp(lp)
-        return v, r / r.sum(axis=1, keepdims=True)
+            lp = np.log(w) - 0.5 * (np.einsum("nki,kij,nkj->nk", diff, prec, diff) + logdet + d * np.log(2 * np.pi))
+        top = lp.max(axis=1, keepdims=True)
+        e = np.exp(lp - top)
+        return e / e.sum(axis=1, keepdims=True), float((top[:, 0] + np.log(e.sum(axis=1))).sum())
 
-    def sums(batches):
-        import numpy as np
-        import pandas as pd
+    def totals(model):
+        def run(batches):
+            import pandas as pd
 
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v, r = respond(pdf)
-            cols = np.concatenate([np.ones((len(v), 1)), v, np.stack([v[:, i] * v[:, j] for i, j in quad], 1)], 1)
-            for s, at in pdf.groupby(by, sort=False).indices.items():
-                part = r[at].T @ cols[at]
-                out = pd.DataFrame(part, columns=names)
-                out[by], out["k"] = s, np.arange(k, dtype="int32")
-                yield out[[by, "k", *names]]
+            for pdf in batches:
+                for s, at in pdf.groupby(by, sort=False).indices.items():
+                    v = pdf[feats].to_numpy(dtype=float)[at]
+                    r, ll = respond(v, model[s])
+                    cols = np.concatenate([v, np.stack([v[:, i] * v[:, j] for i, j in quad], 1)], 1)
+                    out = pd.DataFrame(np.column_stack([r.sum(0), np.full(k, ll), r.T @ cols]), columns=names)
+                    out[by], out["k"] = s, np.arange(k, dtype="int32")
+                    yield out[[by, "k", *names]]
+
+        return run
+
+    stat_schema = f"{by} {kind}, k int, " + ", ".join(f"{c} double" for c in names)
+    model, before = solve(stats.collect())  # k rows per sample
+    for _ in range(iters):
+        sums = rows.mapInPandas(totals(model), stat_schema).groupBy(by, "k").agg(*[F.sum(c).alias(c) for c in names])
+        model, now = solve(sums.collect())
+        if all(abs(now[s] - before[s]) < tol for s in now):
+            break
+        before = now
 
     def label(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
             out = pdf[[by, *keys, *feats]].copy()
-            out["cluster"] = respond(pdf)[1].argmax(axis=1).astype("int32")
+            out["cluster"] = np.int32(0)
+            v = pdf[feats].to_numpy(dtype=float)
+            for s, at in pdf.groupby(by, sort=False).indices.items():
+                out.iloc[at, -1] = respond(v[at], model[s])[0].argmax(axis=1).astype("int32")
             yield out
 
-    stat_schema = f"{by} {kind}, k int, " + ", ".join(f"{c} double" for c in names)
-    for _ in range(iters):
-        params = stats.groupBy(by).applyInPandas(solve, f"{by} {kind}, _p array<double>")
-        stats = settle(
-            attach(rows, params, by, "inner").mapInPandas(sums, stat_schema)
-            .groupBy(by, "k").agg(*[F.sum(c).alias(c) for c in names])
-        )
-    params = stats.groupBy(by).applyInPandas(solve, f"{by} {kind}, _p array<double>")
     cols = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [by, *keys, *feats])
-    return attach(rows, params, by, "inner").mapInPandas(label, cols + ", cluster int")
+    return rows.mapInPandas(label, cols + ", cluster int")
 
 
 def harmonise_batches(df, batch="sample", ids="id", feat="pc", clusters=None, rounds=3, sigma=0.1, theta=2.0, ridge=1.0, seed=42):
@@ -468,7 +470,7 @@ def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id
         found = top(found.unionByName(nearest(more))).drop("_r")
     w = F.lit(1.0) if weights == "uniform" else F.lit(1.0) / (F.col("dist") + 1e-12)
     hit = found.join(train.select(train_id, *[F.col(t).cast("double") for t in targets]), train_id).withColumn("_w", w)
-    mean = hit.groupBy(query_id).agg(F.sum("_w").alias("_W"), *[(F.sum(F.col("_w") * F.col(t)) / F.sum("_w")).alias(f"_m_{t}") for t in targets])
+    mean = hit.groupBy(query_id).agg(F.sum("_w").alias("_tw"), *[(F.sum(F.col("_w") * F.col(t)) / F.sum("_w")).alias(f"_m_{t}") for t in targets])
     var = hit.join(mean, query_id).groupBy(query_id).agg(*[
         F.struct(
             F.lit(t).alias("target"), F.max(f"_m_{t}").alias("mean"),

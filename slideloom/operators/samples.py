@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import glob_regex
-from ..plans.scale import attach
+from ..plans.scale import attach, attach_row
 
 # fixed values: technology name to resolution id
 TECH_RESOLUTION = {"vis": 0, "xen": 1}
@@ -52,9 +52,8 @@ def domain_join(df, domains, on="sample", domain="domain_id"):
 
 def domain_offset(samples, base, name="sample", domain="domain_id"):
     """Ids for a second modality that continue after the largest id of ``base`` (-1 when empty)."""
-    top = base.agg(F.coalesce(F.max(domain), F.lit(-1)).alias("_top")).withColumn("_k", F.lit(1))
-    ranked = rank_domains(samples, name, "_r").withColumn("_k", F.lit(1))
-    return attach(ranked, top, "_k").select(name, (F.col("_top") + 1 + F.col("_r")).cast("int").alias(domain))
+    top = base.agg(F.coalesce(F.max(domain), F.lit(-1)).alias("_top"))
+    return attach_row(rank_domains(samples, name, "_r"), top).select(name, (F.col("_top") + 1 + F.col("_r")).cast("int").alias(domain))
 
 
 def infer_group(df, groups, name="sample", out="group"):
@@ -126,9 +125,9 @@ def validate_layout(files, samples, requirements, radius=None, spot_counts=None)
     if radius is not None:
         common = (
             radius.groupBy("radius").agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.min_by("radius", F.struct(-F.col("n"), F.col("radius"))).alias("_want")).withColumn("_k", F.lit(1))
+            .agg(F.min_by("radius", F.struct(-F.col("n"), F.col("radius"))).alias("_want"))
         )
-        bad = attach(radius.withColumn("_k", F.lit(1)), common, "_k").where(
+        bad = attach_row(radius, common).where(
             F.col("radius").isNull() | (F.col("radius") != F.col("_want"))
         )
         out = out.unionByName(bad.select("sample", F.lit("error").alias("level"), F.lit("radius mismatch").alias("problem")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import micron_per_pixel
-from ..plans.scale import attach
+from ..plans.scale import attach, attach_row
 
 # fixed values: pixel size of one imaging platform (micron), and resolutions that cameras write by default
 UM_PER_PX = 0.2125
@@ -75,8 +75,7 @@ def audit_resolution(df, target=0.5):
         "status", F.when(F.col("mpp").isNull(), "failed").when(F.col("scale") > 1.0, "upscale").otherwise("ok")
     )
     groups = d.where(F.col("mpp").isNotNull()).groupBy("mpp4").agg(F.count(F.lit(1)).alias("n_same"))
-    total = groups.agg(F.count(F.lit(1)).alias("n_resolutions")).withColumn("_k", F.lit(1))
-    return attach(attach(d, groups, "mpp4").withColumn("_k", F.lit(1)), total, "_k").drop("_k")
+    return attach_row(attach(d, groups, "mpp4"), groups.agg(F.count(F.lit(1)).alias("n_resolutions")))
 
 
 def audit_failures(audited, ext="extension"):

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Window, functions as F
 
-from ..plans.scale import attach
+from ..plans.scale import attach, attach_row
 
 
 def in_tissue(pos, flag="in_tissue"):
@@ -76,10 +76,10 @@ def label_vectors(props, vocab, keys, ctype="ctype", p="p"):
 
     ``vocab(class_idx, ctype)`` has one row per class; absent classes are 0.
     """
-    k = vocab.agg(F.max("class_idx").alias("_k")).withColumn("_one", F.lit(1))
+    k = vocab.agg(F.max("class_idx").alias("_k"))
     d = attach(props, vocab.select("class_idx", F.col("ctype").alias(ctype)), ctype, "inner")
     m = d.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class_idx", p))).alias("_m"))
-    return attach(m.withColumn("_one", F.lit(1)), k, "_one").select(
+    return attach_row(m, k).select(
         *keys,
         F.transform(F.sequence(F.lit(0), F.col("_k").cast("int")), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("y"),
     )
@@ -90,8 +90,8 @@ def variance_order(props, n_spots, ctype="ctype", p="p"):
 
     ``n_spots`` is a one-row frame (n). Sums are pre-aggregated per class.
     """
-    s = props.groupBy(ctype).agg(F.sum(p).alias("_s"), F.sum(F.col(p) * F.col(p)).alias("_q")).withColumn("_k", F.lit(1))
-    d = attach(s, n_spots.select(F.col("n").cast("double").alias("_n")).withColumn("_k", F.lit(1)), "_k")
+    s = props.groupBy(ctype).agg(F.sum(p).alias("_s"), F.sum(F.col(p) * F.col(p)).alias("_q"))
+    d = attach_row(s, n_spots.select(F.col("n").cast("double").alias("_n")))
     var = F.when(F.col("_n") > 1, (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / F.nullif(F.col("_n") - 1, F.lit(0.0)))
     # one row per class
     return d.select(ctype, var.alias("variance")).withColumn(

@@ -2,6 +2,7 @@
 
 * ``settle``          cut lineage through a table in the shared folder
 * ``attach``          join a small per-group table; Spark checks its size
+* ``attach_row``      join a one-row global aggregate
 * ``salted_pair``     equi-join whose hot keys are split on both sides
 * ``flag_smallest``   exact "n smallest per group" without one task per group
 * ``exact_quantiles`` exact quantiles without a whole group in one buffer
@@ -61,6 +62,12 @@ def attach(df: DataFrame, small: DataFrame, on, how="left") -> DataFrame:
     return df.join(settle(small), on, how)
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate, which is one row by construction, to every row."""
+    one = F.lit(1)
+    return df.withColumn("_one", one).join(F.broadcast(row.withColumn("_one", one)), "_one").drop("_one")
+
+
 def hash32(ids, seed=0, scheme="xx"):
     """Sampling key in [0, 2**32). ``mul`` is plain arithmetic on an integer id."""
     cols = [F.col(c) if isinstance(c, str) else c for c in (ids if isinstance(ids, (list, tuple)) else [ids])]
@@ -155,7 +162,8 @@ def exact_quantiles(df, groups, value, probs, names=None, accuracy=10_000):
     A bounded sketch brackets each quantile; the rows inside the brackets are then
     counted by value and ranked. The sketch's rank error is at most n/accuracy, so
     a bracket of a few times that width always holds the wanted ranks; a miss
-    raises an error instead of giving a wrong value.
+    raises an error instead of giving a wrong value. Groups of at most 2*accuracy
+    rows, where the width would be under two ranks, are ranked whole.
     """
     names = names or [f"q{i}" for i in range(len(probs))]
     groups = list(groups)
@@ -167,10 +175,13 @@ def exact_quantiles(df, groups, value, probs, names=None, accuracy=10_000):
     df = df.where(v.isNotNull()).select(*groups, v.alias("_v"))
     pad = 4.0 / accuracy
     aggs = [F.count(F.lit(1)).alias("_n")]
+    few = F.count(F.lit(1)) <= 2 * accuracy
     for i, p in enumerate(probs):
         lo, hi = p - pad, p + pad
-        aggs.append((F.min("_v") if lo <= 0 else F.percentile_approx("_v", lo, accuracy)).alias(f"_lo{i}"))
-        aggs.append((F.max("_v") if hi >= 1 else F.percentile_approx("_v", hi, accuracy)).alias(f"_hi{i}"))
+        near_lo = F.min("_v") if lo <= 0 else F.percentile_approx("_v", lo, accuracy)
+        near_hi = F.max("_v") if hi >= 1 else F.percentile_approx("_v", hi, accuracy)
+        aggs.append(F.when(few, F.min("_v")).otherwise(near_lo).alias(f"_lo{i}"))
+        aggs.append(F.when(few, F.max("_v")).otherwise(near_hi).alias(f"_hi{i}"))
     brackets = settle(df.groupBy(*groups).agg(*aggs))
     near = F.filter(
         F.array(*[

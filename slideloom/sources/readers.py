@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..plans.scale import attach
+from ..plans.scale import attach, attach_row
 
 # fixed values: column names of the positions file without a header
 POSITION_SCHEMA = "barcode string, in_tissue int, array_row int, array_col int, pxl_row int, pxl_col int"
@@ -53,8 +53,8 @@ def read_sparse_counts(spark, mtx, features, barcodes, feature_type="Gene Expres
     feats = numbered(features, ["id", "symbol", "type"])
     some = feats.where(F.col("type").isNull() | (F.col("type") == feature_type)).agg(
         F.max(F.coalesce(F.length("symbol"), F.lit(0))).alias("_len")
-    ).withColumn("_one", F.lit(1))
-    feats = attach(feats.withColumn("_one", F.lit(1)), some, "_one").where(
+    )
+    feats = attach_row(feats, some).where(
         F.col("type").isNull() | (F.col("type") == feature_type)
     ).select(F.col("_i").alias("_g"), F.when(F.col("_len") > 0, F.col("symbol")).otherwise(F.col("id")).alias("gene"))
     bars = numbered(barcodes, ["spot"]).withColumnRenamed("_i", "_b")
