@@ -4,5 +4,5 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL
 
-for _m in ("manifest", "geometry", "spatial", "expression", "masks", "texture", "sampling"):
+for _m in ("manifest", "geometry", "spatial", "expression", "masks", "texture", "sampling", "scoring", "models"):
     import_module(f"{__name__}.{_m}")

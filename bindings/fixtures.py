@@ -190,7 +190,7 @@ def patches(spark, sf):
 cte("score_long", """SELECT sample, row, col, vec_id, label, state, k, exp(logit-m)/sum(exp(logit-m)) OVER (PARTITION BY vec_id, state) AS p FROM (
  SELECT *, max(logit) OVER (PARTITION BY vec_id, state) AS m FROM (
  SELECT sample, row, col, vec_id, label, s AS state, dim//8 AS k, s*sum(v) AS logit
- FROM token_dims, (VALUES (1),(2),(3),(4)) t(s) GROUP BY ALL))""", ("token_dims",))
+ FROM token_dims, (VALUES (1),(2),(3),(4)) t(s) GROUP BY sample, row, col, vec_id, label, s, dim//8))""", ("token_dims",))
 cte("latent_long", """SELECT sample, row, col, s AS state, dim,
  CASE s WHEN 1 THEN v WHEN 2 THEN 3*v*v WHEN 3 THEN -v ELSE 0.1 END AS z
  FROM token_dims, (VALUES (1),(2),(3),(4)) t(s)""", ("token_dims",))

@@ -107,7 +107,7 @@ _SEG = "SELECT (dense_rank() OVER (ORDER BY s)-1)::INT AS class_idx, s FROM (SEL
 def _(spark, sf):
     c = fx.cells(spark, sf).withColumnRenamed("cell_state", "cell_type")
     v = rank_domains(c.where("cell_type <> 'MACHINERY'"), "cell_type", "class_idx").withColumnRenamed("cell_type", "ctype")
-    return C.label_matrix(c, v, 4).select("cell_id", "class_idx", "valid", *[F.get("y", F.lit(i)).alias(f"y{i}") for i in range(4)])
+    return C.label_matrix(c, v, 4).select("cell_id", "class_idx", "valid", *[F.get("onehot", F.lit(i)).alias(f"y{i}") for i in range(4)])
 
 
 # --- spots ------------------------------------------------------------------

@@ -25,13 +25,13 @@ def annotate_cells(cells, ann, mapping, on="cell_id", label="cell_state", out="c
     return attach(joined, m, label)
 
 
-def label_matrix(cells, vocab, n_classes, label="cell_type"):
+def label_matrix(cells, vocab, n_classes, label="cell_type", out="onehot"):
     """Class index, validity flag and one-hot vector for each cell."""
     v = vocab.select("class_idx", F.col("ctype").alias(label))
     d = attach(cells, v, label)
     return d.withColumns({
         "valid": F.col("class_idx").isNotNull(),
-        "y": one_hot(F.coalesce("class_idx", F.lit(-1)), n_classes),
+        out: one_hot(F.coalesce("class_idx", F.lit(-1)), n_classes),
     })
 
 
