@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slideloom.functions.arrays import softmax
-from slideloom.plans.scale import attach
+from slideloom.plans.scale import attach, settle
 
 
 def table(spark, sf, name):
@@ -79,7 +79,7 @@ def label_table(spark, sf):
     """(spot, domain_id, y)"""
     from slideloom.operators.spots import label_vectors
 
-    return label_vectors(props(spark, sf), vocab(spark, sf), ["spot", "domain_id"])
+    return settle(label_vectors(props(spark, sf), vocab(spark, sf), ["spot", "domain_id"]))
 
 
 # --- counts ---------------------------------------------------------------

@@ -62,7 +62,7 @@ def _ring(df, r):
     return df.withColumn("_gx", F.explode(near("x"))).withColumn("_gy", F.explode(near("y")))
 
 
-def radius_join(cells, bins, r, key="sample", cell="cell_id", bin_="bin_id", hot_rows=200_000):
+def radius_join(cells, bins, r, key="sample", cell="cell_id", bin_="bin_id", hot_rows=200_000, broadcast_rows=500_000):
     """All (cell, bin) pairs at distance <= r, with squared distance.
 
     Buckets of side r turn the range condition into an equi-join. Cells, the
@@ -73,19 +73,19 @@ def radius_join(cells, bins, r, key="sample", cell="cell_id", bin_="bin_id", hot
     b = _bucket(bins.select(key, bin_, "x", "y"), r).withColumnsRenamed({"x": "_bx", "y": "_by"})
     dx, dy = F.col("_cx") - F.col("_bx"), F.col("_cy") - F.col("_by")
     return (
-        salted_pair(b, c, [key, "_gx", "_gy"], bin_, cell, hot_rows)
+        salted_pair(b, c, [key, "_gx", "_gy"], bin_, cell, hot_rows, broadcast_rows)
         .withColumn("dist2", dx * dx + dy * dy)
         .where(F.col("dist2") <= r * r)
         .select(key, cell, bin_, "dist2")
     )
 
 
-def nearest_neighbour(points, key="sample", id_col="id", start=None, occupancy=64):
+def nearest_neighbour(points, key="sample", id_col="id", start=None, occupancy=64, broadcast_rows=20_000):
     """Distance from each point to the nearest other point (0 for co-located points, NULL if alone).
 
     Co-located points are merged first. The bucket side starts small enough that no
-    bucket holds more than ``occupancy`` sites, then doubles. Only sites without a
-    certified neighbour go on to the next side, so a coarse bucket meets few of them
+    bucket holds more than ``occupancy`` sites, then grows fourfold. Only sites without
+    a certified neighbour go on to the next side, so a coarse bucket meets few of them
     and the number of compared pairs stays linear.
     """
     sites = settle(points.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("_n")))
@@ -94,22 +94,31 @@ def nearest_neighbour(points, key="sample", id_col="id", start=None, occupancy=6
         F.count(F.lit(1)).alias("n"),
     ).agg(
         F.max(F.greatest("w", "h")).alias("side"),
-        F.min(F.sqrt(F.greatest("w", F.lit(1e-9)) * F.greatest("h", F.lit(1e-9)) / F.col("n"))).alias("step"),
+        F.min(F.when(F.col("w") * F.col("h") > 0, F.sqrt(F.col("w") * F.col("h") / F.col("n")))).alias("step"),
     ).first()
     side = float(ext["side"] or 0.0)
-    r = float(start or ext["step"] or 1.0)
-    while side and r > side * 2.0 ** -40:
-        full = _bucket(sites, r).groupBy(key, "_gx", "_gy").agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0]
-        if full <= occupancy:
+    r = float(start or ext["step"] or side or 1.0)
+    while side and r > side * 4.0 ** -20:
+        # five candidate sides in one pass
+        sides = [r / 4.0 ** i for i in range(5)]
+        at = F.posexplode(F.array(*[F.struct(F.floor(F.col("x") / v).alias("gx"), F.floor(F.col("y") / v).alias("gy")) for v in sides]))
+        full = {
+            q["i"]: q["k"] for q in sites.select(key, at.alias("i", "g")).groupBy(key, "i", "g").agg(F.count(F.lit(1)).alias("k"))
+            .groupBy("i").agg(F.max("k").alias("k")).collect()
+        }
+        fit = [i for i in range(5) if full.get(i, 0) <= occupancy]
+        r = sides[fit[0]] if fit else sides[-1] / 4.0
+        if fit:
             break
-        r /= 2
     found = sites.where(F.col("_n") > 1).select(key, "x", "y", F.lit(0.0).alias("nn_dist"))
     todo = sites.where(F.col("_n") == 1).select(key, "x", "y")
     while True:
+        few = todo.limit(broadcast_rows + 1).count() <= broadcast_rows
         q = _ring(todo, r).withColumnsRenamed({"x": "_qx", "y": "_qy"})
+        q = F.broadcast(q) if few else q.hint("merge")
         dx, dy = F.col("_qx") - F.col("x"), F.col("_qy") - F.col("y")
         best = (
-            q.join(_bucket(sites.select(key, "x", "y"), r), [key, "_gx", "_gy"])
+            _bucket(sites.select(key, "x", "y"), r).join(q, [key, "_gx", "_gy"])
             .withColumn("_d2", (dx * dx + dy * dy).cast("double")).where(F.col("_d2") > 0)
             .groupBy(key, "_qx", "_qy").agg(F.min("_d2").alias("_d2"))
             .withColumnsRenamed({"_qx": "x", "_qy": "y"})
@@ -121,7 +130,7 @@ def nearest_neighbour(points, key="sample", id_col="id", start=None, occupancy=6
         todo = res.where(F.col("_d2").isNull() | (F.col("_d2") > r * r)).select(key, "x", "y")
         if last or todo.isEmpty():
             break
-        r *= 2
+        r *= 4
     return points.select(key, id_col, "x", "y").join(found, [key, "x", "y"]).select(key, id_col, "nn_dist")
 
 

@@ -36,12 +36,12 @@ def normalise_weights(w, by=("spot",), col="weight", out="p"):
     return w.join(tot, list(by)).withColumn(out, F.col(col) / F.nullif(F.col("_t"), F.lit(0.0))).drop("_t")
 
 
-def deconvolve(counts, profile, iters=50, spot="spot", spots_per_task=64):
+def deconvolve(counts, profile, iters=50, spot="spot", rows_per_task=40_000):
     """Cell-type proportions of each spot for a fixed profile, by EM for a Poisson mixture.
 
     w_k <- w_k (sum_g y_g mu_gk / yhat_g) / (sum_g mu_gk), from equal weights.
-    Profile vectors join on gene; spots are then grouped a few dozen per task, so the
-    iterations need no further shuffle. ``delta`` is the last change of the weights.
+    Profile vectors join on gene; spots are then grouped by hash into tasks of about
+    ``rows_per_task`` counts, so the iterations need no further shuffle. ``delta`` is the last change of the weights.
     Genes outside the profile are ignored; spots without any shared gene are absent.
     """
     classes = profile.select("ctype").distinct()
@@ -53,27 +53,26 @@ def deconvolve(counts, profile, iters=50, spot="spot", spots_per_task=64):
     sums = profile.groupBy("ctype").agg(F.sum("mu").alias("_s"))
     total = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("ctype", "_s"))), lambda t: t["_s"]).alias("_tot"))
     vec = attach_row(vec, total)
-    n = counts.agg(F.approx_count_distinct(spot)).first()[0] or 1
-    tasks = max(1, -(-int(n) // spots_per_task))
+    tasks = max(1, -(-counts.count() // rows_per_task))
     d = attach(counts.where(F.col("cnt") > 0), vec, "gene", "inner").withColumn("_t", F.pmod(F.xxhash64(spot), F.lit(tasks)))
 
     def fit(pdf):
         import numpy as np
         import pandas as pd
 
-        genes, gi = np.unique(pdf["gene"].to_numpy(), return_inverse=True)
         spots, si = np.unique(pdf[spot].to_numpy(), return_inverse=True)
-        first = np.unique(gi, return_index=True)[1]
-        mu = np.stack([np.asarray(v, dtype=float) for v in pdf["_mu"].iloc[first]])
+        order = np.argsort(si, kind="stable")
+        si = si[order]
+        begin = np.searchsorted(si, np.arange(len(spots)))
+        mu = np.stack(pdf["_mu"].to_numpy()[order])
+        y = pdf["cnt"].to_numpy(dtype=float)[order]
         tot = np.asarray(pdf["_tot"].iloc[0], dtype=float)
-        y = np.zeros((len(spots), len(genes)))
-        np.add.at(y, (si, gi), pdf["cnt"].to_numpy(dtype=float))
         w = np.full((len(spots), len(tot)), 1.0 / len(tot))
         delta = np.zeros(len(spots))
         for _ in range(iters):
-            hat = w @ mu.T
+            hat = (w[si] * mu).sum(axis=1)
             ratio = np.divide(y, hat, out=np.zeros_like(y), where=hat > 0)
-            new = w * (ratio @ mu) / np.where(tot > 0, tot, 1.0)
+            new = w * np.add.reduceat(ratio[:, None] * mu, begin) / np.where(tot > 0, tot, 1.0)
             delta = np.abs(new - w).max(axis=1)
             w = new
         names = list(pdf["_names"].iloc[0])

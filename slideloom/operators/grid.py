@@ -180,7 +180,8 @@ def disk_tokens(spots, tokens, r, spot="spot", feat="feat"):
         "sample", spot, F.col("_o.di").alias("di"), F.col("_o.dj").alias("dj"),
         (F.col("_r") + F.col("_o.di")).cast("long").alias("row"), (F.col("_c") + F.col("_o.dj")).cast("long").alias("col"),
     )
-    hit = want.join(tokens.select("sample", F.col("row").cast("long"), F.col("col").cast("long"), feat), ["sample", "row", "col"])
+    # the estimate of an exploded side is too low to trust: shuffle both sides
+    hit = want.hint("merge").join(tokens.select("sample", F.col("row").cast("long"), F.col("col").cast("long"), feat), ["sample", "row", "col"])
     n = F.size(disk_offsets(r))
     return (
         hit.groupBy("sample", spot).agg(F.array_sort(F.collect_list(F.struct("di", "dj", feat))).alias("_l"))
@@ -205,7 +206,7 @@ def disk_crop(spots, tokens, r, dim, spot="spot", feat="feat"):
         "sample", spot, F.col("_o.di").alias("di"), F.col("_o.dj").alias("dj"),
         (F.col("_r") + F.col("_o.di")).cast("long").alias("row"), (F.col("_c") + F.col("_o.dj")).cast("long").alias("col"),
     )
-    d = want.join(tokens.select("sample", F.col("row").cast("long"), F.col("col").cast("long"), feat), ["sample", "row", "col"])
+    d = want.hint("merge").join(tokens.select("sample", F.col("row").cast("long"), F.col("col").cast("long"), feat), ["sample", "row", "col"])
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     inside = F.col("di") * F.col("di") + F.col("dj") * F.col("dj") <= r * r
     return d.withColumn(feat, F.when(inside, F.col(feat)).otherwise(zero)).select("sample", spot, "di", "dj", feat)

@@ -117,7 +117,8 @@ def validate_layout(files, samples, requirements, radius=None, spot_counts=None)
     ``warning``; ``radius(sample, radius)`` must agree with the most common value
     (smallest on ties); ``spot_counts(sample, n_props, n_locs)`` must match.
     """
-    need = samples.select("sample").distinct().join(F.broadcast(requirements))  # one row per kind: a handful
+    rules = requirements.agg(F.collect_list(F.struct("kind", "level")).alias("_rules"))  # a handful of kinds
+    need = attach_row(samples.select("sample").distinct(), rules).select("sample", F.inline("_rules"))
     have = files.select("sample", "kind").distinct()
     out = need.join(have, ["sample", "kind"], "left_anti").select(
         "sample", "level", F.concat(F.lit("missing "), "kind").alias("problem")

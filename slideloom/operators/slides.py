@@ -190,4 +190,4 @@ def window_mask_join(windows, mask, patch=224, stride=112):
         .select("sample", "top", (F.col("_li") * stride).alias("left"))
         .distinct()
     )
-    return windows.join(hit, ["sample", "top", "left"], "left_semi")
+    return windows.join(hit.hint("merge"), ["sample", "top", "left"], "left_semi")

@@ -17,7 +17,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 _LOCAL_ROOT = {}
 
@@ -78,26 +78,33 @@ def hash32(ids, seed=0, scheme="xx"):
     return F.pmod(F.xxhash64(*cols, F.lit(int(seed))), F.lit(4294967296))
 
 
-def salted_pair(left, right, keys, left_id, right_id, hot_rows=200_000):
-    """Inner equi-join of two frames; every pair appears once.
+def salted_pair(left, right, keys, left_id, right_id, hot_rows=200_000, broadcast_rows=500_000):
+    """Inner equi-join of two frames that may have been expanded; every pair appears once.
 
-    Keys with more than ``hot_rows`` rows on a side are cut into pieces on that
-    side, and the other side's rows are repeated for each piece. Key counts are
-    pre-aggregated. Without hot keys the plain join is returned.
+    One pre-aggregated pass counts rows per key and in all. A side of at most
+    ``broadcast_rows`` rows is broadcast. Otherwise both are shuffled and keys with
+    more than ``hot_rows`` rows on a side are cut into pieces on that side, the other
+    side's rows being repeated for each piece. Spark's own size estimate is not used
+    here because it ignores how much an explode grew a side.
     """
-    hot = (
+    n, side = F.col("_n"), F.col("_s")
+    seen = Observation()
+    hot = settle(
         left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.lit(0))
         .unionByName(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.lit(1)))
-        .where(F.col("_n") > hot_rows)
+        .observe(seen, F.sum(F.when(side == 0, n)).alias("l"), F.sum(F.when(side == 1, n)).alias("r"))
+        .where(n > hot_rows)
         .groupBy(*keys)
         .agg(
-            F.coalesce(F.max(F.when(F.col("_s") == 0, F.ceil(F.col("_n") / hot_rows))), F.lit(1)).alias("_ls"),
-            F.coalesce(F.max(F.when(F.col("_s") == 1, F.ceil(F.col("_n") / hot_rows))), F.lit(1)).alias("_rs"),
+            F.coalesce(F.max(F.when(side == 0, F.ceil(n / hot_rows))), F.lit(1)).alias("_ls"),
+            F.coalesce(F.max(F.when(side == 1, F.ceil(n / hot_rows))), F.lit(1)).alias("_rs"),
         )
     )
-    hot = settle(hot)
+    rows = {k: v or 0 for k, v in seen.get.items()}
+    if min(rows.values()) <= broadcast_rows:
+        return left.join(F.broadcast(right), keys) if rows["r"] <= rows["l"] else F.broadcast(left).join(right, keys)
     if hot.isEmpty():
-        return left.join(right, keys)
+        return left.hint("merge").join(right, keys)
     one = F.lit(1).cast("long")
     lh = left.join(hot, keys, "left").withColumns({"_ls": F.coalesce("_ls", one), "_rs": F.coalesce("_rs", one)})
     rh = right.join(hot, keys, "left").withColumns({"_ls": F.coalesce("_ls", one), "_rs": F.coalesce("_rs", one)})
@@ -111,7 +118,7 @@ def salted_pair(left, right, keys, left_id, right_id, hot_rows=200_000):
         .withColumn("_lp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ls") - 1)))
         .drop("_ls", "_rs")
     )
-    return lh.join(rh, [*keys, "_lp", "_rp"]).drop("_lp", "_rp")
+    return lh.hint("merge").join(rh, [*keys, "_lp", "_rp"]).drop("_lp", "_rp")
 
 
 def flag_smallest(df, groups, hash_col, ties, budget, flag="chosen"):
@@ -183,42 +190,34 @@ def exact_quantiles(df, groups, value, probs, names=None, accuracy=10_000):
         aggs.append(F.when(few, F.min("_v")).otherwise(near_lo).alias(f"_lo{i}"))
         aggs.append(F.when(few, F.max("_v")).otherwise(near_hi).alias(f"_hi{i}"))
     brackets = settle(df.groupBy(*groups).agg(*aggs))
-    near = F.filter(
+    # rows under a bracket count towards rank but keep no value; rows over it are dropped
+    parts = F.filter(
         F.array(*[
-            F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.lit(i)) for i in range(len(probs))
-        ]),
-        lambda i: i.isNotNull(),
-    )
-    placed = df.join(brackets, groups)
-    below = placed.groupBy(*groups).agg(
-        *[F.count(F.when(F.col("_v") < F.col(f"_lo{i}"), 1)).alias(f"_u{i}") for i in range(len(probs))],
-        F.max("_n").alias("_n"),
-    )
-    below = below.select(
-        *groups,
-        F.posexplode(F.array(*[
-            F.struct(
-                F.col(f"_u{i}").alias("under"),
-                ((F.col("_n") - 1) * F.lit(float(p))).alias("at"),
-                (F.col("_n") - 1).alias("last"),
+            F.when(
+                F.col("_v") <= F.col(f"_hi{i}"),
+                F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= F.col(f"_lo{i}"), F.col("_v")).alias("v")),
             )
-            for i, p in enumerate(probs)
-        ])).alias("_i", "_t"),
+            for i in range(len(probs))
+        ]),
+        lambda t: t.isNotNull(),
     )
-    inside = placed.select(*groups, "_v", F.explode(near).alias("_i")).groupBy(*groups, "_i", "_v").agg(
-        F.count(F.lit(1)).alias("_c")
+    inside = (
+        df.join(brackets, groups).select(*groups, "_n", F.explode(parts).alias("_t"))
+        .groupBy(*groups, "_n", F.col("_t.i").alias("_i"), F.col("_t.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     )
-    w = Window.partitionBy(*groups, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.join(settle(below), [*groups, "_i"]).withColumn("_cum", F.sum("_c").over(w) + F.col("_t.under"))
-    lo_rank = F.floor(F.col("_t.at"))
-    hi_rank = F.least(lo_rank + 1, F.col("_t.last"))
-    pick = ranked.groupBy(*groups, "_i").agg(
-        F.min(F.when(F.col("_cum") > lo_rank, F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > hi_rank, F.col("_v"))).alias("_z"),
-        F.max(F.col("_t.at") - lo_rank).alias("_f"),
+    w = Window.partitionBy(*groups, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i")) * (F.col("_n") - 1)
+    lo_rank = F.floor(at)
+    hi_rank = F.least(lo_rank + 1, F.col("_n") - 1)
+    known = F.col("_v").isNotNull()
+    pick = inside.withColumn("_cum", F.sum("_c").over(w)).groupBy(*groups, "_i").agg(
+        F.min(F.when(known & (F.col("_cum") > lo_rank), F.col("_v"))).alias("_a"),
+        F.min(F.when(known & (F.col("_cum") > hi_rank), F.col("_v"))).alias("_z"),
+        F.max(F.when(~known, F.col("_cum") > lo_rank)).alias("_miss"),
+        F.max(at - lo_rank).alias("_f"),
     )
     val = F.when(
-        F.col("_a").isNull() | F.col("_z").isNull(),
+        F.col("_a").isNull() | F.col("_z").isNull() | F.coalesce("_miss", F.lit(False)),
         F.raise_error(F.lit("quantile bracket missed; raise accuracy")).cast("double"),
     ).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f"))
     out = pick.groupBy(*groups).agg(
