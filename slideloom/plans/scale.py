@@ -17,7 +17,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _LOCAL_ROOT = {}
 
@@ -88,19 +88,21 @@ def salted_pair(left, right, keys, left_id, right_id, hot_rows=200_000, broadcas
     here because it ignores how much an explode grew a side.
     """
     n, side = F.col("_n"), F.col("_s")
-    seen = Observation()
-    hot = settle(
+    # one row per hot key and one (NULL key) for all others together
+    tally = settle(
         left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.lit(0))
         .unionByName(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.lit(1)))
-        .observe(seen, F.sum(F.when(side == 0, n)).alias("l"), F.sum(F.when(side == 1, n)).alias("r"))
-        .where(n > hot_rows)
         .groupBy(*keys)
-        .agg(
-            F.coalesce(F.max(F.when(side == 0, F.ceil(n / hot_rows))), F.lit(1)).alias("_ls"),
-            F.coalesce(F.max(F.when(side == 1, F.ceil(n / hot_rows))), F.lit(1)).alias("_rs"),
-        )
+        .agg(F.sum(F.when(side == 0, n)).alias("_l"), F.sum(F.when(side == 1, n)).alias("_r"))
+        .fillna(0, ["_l", "_r"])
+        .groupBy(F.when(F.greatest("_l", "_r") > hot_rows, F.struct(*keys)).alias("_k"))
+        .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    )
+    hot = tally.where(F.col("_k").isNotNull()).select(
+        "_k.*", *[F.greatest(F.ceil(F.col(c) / hot_rows), F.lit(1)).alias(o) for c, o in (("_l", "_ls"), ("_r", "_rs"))]
     )
-    rows = {k: v or 0 for k, v in seen.get.items()}
+    total = tally.agg(F.sum("_l").alias("l"), F.sum("_r").alias("r")).first()
+    rows = {k: v or 0 for k, v in total.asDict().items()}
     if min(rows.values()) <= broadcast_rows:
         return left.join(F.broadcast(right), keys) if rows["r"] <= rows["l"] else F.broadcast(left).join(right, keys)
     if hot.isEmpty():
