@@ -60,7 +60,7 @@ def _(spark, sf):
     return C.k_nearest(pairs(spark, sf), 3)
 
 
-@query("order_tokens", "SELECT sample, cell_id, bin_id, (row_number() OVER (PARTITION BY cell_id ORDER BY bin_id)-1)::INT AS pos FROM pairs", ["pairs"])
+@query("order_tokens", "SELECT sample, cell_id, bin_id, row_number() OVER (PARTITION BY cell_id ORDER BY bin_id)-1 AS pos FROM pairs", ["pairs"])
 def _(spark, sf):
     return C.order_tokens(pairs(spark, sf))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.arrays import one_hot
 from ..plans.scale import (
-    attach, exact_quantiles, flag_smallest, global_index, hash32, salted_pair, settle, take_smallest,
+    attach, exact_quantiles, flag_smallest, global_index, hash32, rank_within, salted_pair, settle, take_smallest,
 )
 
 
@@ -144,10 +144,9 @@ def mapping_stats(pairs, cells, bins_nn, key="sample"):
     return n.join(a, key, "left").join(med, key, "left").join(gap, key, "left").fillna(0, ["cells_with_bins"])
 
 
-def order_tokens(pairs, keys=("sample", "cell_id"), token="bin_id"):
+def order_tokens(pairs, keys=("sample", "cell_id"), token="bin_id", hot_rows=2_000_000):
     """Rank of each bin inside its cell in id order."""
-    w = Window.partitionBy(*keys).orderBy(token)
-    return pairs.select(*keys, token).withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+    return rank_within(pairs.select(*keys, token), keys, [token], "pos", hot_rows)
 
 
 def pad_or_sample_tokens(pairs, t, keys=("sample", "cell_id"), token="bin_id", seed=0, scheme="xx"):

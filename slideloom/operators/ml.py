@@ -56,17 +56,20 @@ def pca(df, k, feat="feat", out="pc"):
 
 
 def kmeans_sweep(df, ks=(5, 10, 15, 20, 25, 30), seed=42, feat="feat", keys=("sample", "row", "col")):
-    """Cluster labels for several K on one materialised input: (keys, k, cluster)."""
+    """Cluster labels for several K on one materialised input: (keys, k, cluster).
+
+    All fits share one cached copy, which is rebuilt from the table if executors go.
+    """
     from functools import reduce
 
+    from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
 
     d = settle(df.select(*keys, doubles(feat).alias("_f"))).withColumn("_v", array_to_vector("_f"))
-    runs = [
-        KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(d).transform(d)
-        .select(*keys, F.lit(k).alias("k"), "cluster")
-        for k in ks
-    ]
+    cached = d.select("_v").persist(StorageLevel.MEMORY_AND_DISK)
+    models = [KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(cached) for k in ks]
+    cached.unpersist()
+    runs = [m.transform(d).select(*keys, F.lit(k).alias("k"), "cluster") for k, m in zip(ks, models)]
     return reduce(lambda a, b: a.unionByName(b), runs)
 
 
@@ -355,6 +358,9 @@ def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id
         raise ValueError(f"unknown weights {weights!r}")
     kt, kq = train.schema[train_id].dataType.simpleString(), query.schema[query_id].dataType.simpleString()
     tv = train.select(train_id, doubles(feat).alias("_f"))
+    # keep one task's vectors near 64 MB a side, whatever their width
+    width = train.select(F.max(F.size(feat))).first()[0] or 1
+    block_rows, query_rows = (max(1, min(n, 8_000_000 // width)) for n in (block_rows, query_rows))
     n = train.count()
     m = int(max(1, min(max_pivots, -(-n // block_rows))))
     # at most max_pivots vectors

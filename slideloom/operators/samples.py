@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import glob_regex
-from ..plans.scale import attach, attach_row
+from ..plans.scale import attach, attach_row, global_index
 
 # fixed values: technology name to resolution id
 TECH_RESOLUTION = {"vis": 0, "xen": 1}
@@ -39,10 +39,9 @@ def derive_resolution(df, stem="stem", table=None):
 
 
 def rank_domains(names, name="domain", out="domain_id"):
-    """Dense ids of the distinct names in sorted order (one row per domain: the window stays small)."""
-    return names.select(name).where(F.col(name).isNotNull()).distinct().withColumn(
-        out, (F.dense_rank().over(Window.orderBy(name)) - 1).cast("int")
-    )
+    """Dense ids of the distinct names in sorted order."""
+    d = global_index(names.select(name).where(F.col(name).isNotNull()).distinct(), [name], out)
+    return d.withColumn(out, F.col(out).cast("int"))
 
 
 def domain_join(df, domains, on="sample", domain="domain_id"):

@@ -7,6 +7,7 @@
 * ``flag_smallest``   exact "n smallest per group" without one task per group
 * ``exact_quantiles`` exact quantiles without a whole group in one buffer
 * ``global_index``    dense 0-based position in a total order
+* ``rank_within``     rank inside each key, however large one key is
 * ``halo_blocks``     bounded square blocks of a grid plus a border
 """
 
@@ -244,6 +245,25 @@ def global_index(df, order, name="pos"):
     return attach(tagged, offs, "_part").withColumn(name, local + F.col("_off")).drop("_mid", "_part", "_off")
 
 
+def rank_within(df, keys, order, name="pos", hot_rows=2_000_000):
+    """0-based rank of every row inside its key.
+
+    Keys with more than ``hot_rows`` rows are ranked by a range sort over all of them
+    (which splits a key over tasks), the others by a window.
+    """
+    keys = list(keys)
+    hot = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys))
+    ranked = lambda d: d.withColumn(
+        name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")
+    )
+    if hot.isEmpty():
+        return ranked(df)
+    big = global_index(df.join(hot, keys, "left_semi"), [*keys, *order], name)
+    first = big.groupBy(*keys).agg(F.min(name).alias("_first"))
+    big = attach(big, first, keys).withColumn(name, F.col(name) - F.col("_first"))
+    return ranked(df.join(hot, keys, "left_anti")).unionByName(big.select(*df.columns, name))
+
+
 def halo_blocks(df, row, col, block, halo):
     """Send each grid row to its block and to blocks whose border of ``halo`` holds it.
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slideloom.operators import cells as C, coreset as K, ml as M
-from slideloom.plans.scale import attach, exact_quantiles, flag_smallest, global_index, hash32, salted_pair, take_smallest
+from slideloom.plans.scale import attach, exact_quantiles, flag_smallest, global_index, hash32, rank_within, salted_pair, take_smallest
 
 
 def test_hot_bucket_pairs(spark):
@@ -74,6 +74,22 @@ def test_global_index_is_dense(spark):
     assert sorted((r.v, r.pos) for r in d.collect()) == [(i, i) for i in range(1000)]
 
 
+@pytest.mark.parametrize("hot", [50, 10 ** 6])
+def test_rank_within_hot_key(spark, hot):
+    d = spark.range(500).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), (F.col("id") * 7 % 500).alias("v"))
+    want = {}
+    for k, v in sorted((r.k, r.v) for r in d.collect()):
+        want.setdefault(k, []).append(v)
+    got = {(r.k, r.v): r.pos for r in rank_within(d, ["k"], ["v"], hot_rows=hot).collect()}
+    assert got == {(k, v): i for k, vs in want.items() for i, v in enumerate(vs)}
+
+
+def test_limited_ranks_shrink_before_the_shuffle(spark):
+    p = spark.range(1000).select(F.lit("s").alias("sample"), (F.col("id") % 3).alias("cell_id"), F.col("id").alias("bin_id"), F.col("id").alias("dist2"))
+    for d in (C.pad_or_sample_tokens(p, 4), C.k_nearest(p, 4)):
+        assert "WindowGroupLimit" in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_attach_broadcasts_only_small_tables(spark):
     big, small = spark.range(1000).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k")
     plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString() and d._jdf.queryExecution().executedPlan().toString()
