@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.arrays import one_hot
 from ..plans.scale import (
-    attach, exact_quantiles, flag_smallest, global_index, hash32, rank_within, salted_pair, settle, take_smallest,
+    attach, exact_quantiles, flag_smallest, global_index, hash32, rank_within, reread, salted_pair, settle, take_smallest,
 )
 
 
@@ -69,8 +69,8 @@ def radius_join(cells, bins, r, key="sample", cell="cell_id", bin_="bin_id", hot
     smaller side, are repeated 3x3; buckets with very many rows are split.
     """
     r = float(r)
-    c = _ring(cells.select(key, cell, "x", "y"), r).withColumnsRenamed({"x": "_cx", "y": "_cy"})
-    b = _bucket(bins.select(key, bin_, "x", "y"), r).withColumnsRenamed({"x": "_bx", "y": "_by"})
+    c = _ring(reread(cells.select(key, cell, "x", "y")), r).withColumnsRenamed({"x": "_cx", "y": "_cy"})
+    b = _bucket(reread(bins.select(key, bin_, "x", "y")), r).withColumnsRenamed({"x": "_bx", "y": "_by"})
     dx, dy = F.col("_cx") - F.col("_bx"), F.col("_cy") - F.col("_by")
     return (
         salted_pair(b, c, [key, "_gx", "_gy"], bin_, cell, hot_rows, broadcast_rows)
@@ -88,6 +88,7 @@ def nearest_neighbour(points, key="sample", id_col="id", start=None, occupancy=6
     a certified neighbour go on to the next side, so a coarse bucket meets few of them
     and the number of compared pairs stays linear.
     """
+    points = reread(points.select(key, id_col, "x", "y"))
     sites = settle(points.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("_n")))
     ext = sites.groupBy(key).agg(
         (F.max("x") - F.min("x")).cast("double").alias("w"), (F.max("y") - F.min("y")).cast("double").alias("h"),
@@ -131,7 +132,7 @@ def nearest_neighbour(points, key="sample", id_col="id", start=None, occupancy=6
         if last or todo.isEmpty():
             break
         r *= 4
-    return points.select(key, id_col, "x", "y").join(found, [key, "x", "y"]).select(key, id_col, "nn_dist")
+    return points.join(found, [key, "x", "y"]).select(key, id_col, "nn_dist")
 
 
 def mapping_stats(pairs, cells, bins_nn, key="sample"):
@@ -187,6 +188,7 @@ def stratified_cells(candidates, target, label="cell_type", key="sample", cell="
     Samples at or under the target keep everything. Where some class has a single
     cell, or fewer rows than classes would be chosen or left, the draw ignores labels.
     """
+    candidates = reread(candidates)
     sizes = candidates.groupBy(key, label).agg(F.count(F.lit(1)).alias("_n"))
     info = sizes.groupBy(key).agg(F.sum("_n").alias("_all"), F.min("_n").alias("_least"), F.count(F.lit(1)).alias("_k"))
     small = F.col("_all") <= target

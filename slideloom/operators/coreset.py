@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.arrays import argmax_first, entropy
-from ..plans.scale import attach, attach_row, exact_quantiles, global_index, hash32, settle, take_smallest
+from ..plans.scale import attach, attach_row, exact_quantiles, global_index, hash32, reread, settle, take_smallest
 
 
 def entropy_bins(labels, n=3, y="y", by="domain_id"):
@@ -15,6 +15,7 @@ def entropy_bins(labels, n=3, y="y", by="domain_id"):
     if not inner:
         return d.withColumn("ebin", F.lit(0))
     names = [f"_e{i}" for i in range(len(inner))]
+    d = reread(d)
     edges = exact_quantiles(d.select(by, "entropy"), [by], "entropy", inner, names)
     # the outermost edges lie beyond every value, so only inner edges decide
     b = sum((F.when(F.col("entropy") >= F.col(nm), 1).otherwise(0) for nm in names), F.lit(0))
@@ -83,6 +84,7 @@ def coreset_kcenter(labels, frac=0.25, seed=0, ids="spot", y="y", by="domain_id"
     cells fit the budget gives one key per cell, the next finer level fills the
     rest, then hash order. Every row is then within one cell diagonal of a key.
     """
+    labels = reread(labels.select(by, ids, y))
     budget = settle(coreset_budget(labels, frac, by))
     d = attach(labels.select(by, ids, F.col(y).alias("_y")), budget, by, "inner").withColumn("_h", hash32(ids, seed))
     k1, k2 = (labels.schema[c].dataType.simpleString() for c in (by, ids))
@@ -158,6 +160,7 @@ def weighted_resample(examples, n, seed=0, ids="id", by="domain_id", scheme="xx"
     slot among domains and unknown rows, then a position inside it; rows are found
     by an equi-join on their global position.
     """
+    examples = reread(examples.select(ids, by))
     nd = domain_counts(examples, by).agg(F.count(F.lit(1)).alias("_nd"))
     d = attach_row(examples.select(ids, by), nd).withColumn(
         "_g", F.when((F.col("_nd") >= 2) & (F.col(by) >= 0), F.col(by)).otherwise(-1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.scale import attach, attach_row
+from ..plans.scale import attach, reread, settle
 
 
 def min_umi_reference(counts, min_umi=10, cell="cell", cnt="cnt"):
@@ -36,25 +36,30 @@ def normalise_weights(w, by=("spot",), col="weight", out="p"):
     return w.join(tot, list(by)).withColumn(out, F.col(col) / F.nullif(F.col("_t"), F.lit(0.0))).drop("_t")
 
 
-def deconvolve(counts, profile, iters=50, spot="spot", rows_per_task=40_000):
+def deconvolve(counts, profile, iters=50, spot="spot", rows_per_task=40_000, broadcast_rows=2_000_000):
     """Cell-type proportions of each spot for a fixed profile, by EM for a Poisson mixture.
 
     w_k <- w_k (sum_g y_g mu_gk / yhat_g) / (sum_g mu_gk), from equal weights.
-    Profile vectors join on gene; spots are then grouped by hash into tasks of about
-    ``rows_per_task`` counts, so the iterations need no further shuffle. ``delta`` is the last change of the weights.
-    Genes outside the profile are ignored; spots without any shared gene are absent.
+    ``counts`` has one row per (spot, gene). Spots are grouped by hash into tasks of
+    about ``rows_per_task`` counts, so the iterations need no shuffle. A profile of at
+    most ``broadcast_rows`` rows travels with the tasks; a larger one joins on gene.
+    ``delta`` is the last change of the weights. Genes outside the profile are
+    ignored; spots without any shared gene are absent.
     """
-    classes = profile.select("ctype").distinct()
-    names = classes.agg(F.array_sort(F.collect_list("ctype")).alias("_names"))
-    by_gene = profile.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("ctype", "mu"))).alias("_m"))
-    vec = attach_row(by_gene, names).select(
-        "gene", "_names", F.transform("_names", lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0))).alias("_mu")
-    )
-    sums = profile.groupBy("ctype").agg(F.sum("mu").alias("_s"))
-    total = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("ctype", "_s"))), lambda t: t["_s"]).alias("_tot"))
-    vec = attach_row(vec, total)
+    profile = settle(profile.select("gene", "ctype", "mu"))
+    counts = reread(counts.select(spot, "gene", "cnt").where(F.col("cnt") > 0))
+    tot = profile.groupBy("ctype").agg(F.sum("mu").alias("s")).orderBy("ctype").collect()  # one row per class
+    names = [r["ctype"] for r in tot]
+    total = [r["s"] for r in tot]
     tasks = max(1, -(-counts.count() // rows_per_task))
-    d = attach(counts.where(F.col("cnt") > 0), vec, "gene", "inner").withColumn("_t", F.pmod(F.xxhash64(spot), F.lit(tasks)))
+    d = counts.withColumn("_t", F.pmod(F.xxhash64(spot), F.lit(tasks)))
+    by_gene = profile.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("ctype", "mu"))).alias("_m"))
+    by_gene = by_gene.select("gene", F.transform(
+        F.array(*[F.lit(c) for c in names]), lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0))
+    ).alias("_mu"))
+    small = profile.count() <= broadcast_rows
+    table = by_gene.toPandas() if small else None
+    d = d.join(F.broadcast(profile.select("gene").distinct()), "gene", "left_semi") if small else attach(d, by_gene, "gene", "inner")
 
     def fit(pdf):
         import numpy as np
@@ -64,9 +69,12 @@ def deconvolve(counts, profile, iters=50, spot="spot", rows_per_task=40_000):
         order = np.argsort(si, kind="stable")
         si = si[order]
         begin = np.searchsorted(si, np.arange(len(spots)))
-        mu = np.stack(pdf["_mu"].to_numpy()[order])
+        if small:
+            mu = np.stack(table["_mu"].to_numpy())[pd.Index(table["gene"]).get_indexer(pdf["gene"])][order]
+        else:
+            mu = np.stack(pdf["_mu"].to_numpy()[order])
         y = pdf["cnt"].to_numpy(dtype=float)[order]
-        tot = np.asarray(pdf["_tot"].iloc[0], dtype=float)
+        tot = np.asarray(total, dtype=float)
         w = np.full((len(spots), len(tot)), 1.0 / len(tot))
         delta = np.zeros(len(spots))
         for _ in range(iters):
@@ -75,7 +83,6 @@ def deconvolve(counts, profile, iters=50, spot="spot", rows_per_task=40_000):
             new = w * np.add.reduceat(ratio[:, None] * mu, begin) / np.where(tot > 0, tot, 1.0)
             delta = np.abs(new - w).max(axis=1)
             w = new
-        names = list(pdf["_names"].iloc[0])
         s = w.sum(axis=1, keepdims=True)
         p = np.divide(w, s, out=np.full_like(w, np.nan), where=s > 0)
         return pd.DataFrame({

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window, functions as F
 
 from ..functions.arrays import all_finite, doubles, l2_normalise
-from ..plans.scale import attach, attach_row, exact_quantiles, hash32, settle
+from ..plans.scale import attach, attach_row, exact_quantiles, hash32, reread, settle
 
 
 def _moments(df, feat):
@@ -33,6 +33,7 @@ def _scaled(df, moments, feat, eps, sd=True):
 
 def standardise(df, feat="feat", eps=1e-12):
     """Zero mean and unit population sd per dimension."""
+    df = reread(df)
     return _scaled(df, _moments(df, feat), feat, eps)
 
 
@@ -44,6 +45,7 @@ def pca(df, k, feat="feat", out="pc"):
     import numpy as np
     from pyspark.ml.feature import PCA
 
+    df = reread(df)
     c = settle(_scaled(df, _moments(df, feat), feat, 0.0, sd=False))
     d = c.withColumn("_v", array_to_vector(feat))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(d)
@@ -324,6 +326,7 @@ def regress_impute(train, query, targets, ids="id", feat="feat", regressor=None)
     """
     from pyspark.ml.regression import LinearRegression
 
+    train = reread(train.select(feat, *targets))
     mom = settle(_moments(train, feat))
     rng = train.agg(
         *[F.min(t).cast("double").alias(f"_lo_{t}") for t in targets], *[F.max(t).cast("double").alias(f"_hi_{t}") for t in targets]
@@ -356,6 +359,7 @@ def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id
 
     if weights not in ("uniform", "distance"):
         raise ValueError(f"unknown weights {weights!r}")
+    train, query = reread(train.select(train_id, feat, *targets)), reread(query.select(query_id, feat))
     kt, kq = train.schema[train_id].dataType.simpleString(), query.schema[query_id].dataType.simpleString()
     tv = train.select(train_id, doubles(feat).alias("_f"))
     # keep one task's vectors near 64 MB a side, whatever their width

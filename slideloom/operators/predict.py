@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F, types as T
 
 from ..functions.arrays import argmax_first, clip, l2_normalise, mean_across, median_across, total, let
-from ..plans.scale import attach, exact_quantiles, hash32
+from ..plans.scale import attach, exact_quantiles, hash32, reread
 
 
 def score_tokens(tokens, states, keys=("sample", "row", "col"), feat="feat", slope=0.1):
@@ -172,6 +172,7 @@ def early_stop(curve, patience, metric="val_loss", epoch="epoch"):
 
 def percentile_clip(values, lo=5.0, hi=95.0, by=("sample", "ctype"), col="p", out="clipped"):
     """Values limited to the exact lo/hi percentiles of their group (pass rows inside the mask)."""
+    values = reread(values)
     q = exact_quantiles(values, list(by), col, [lo / 100.0, hi / 100.0], ["vmin", "vmax"])
     return attach(values, q, list(by)).withColumn(out, F.least(F.greatest(F.col(col), F.col("vmin")), F.col("vmax")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import micron_per_pixel
-from ..plans.scale import attach, attach_row
+from ..plans.scale import attach, attach_row, reread
 
 # fixed values: pixel size of one imaging platform (micron), and resolutions that cameras write by default
 UM_PER_PX = 0.2125
@@ -68,7 +68,7 @@ def audit_resolution(df, target=0.5):
 
     ``n_resolutions`` counts distinct rounded values over all samples that were read.
     """
-    d = df.withColumns({
+    d = reread(df).withColumns({
         "scale": F.col("mpp") / F.lit(float(target)),
         "mpp4": F.round("mpp", 4),
     }).withColumn(

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from ..plans.scale import attach, exact_quantiles, settle
+from ..plans.scale import attach, exact_quantiles, reread, settle
 
 
 def tile_stats(pixels, slides, tile=16):
@@ -37,6 +37,7 @@ def tile_stats(pixels, slides, tile=16):
 
 def weighted_intensity(tiles):
     """z: tile colour means weighted by each channel's population variance over the sample."""
+    tiles = reread(tiles)
     var = tiles.groupBy("sample").agg(*[F.var_pop(f"m{c}").alias(f"_v{c}") for c in "rgb"])
     total = F.col("_vr") + F.col("_vg") + F.col("_vb")
     z = (F.col("mr") * F.col("_vr") + F.col("mg") * F.col("_vg") + F.col("mb") * F.col("_vb")) / F.nullif(total, F.lit(0.0))
@@ -45,6 +46,7 @@ def weighted_intensity(tiles):
 
 def minmax_normalise(df, col, plus_one=False, out=None, by="sample"):
     """(x - min) / (max - min) per sample, optionally + 1; NULL where the range is zero. NULLs are ignored."""
+    df = reread(df)
     rng = df.groupBy(by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     v = (F.col(col) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     return attach(df, rng, by).withColumn(out or col, v + 1 if plus_one else v).drop("_lo", "_hi")
@@ -52,6 +54,7 @@ def minmax_normalise(df, col, plus_one=False, out=None, by="sample"):
 
 def contrast_ratio(tiles):
     """minmax((minmax(sd) + 1) / (minmax(z) + 1)) per sample; tiles carry sd and z."""
+    tiles = reread(tiles)
     rng = tiles.groupBy("sample").agg(
         F.min("sd").alias("_a"), F.max("sd").alias("_b"), F.min("z").alias("_c"), F.max("z").alias("_d")
     )
@@ -79,6 +82,7 @@ def density_flag(tiles, bins=None, thresh=100.0, x="z", y="sd"):
     falls outside and counts as density 0. ``bins`` defaults to floor(0.00005 N) of
     the largest sample, at least 1. Smoothing handles one histogram line at a time.
     """
+    tiles = reread(tiles)
     info = settle(tiles.groupBy("sample").agg(
         F.count(F.lit(1)).alias("_n"), F.min(x).cast("double").alias("_x0"), F.max(x).cast("double").alias("_x1"),
         F.min(y).cast("double").alias("_y0"), F.max(y).cast("double").alias("_y1"),
@@ -126,6 +130,7 @@ def density_flag(tiles, bins=None, thresh=100.0, x="z", y="sd"):
 
 def value_histogram(df, value, bins=256, by="sample"):
     """Non-empty equal-width bins between each sample's extremes: (sample, bin, center, n)."""
+    df = reread(df)
     rng = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     step = (F.col("_hi") - F.col("_lo")) / bins
     at = F.coalesce(
@@ -148,7 +153,7 @@ def cumulative_histogram(df, value, bins=256, by="sample"):
 
 def otsu_threshold(df, value, bins=256, upper=0.9, by="sample"):
     """Threshold per sample that maximises between-class variance of values below the ``upper`` quantile."""
-    d = df
+    d = df = reread(df.select(by, value))
     if upper is not None:
         q = exact_quantiles(df, [by], value, [upper], ["_q"])
         d = attach(df.select(by, value), q, by, "inner").where(F.col(value) < F.col("_q")).drop("_q")
@@ -165,6 +170,7 @@ def otsu_threshold(df, value, bins=256, upper=0.9, by="sample"):
 
 def ratio_filter(tiles, keep="low_density", value="ratio"):
     """Low-ratio flag: the threshold comes from tiles that passed density and is applied to all."""
+    tiles = reread(tiles)
     t = otsu_threshold(tiles.where(~F.col(keep)), value)
     return attach(tiles, t, "sample").withColumn("low_ratio", F.coalesce(F.col(value) < F.col("threshold"), F.lit(False)))
 

@@ -1,6 +1,7 @@
 """Building blocks that keep plans safe when one key holds much of the data.
 
 * ``settle``          cut lineage through a table in the shared folder
+* ``reread``          copy an input that is read twice, unless it is a plain scan
 * ``attach``          join a small per-group table; Spark checks its size
 * ``attach_row``      join a one-row global aggregate
 * ``salted_pair``     equi-join whose hot keys are split on both sides
@@ -14,6 +15,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -53,6 +55,20 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# plan nodes whose work is worth keeping when a frame is read more than once
+_COSTLY = re.compile(r"(?m)^[\s:+|-]*(Aggregate|Join|Window|Generate|Sort|GlobalLimit|Union|Repartition|MapInPandas|FlatMap|ArrowEval|BatchEval|SerializeFromObject)")
+
+
+def reread(df: DataFrame) -> DataFrame:
+    """``df`` itself when it is a plain scan with projections and filters, else its settled copy.
+
+    For inputs an operator reads twice: a scan prunes columns and is cheap to repeat,
+    a join or aggregation is not.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return settle(df) if _COSTLY.search(plan) else df
+
+
 def attach(df: DataFrame, small: DataFrame, on, how="left") -> DataFrame:
     """Join per-group values onto ``df``.
 
@@ -124,42 +140,51 @@ def salted_pair(left, right, keys, left_id, right_id, hot_rows=200_000, broadcas
     return lh.hint("merge").join(rh, [*keys, "_lp", "_rp"]).drop("_lp", "_rp")
 
 
+def _cut(counts, groups, budget, value):
+    """Per group: the first ``value`` at which the running count reaches ``n``, and how many it must give."""
+    w = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        counts.withColumn("_cum", F.sum("_n").over(w)).join(budget, groups)
+        .where((F.col("_cum") >= F.col("_want")) & (F.col("_cum") - F.col("_n") < F.col("_want")))
+        .select(*groups, F.col(value), (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_want"))
+    )
+
+
 def flag_smallest(df, groups, hash_col, ties, budget, flag="chosen"):
-    """Mark exactly the ``n`` rows per group with the smallest ``hash_col``.
+    """Mark exactly the ``n`` rows per group with the smallest (``hash_col``, ``ties``).
 
-    ``budget`` holds one row per group: the group columns and ``n``. Rows are
-    counted by the upper 16 bits of the hash; whole buckets below the cut are in,
-    those above are out, and only the one bucket at the cut is ranked. ``df`` is
-    read twice, so settle it first when it is expensive.
+    ``budget`` holds one row per group: the group columns and ``n``. Rows are counted
+    by the upper 16 bits of the hash, then by the whole hash inside the one bucket at
+    the cut; only rows with exactly the cut's hash are ranked. The passes before the
+    last read only keys, and the wide rows are read once and never shuffled.
     """
     groups = list(groups)
     if not groups:
         groups = ["_g"]
         df = df.withColumn("_g", F.lit(0))
         budget = budget.withColumn("_g", F.lit(0))
-    df = df.withColumn("_b", F.shiftright(F.col(hash_col), 16).cast("int"))
-    w = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = df.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    cut = (
-        counts.withColumn("_cum", F.sum("_n").over(w))
-        .join(budget.select(*groups, F.col("n").cast("long").alias("_want")), groups)
-        .groupBy(*groups)
-        .agg(
-            F.min(F.when(F.col("_cum") >= F.col("_want"), F.col("_b"))).alias("_edge"),
-            F.max(F.when(F.col("_cum") < F.col("_want"), F.col("_cum"))).alias("_below"),
-            F.max("_want").alias("_want"),
-        )
-        .select(
-            *groups,
-            F.when(F.col("_want") <= 0, F.lit(-1)).otherwise(F.coalesce("_edge", F.lit(65536))).alias("_edge"),
-            (F.col("_want") - F.coalesce("_below", F.lit(0))).alias("_rest"),
-        )
+    h, one = F.col(hash_col), F.count(F.lit(1)).alias("_n")
+    narrow = reread(df.select(*groups, hash_col, *ties).withColumn("_b", F.shiftright(h, 16)))
+    sizes = settle(narrow.groupBy(*groups, "_b").agg(one))
+    want = settle(
+        budget.select(*groups, F.col("n").cast("long").alias("_want"))
+        .join(sizes.groupBy(*groups).agg(F.sum("_n").alias("_all")), groups)
+    )
+    part = F.col("_want") < F.col("_all")
+    bucket = settle(_cut(sizes, groups, want.where(part & (F.col("_want") > 0)).drop("_all"), "_b"))
+    at = narrow.join(bucket, [*groups, "_b"]).groupBy(*groups, "_want", hash_col).agg(one)
+    edge = settle(_cut(at.drop("_want"), groups, bucket.drop("_b"), hash_col))
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*ties))
+    last = settle(
+        narrow.drop("_b").join(edge, [*groups, hash_col]).withColumn("_r", rank)
+        .where(F.col("_r") <= F.col("_want")).select(*groups, *ties, F.lit(True).alias("_last"))
     )
-    marked = attach(df, cut, groups, "left").withColumn("_edge", F.coalesce("_edge", F.lit(-1)))
-    clear = marked.where(F.col("_b") != F.col("_edge")).withColumn(flag, F.col("_b") < F.col("_edge"))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(hash_col, *ties))
-    edge = marked.where(F.col("_b") == F.col("_edge")).withColumn(flag, rank <= F.col("_rest"))
-    return clear.unionByName(edge).drop("_b", "_edge", "_rest", "_g")
+    limit = settle(want.join(edge.select(*groups, F.col(hash_col).alias("_edge")), groups, "left").select(
+        *groups, F.when(~part, F.lit(2 ** 32)).otherwise(F.coalesce("_edge", F.lit(-1))).alias("_edge")
+    ))
+    return df.join(limit, groups, "left").join(last, [*groups, *ties], "left").withColumn(
+        flag, F.coalesce(h < F.col("_edge"), F.lit(False)) | F.coalesce("_last", F.lit(False))
+    ).drop("_edge", "_last", "_g")
 
 
 def take_smallest(df, groups, hash_col, ties, budget):
@@ -182,7 +207,7 @@ def exact_quantiles(df, groups, value, probs, names=None, accuracy=10_000):
         groups = ["_g"]
         df = df.withColumn("_g", F.lit(0))
     v = F.col(value).cast("double")
-    df = df.where(v.isNotNull()).select(*groups, v.alias("_v"))
+    df = reread(df.where(v.isNotNull()).select(*groups, v.alias("_v")))
     pad = 4.0 / accuracy
     aggs = [F.count(F.lit(1)).alias("_n")]
     few = F.count(F.lit(1)) <= 2 * accuracy
