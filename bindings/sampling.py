@@ -74,10 +74,11 @@ def _(spark, sf):
 grp AS (SELECT domain_id, min(pos) AS off, count(*) AS n, row_number() OVER (PARTITION BY domain_id>=0 ORDER BY domain_id)-1 AS k FROM rws GROUP BY 1),
 tot AS (SELECT count(*) FILTER (domain_id>=0) AS d, coalesce(sum(n) FILTER (domain_id<0),0)::BIGINT AS u FROM grp),
 slot AS (SELECT CASE WHEN domain_id>=0 THEN k ELSE d END AS slot, off, n FROM grp, tot),
-dr AS (SELECT i AS draw, floor({_H.format('i', 3)}/4294967296.0::DOUBLE*(d+u))::BIGINT AS x, {_H.format('(i*69069+1)', 3)}/4294967296.0::DOUBLE AS u2, d FROM generate_series(0,19999) t(i), tot)
+dr AS (SELECT i AS draw, floor({_H.format('i', 3)}/4294967296.0::DOUBLE*(d+u))::BIGINT AS x, {_H.format('(i*69069+1)', 3)}/4294967296.0::DOUBLE AS u2, d FROM (SELECT unnest(generate_series(0,(SELECT count(*)-1 FROM examples))) AS i), tot)
 SELECT draw, id, domain_id FROM (SELECT draw, off + CASE WHEN x<d THEN floor(u2*n)::BIGINT ELSE x-d END AS pos FROM dr JOIN slot ON slot=least(x,d)) JOIN rws USING (pos)""", ["examples"])
 def _(spark, sf):
-    return K.weighted_resample(fx.examples(spark, sf), 20000, seed=3, scheme="mul")
+    e = fx.examples(spark, sf)
+    return K.weighted_resample(e, e.count(), seed=3, scheme="mul")
 
 
 @query("split_train_val", f"""SELECT event_id, CASE WHEN row_number() OVER (ORDER BY {_H.format('event_id', 42)}, event_id) <= floor(0.1*(SELECT count(*) FROM events)) THEN 'val' ELSE 'train' END AS split FROM events""")

@@ -8,14 +8,17 @@ from ..functions.arrays import argmax_first, clip, l2_normalise, mean_across, me
 from ..plans.scale import attach, exact_quantiles, hash32, reread
 
 
-def score_tokens(tokens, states, keys=("sample", "row", "col"), feat="feat", slope=0.1):
+def score_tokens(tokens, states, keys=("sample", "row", "col"), feat="feat", slope=0.1, combine=None):
     """Latent vector and class probabilities of each token under each model state.
 
     ``states`` is a list of ``{"layers": [(W, b), ...], "head": (W, b)}`` with W of
     shape (in, out). Layers use a leaky rectifier; the head ends in a softmax.
     Non-finite inputs become 0 or the largest finite value. Tokens stream through in
-    Arrow batches and are never shuffled.
+    Arrow batches and are never shuffled. With ``combine`` ("average" or "lower") the
+    states are merged like ``ensemble_combine`` inside the batch: one row per token.
     """
+    if combine not in (None, "average", "lower"):
+        raise ValueError(f"unknown median {combine!r}")
     import numpy as np
 
     keys = list(keys)
@@ -32,6 +35,7 @@ def score_tokens(tokens, states, keys=("sample", "row", "col"), feat="feat", slo
             if not len(pdf):
                 continue
             x0 = np.nan_to_num(np.stack([np.asarray(v, dtype="float32") for v in pdf[feat]])).astype(float)
+            zs, ps = [], []
             for s, (layers, (hw, hb)) in enumerate(packed):
                 z = x0
                 for w, b in layers:
@@ -40,13 +44,24 @@ def score_tokens(tokens, states, keys=("sample", "row", "col"), feat="feat", slo
                 logit = z @ hw + hb
                 e = np.exp(logit - logit.max(axis=1, keepdims=True))
                 p = e / e.sum(axis=1, keepdims=True)
+                if combine:
+                    zs.append(z)
+                    ps.append(p)
+                    continue
                 out = pdf[keys].copy()
                 out["state"], out["z"], out["p"] = np.int32(s), list(z), list(p)
                 yield out
+            if combine:
+                z = np.median(zs, axis=0) if combine == "average" else np.sort(zs, axis=0)[(len(zs) - 1) // 2]
+                z = z / np.sqrt(np.maximum((z * z).sum(axis=1, keepdims=True), 1e-12))
+                out = pdf[keys].copy()
+                out["z"], out["p"] = list(z), list(np.mean(ps, axis=0))
+                yield out
 
     schema = T.StructType(
         [tokens.schema[k] for k in keys]
-        + [T.StructField("state", T.IntegerType()), T.StructField("z", T.ArrayType(T.DoubleType())), T.StructField("p", T.ArrayType(T.DoubleType()))]
+        + ([] if combine else [T.StructField("state", T.IntegerType())])
+        + [T.StructField("z", T.ArrayType(T.DoubleType())), T.StructField("p", T.ArrayType(T.DoubleType()))]
     )
     return tokens.select(*keys, feat).mapInPandas(run, schema)
 

@@ -78,6 +78,6 @@ def hard_examples(cells, ann, mapping, counts, bins, vocab, n_classes, r, t, tar
 
 
 def predict_grid(tokens, states, mask=None, median="average"):
-    """Score every token under every state, combine the states, keep masked positions."""
-    out = P.ensemble_combine(P.score_tokens(tokens, states), median)
-    return G.apply_mask(out, mask) if mask is not None else out
+    """Score masked tokens under every state and combine the states in the same task: no shuffle."""
+    kept = G.apply_mask(tokens, mask) if mask is not None else tokens
+    return P.score_tokens(kept, states, combine=median)

@@ -137,6 +137,16 @@ def test_median_modes(spark):
     assert r.z == [1.0] and r.p == [1.0, 0.0]
 
 
+@pytest.mark.parametrize("median", ["average", "lower"])
+def test_scoring_combined_in_the_task(spark, median):
+    rng = np.random.default_rng(8)
+    states = [{"layers": [(rng.normal(size=(3, 4)), rng.normal(size=4))], "head": (rng.normal(size=(4, 2)), rng.normal(size=2))} for _ in range(4)]
+    t = spark.createDataFrame([("s", i, 0, rng.normal(size=3).tolist()) for i in range(20)], "sample string, row int, col int, feat array<double>")
+    a = P.score_tokens(t, states, combine=median).orderBy("row").collect()
+    b = P.ensemble_combine(P.score_tokens(t, states), median).orderBy("row").collect()
+    assert np.allclose([r.z for r in a], [r.z for r in b]) and np.allclose([r.p for r in a], [r.p for r in b])
+
+
 def test_ties(spark):
     d = spark.createDataFrame([([0.4, 0.4, 0.2],)], "p array<double>")
     assert P.dominant_class(d).first().class_idx == 0

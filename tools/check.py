@@ -25,7 +25,7 @@ def norm(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return round(v, 6) + 0.0
+        return v + 0.0
     if hasattr(v, "as_tuple"):
         return float(v)
     return v
