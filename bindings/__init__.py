@@ -4,5 +4,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL
 
-for _m in ("manifest", "geometry", "spatial", "expression", "masks", "texture", "sampling", "scoring", "models"):
+__all__ = ["QUERIES", "SQL"]
+
+for _m in ("manifest", "geometry", "spatial", "expression", "masks", "texture", "sampling", "scoring", "models", "files"):
     import_module(f"{__name__}.{_m}")

@@ -1,11 +1,9 @@
 """Counts, reference profiles and proportions."""
 
-from pyspark.sql import functions as F
-
 from slideloom.operators import cells as Q, counts as C
 
 from . import fixtures as fx
-from .fixtures import r6, table
+from .fixtures import r6
 from .registry import query
 
 

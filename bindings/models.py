@@ -6,7 +6,7 @@ from slideloom.operators import ml as M
 from slideloom.operators.tiles import glcm_texture
 
 from . import fixtures as fx
-from .fixtures import r6, table
+from .fixtures import r6
 from .registry import query
 
 

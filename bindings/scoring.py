@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from slideloom.functions.arrays import doubles, outer_scaled
-from slideloom.operators import cells as C, predict as P
+from slideloom.operators import predict as P
 from slideloom.operators.samples import rank_domains
 from slideloom.plans.pipelines import hard_examples, predict_grid
 
 from . import fixtures as fx
-from .fixtures import CTES, cte, r6, table
+from .fixtures import cte, r6, table
 from .registry import query
 
 # --- a small fixed network: four hidden layers of six, four classes, two states ---

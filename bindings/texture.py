@@ -7,7 +7,7 @@ from slideloom.plans.pipelines import tissue_mask
 from slideloom.plans.scale import settle
 
 from . import fixtures as fx
-from .fixtures import CTES, cte, r6
+from .fixtures import cte, r6
 from .registry import query
 
 cte("tile16", """SELECT sample, y//16 AS row, x//16 AS col, sqrt(greatest(sum(n*(r*r+g*g+b*b))/(3.0*sum(n)) - pow(sum(n*(r+g+b))/(3.0*sum(n)),2),0)) AS sd,

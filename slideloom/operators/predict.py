@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F, types as T
 
-from ..functions.arrays import argmax_first, clip, l2_normalise, mean_across, median_across, total, let
+from ..functions.arrays import argmax_first, l2_normalise, mean_across, median_across, total, let
 from ..plans.scale import attach, exact_quantiles, hash32, reread
 
 
@@ -28,9 +28,6 @@ def score_tokens(tokens, states, keys=("sample", "row", "col"), feat="feat", slo
     ]
 
     def run(batches):
-        import numpy as np
-        import pandas as pd
-
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -227,8 +224,3 @@ def lognormal_moments(df, mean="mean", variance="variance"):
     return df.withColumns({
         "ln_mean": F.exp(m + v * 0.5), "ln_variance": (F.exp(v) - 1) * F.exp(m * 2 + v),
     })
-
-
-def eval_clip(df, col, lo, hi):
-    """Elementwise limits of an array column."""
-    return df.withColumn(col, clip(col, lo, hi))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..plans.scale import attach, attach_row
+from ..plans.scale import attach, attach_row, global_index
 
 # fixed values: column names of the positions file without a header
 POSITION_SCHEMA = "barcode string, in_tissue int, array_row int, array_col int, pxl_row int, pxl_col int"
@@ -36,19 +36,18 @@ def read_scale_factors(spark, path):
     return spark.read.schema("spot_diameter_fullres double").json(path, multiLine=True)
 
 
-def read_sparse_counts(spark, mtx, features, barcodes, feature_type="Gene Expression"):
+def read_sparse_counts(spark, mtx, features, barcodes, feature_type="Gene Expression", size_line=True):
     """1-based triplets plus two dictionaries to long counts (spot, gene, cnt) of one sample.
 
     Only ``feature_type`` rows stay; the id stands in for the symbol when every symbol
     is empty. Dictionary positions are line numbers; each dictionary is one file.
+    ``size_line`` says whether the triplets start with the matrix size.
     """
     def numbered(path, cols):
         t = spark.read.option("wholetext", False).text(path).select(
             F.split("value", "\t").alias("_v"), F.monotonically_increasing_id().alias("_m")
         )
-        # one dictionary file: at most a few million short lines
-        idx = F.row_number().over(Window.orderBy("_m"))
-        return t.select(idx.alias("_i"), *[F.get(F.col("_v"), F.lit(i)).alias(c) for i, c in enumerate(cols)])
+        return global_index(t, ["_m"], "_i").select((F.col("_i") + 1).alias("_i"), *[F.get(F.col("_v"), F.lit(i)).alias(c) for i, c in enumerate(cols)])
 
     feats = numbered(features, ["id", "symbol", "type"])
     some = feats.where(F.col("type").isNull() | (F.col("type") == feature_type)).agg(
@@ -64,9 +63,8 @@ def read_sparse_counts(spark, mtx, features, barcodes, feature_type="Gene Expres
         F.get(v, F.lit(0)).cast("long").alias("_g"), F.get(v, F.lit(1)).cast("long").alias("_b"),
         F.get(v, F.lit(2)).cast("double").alias("cnt"), F.monotonically_increasing_id().alias("_m"),
     )
-    # the first remaining line is the size line
-    head = trip.agg(F.min("_m").alias("_m"))
-    trip = attach(trip, head, "_m", "left_anti")
+    if size_line:
+        trip = attach(trip, trip.agg(F.min("_m").alias("_m")), "_m", "left_anti")
     return attach(attach(trip, feats, "_g", "inner"), bars, "_b", "inner").select("spot", "gene", "cnt")
 
 
