@@ -150,13 +150,14 @@ def _cut(counts, groups, budget, value):
     )
 
 
-def flag_smallest(df, groups, hash_col, ties, budget, flag="chosen"):
+def flag_smallest(df, groups, hash_col, ties, budget, flag="chosen", small_rows=500_000):
     """Mark exactly the ``n`` rows per group with the smallest (``hash_col``, ``ties``).
 
     ``budget`` holds one row per group: the group columns and ``n``. Rows are counted
     by the upper 16 bits of the hash, then by the whole hash inside the one bucket at
     the cut; only rows with exactly the cut's hash are ranked. The passes before the
-    last read only keys, and the wide rows are read once and never shuffled.
+    last read only keys, and the wide rows are read once and never shuffled. Up to
+    ``small_rows`` rows in all are simply ranked.
     """
     groups = list(groups)
     if not groups:
@@ -165,6 +166,13 @@ def flag_smallest(df, groups, hash_col, ties, budget, flag="chosen"):
         budget = budget.withColumn("_g", F.lit(0))
     h, one = F.col(hash_col), F.count(F.lit(1)).alias("_n")
     narrow = reread(df.select(*groups, hash_col, *ties).withColumn("_b", F.shiftright(h, 16)))
+    if narrow.limit(small_rows + 1).count() <= small_rows:
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(hash_col, *ties))
+        picked = settle(
+            narrow.join(budget.select(*groups, F.col("n").alias("_want")), groups).withColumn("_r", rank)
+            .where(F.col("_r") <= F.col("_want")).select(*groups, *ties, F.lit(True).alias(flag))
+        )
+        return df.join(picked, [*groups, *ties], "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("_g")
     sizes = settle(narrow.groupBy(*groups, "_b").agg(one))
     want = settle(
         budget.select(*groups, F.col("n").cast("long").alias("_want"))

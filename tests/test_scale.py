@@ -40,12 +40,12 @@ def test_nearest_neighbour_uneven_density(spark):
     assert len(got) == len(p) and np.allclose([got[i] for i in range(len(p))], d.min(1))
 
 
-@pytest.mark.parametrize("n_want", [0, 1, 777, 5000, 9000])
-def test_flag_smallest_is_exact(spark, n_want):
+@pytest.mark.parametrize("n_want,small", [(0, 0), (1, 0), (777, 0), (5000, 0), (9000, 0), (777, 10 ** 6), (0, 10 ** 6)])
+def test_flag_smallest_is_exact(spark, n_want, small):
     d = spark.range(5000).select(F.lit("hot").alias("g"), F.col("id"), hash32("id", 3).alias("h")).unionByName(
         spark.range(10).select(F.lit("cold").alias("g"), F.col("id"), hash32("id", 4).alias("h")))
     budget = spark.createDataFrame([("hot", n_want), ("cold", 4)], "g string, n long")
-    rows = flag_smallest(d, ["g"], "h", ["id"], budget).collect()
+    rows = flag_smallest(d, ["g"], "h", ["id"], budget, small_rows=small).collect()
     assert len(rows) == 5010
     hot = sorted((r.h, r.id) for r in rows if r.g == "hot")
     assert {r.id for r in rows if r.g == "hot" and r.chosen} == {i for _, i in hot[:n_want]}
@@ -54,8 +54,10 @@ def test_flag_smallest_is_exact(spark, n_want):
 
 def test_take_smallest_equal_hashes(spark):
     d = spark.range(100).select("id", F.lit(7).cast("long").alias("h"))
-    got = take_smallest(d, [], "h", ["id"], spark.createDataFrame([(30,)], "n long"))
-    assert sorted(r.id for r in got.collect()) == list(range(30))
+    budget = spark.createDataFrame([(30,)], "n long")
+    assert sorted(r.id for r in take_smallest(d, [], "h", ["id"], budget).collect()) == list(range(30))
+    two_level = flag_smallest(d, [], "h", ["id"], budget, small_rows=0).where("chosen")
+    assert sorted(r.id for r in two_level.collect()) == list(range(30))
 
 
 @pytest.mark.parametrize("accuracy", [20, 10_000])
