@@ -63,3 +63,27 @@ def op9(spark, sf_dir):
         F.col("_doc").alias("doc_id"), "source", "size", "source_size", "target", "taken",
         F.get(F.col("readings.position"), 0).alias("first_position"),
     )
+
+
+@query("op3_entropy_secrets")
+def op3(spark, sf_dir):
+    from slideloom.llm.secrets import BASE, find_secrets, written
+
+    out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), name="_spans").drop("text")
+    base = F.filter("_spans", lambda s: s["place"] < len(BASE))
+    many = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+    return out.select(
+        "doc_id", *[many(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(written(base), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"),
+        (F.size("_spans") - F.size(base)).cast("long").alias("n_entropy"),
+    )
+
+
+@query("op5_line_quality")
+def op5(spark, sf_dir):
+    from slideloom.llm.linequality import judge
+
+    return judge(table(spark, sf_dir, "documents")).select(
+        F.col("_doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "removed_words",
+    )
