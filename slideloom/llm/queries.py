@@ -87,3 +87,28 @@ def op5(spark, sf_dir):
         F.col("_doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "removed_words",
     )
+
+
+#: Hexadecimal to base32: 5 digits make 4 letters.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_NUMBER = " + ".join(f"(strpos('0123456789abcdef', substr(hex, 5 * g + {k + 1}, 1)) - 1) * {16 ** (4 - k)}" for k in range(5))
+_DIGITS = " || ".join(f"substr('{_LETTERS}', ((({_NUMBER}) // {32 ** (3 - k)}) % 32 + 1)::INTEGER, 1)" for k in range(4))
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+g AS (SELECT hex, min(page_id) AS first_id FROM h GROUP BY hex),
+d AS (SELECT hex, string_agg({_DIGITS}, '' ORDER BY g) AS payload_digest FROM (SELECT DISTINCT hex FROM h), range(8) AS r(g) GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM h JOIN g USING (hex) JOIN d USING (hex)
+"""
+
+
+@query("op2_dictionary_warc", WARC_SQL)
+def op2(spark, sf_dir):
+    from slideloom.llm.warc import read_warc, shared_folder, write_warc
+
+    folder = shared_folder(spark)
+    archives = write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
