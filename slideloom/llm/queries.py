@@ -112,3 +112,10 @@ def op2(spark, sf_dir):
     folder = shared_folder(spark)
     archives = write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_cross_polytope")
+def op6(spark, sf_dir):
+    from slideloom.llm.crosspoly import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
