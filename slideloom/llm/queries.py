@@ -119,3 +119,11 @@ def op6(spark, sf_dir):
     from slideloom.llm.crosspoly import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op8_recurrent_blocks")
+def op8(spark, sf_dir):
+    from slideloom.llm.blocks import extract
+
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
