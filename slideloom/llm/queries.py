@@ -127,3 +127,15 @@ def op8(spark, sf_dir):
 
     out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op10_license_dice")
+def op10(spark, sf_dir):
+    from slideloom.llm.licenses import scan
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), name="_found").drop("text")
+    best = F.get("_found", 0)
+    return out.select(
+        "doc_id", F.size("_found").cast("long").alias("n_matches"), best["license"].alias("license"), best["dice"].alias("dice"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("_found.license"))), ",").alias("licenses"),
+    )
