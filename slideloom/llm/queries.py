@@ -52,7 +52,30 @@ def op7(spark, sf_dir):
     )
 
 
-@query("op9_curriculum_mix")
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn,
+             [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM s),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS whole,
+             coalesce(sum(2.0::DOUBLE * source_size) OVER o, 0) AS filled, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS weight
+      FROM w WINDOW o AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max((whole - filled) / weight) FILTER (WHERE (whole - filled) / weight * w < cap) AS level FROM r),
+t AS (SELECT source, source_size, turn, CASE WHEN (whole - filled) / weight * w < cap THEN level * w ELSE cap END AS target FROM r, l),
+c AS (SELECT d.*, t.source_size, t.turn, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, greatest(least(quota - place, size), 0) AS once, greatest(least(quota - source_size - place, size), 0) AS twice FROM c),
+y AS (SELECT *, (place + once / 2.0::DOUBLE) / nullif(target, 0) AS y FROM k)
+SELECT doc_id, source, size, source_size, round(target, 6) AS target, (once + twice)::BIGINT AS taken,
+       CASE WHEN once > 0 THEN round(CASE turn % 3
+            WHEN 0 THEN y WHEN 1 THEN 2 * y / (0.5 + sqrt(0.25 + 2 * y)) ELSE 2 * y / (1.5 + sqrt(greatest(2.25 - 2 * y, 0))) END, 9) END AS first_position
+FROM y
+"""
+
+
+@query("op9_curriculum_mix", MIX_SQL)
 def op9(spark, sf_dir):
     from slideloom.llm.curriculum import plan_mix
 
@@ -60,8 +83,8 @@ def op9(spark, sf_dir):
     # rows alike in id and text were planned as one
     out = out.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return out.select(
-        F.col("_doc").alias("doc_id"), "source", "size", "source_size", "target", "taken",
-        F.get(F.col("readings.position"), 0).alias("first_position"),
+        F.col("_doc").alias("doc_id"), "source", "size", "source_size", F.round("target", 6).alias("target"), "taken",
+        F.round(F.get(F.col("readings.position"), 0), 9).alias("first_position"),
     )
 
 
