@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from slideloom.llm.common import text_of
+from slideloom.llm.common import spare, text_of
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
@@ -377,4 +377,4 @@ def extract(pages: DataFrame, html_column: str = "html", model: Labeller | None
             close()
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, name])
 
-    return pages.select(*kept, text_of(html_column).alias("_page")).mapInArrow(run, schema)
+    return pages.select(*kept, text_of(html_column).alias(spare(pages, "_page"))).mapInArrow(run, schema)

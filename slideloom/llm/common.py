@@ -24,6 +24,23 @@ def row_key(ident: str, text: str) -> dict[str, Column]:
     }
 
 
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns in one, _row, beside new ones: no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unboxed(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` out of _row, some of them replaced."""
+    return df.select(*[new.get(c, F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as make it new."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
 def number_within(df: DataFrame, group: str, order: list[str], name: str, rows_per_cell: int = 50_000) -> DataFrame:
     """Gapless 0-based number of each row in its group, for few groups of any size.
 

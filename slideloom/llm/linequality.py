@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from slideloom.llm.common import row_key
+from slideloom.llm.common import boxed, row_key, unboxed
 from slideloom.plans.scale import settle
 
 SYMBOLS = b"#*$%&|<>"
@@ -133,11 +133,12 @@ def clean(docs: DataFrame, ident: str = "doc_id", text: str = "text", host: str
     verdict = judged.where("kept").groupBy(F.col("_id").alias("_i"), F.col("_fp").alias("_f"), F.col("_host").alias("_h")).agg(
         F.first("removed").alias("_removed")
     )
-    keyed = docs.withColumns(row_key(ident, text))
-    out = keyed.join(verdict, (F.col("_id") == F.col("_i")) & (F.col("_fp") == F.col("_f")) & F.col(host).eqNullSafe(F.col("_h")))
-    left = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
-    changed = F.size("_removed") > 0
-    out = out.withColumn(text, F.when(changed, F.array_join(left, "\n")).otherwise(F.col(text)))
+    keyed = boxed(docs, **row_key(ident, text), _host=F.col(host))
+    out = keyed.join(verdict, (F.col("_id") == F.col("_i")) & (F.col("_fp") == F.col("_f")) & F.col("_host").eqNullSafe(F.col("_h")))
+    old, changed = F.col("_row")[text], F.size("_removed") > 0
+    left = F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
+    out = out.withColumn("_text", F.when(changed, F.array_join(left, "\n")).otherwise(old))
+    new = {text: F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.char_length(F.col(text))).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.char_length("_text")).otherwise(F.col("_row")["n_chars"])
+    return unboxed(out, docs, **new)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slideloom.llm.common import text_of
+from slideloom.llm.common import spare, text_of
 
 # Fixed patterns (kind, pattern, least length, what is measured: 0 the match, 2 its value). For access and
 # hex a run too short holds no longer match, so the least length is part of the pattern.
@@ -191,9 +191,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **settin
         tail = F.substr(body, F.array_max(F.transform(spans, lambda s: s["end"])) + 1)
         return F.concat(F.array_join(parts, ""), tail)
 
-    out = find_secrets(docs, text, "_secrets", **settings)
-    some = F.size("_secrets") > 0
-    out = out.withColumn(text, F.when(some, let(F.col("_secrets"), rewrite)).otherwise(body))
+    name = spare(docs, "_secrets")
+    out = find_secrets(docs, text, name, **settings)
+    some = F.size(name) > 0
+    out = out.withColumn(text, F.when(some, let(F.col(name), rewrite)).otherwise(body))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(some, F.char_length(body)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.drop("_secrets")
+    return out.drop(name)

@@ -85,7 +85,7 @@ def test_equals_brute_force(spark):
 
 def test_repeated_rows_null_ids_clashing_columns_and_empty(spark):
     rows = [(1, "x y " * 5 + " ".join(map(str, range(60))), "s", "lines", 7)] * 3 + [(None, " ".join(f"q{i}" for i in range(70)), None, "removed", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kept string, n_words int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, _fp int")
     assert len(judge(df).collect()) == 4
     out = clean(df)
     assert out.columns == df.columns and out.count() == 4

@@ -64,7 +64,7 @@ def test_spans_equal_brute_force(spark):
 
 def test_redaction(spark):
     rows = [(i, t, len(t) if t else None) for i, t in enumerate(texts())]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("kind", F.lit("x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("_secrets", F.lit("x"))
     got = {r.doc_id: r for r in redact(df).collect()}
     for i, t, n in rows:
         want, end = [], 0
