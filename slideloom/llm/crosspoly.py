@@ -101,8 +101,8 @@ def nearest(
     products, rows get one more component that gives all the same length
     (the longest), queries a zero: nearest by angle is then largest by product.
 
-    ``pilot`` rows, the same at every size, give each query a score that its k-th result
-    reaches for certain, so buckets return only rows that reach it. A vector
+    ``pilot`` rows, the same at every size, and then the best bucket of each table give each query
+    a score that its k-th result reaches for certain, so the other buckets return only rows that reach it. A vector
     that more than k + 1 rows share is indexed for the k + 1 smallest ids, which are all a result can
     hold. Buckets and probes of a bucket over ``block`` rows are cut into blocks that meet pairwise. For many more rows
     than 10,000 times the axes raise ``hashes``, which squares the number of buckets.
@@ -171,7 +171,8 @@ def nearest(
     stored = settle(index.mapInArrow(hashed, "id long, raw binary, codes array<long>"))
     search = settle(asked.mapInArrow(probed, "id long, raw binary, reach double, codes array<long>, found array<struct<id:long,score:double>>"))
     entries = stored.select("id", "raw", F.explode("codes").alias("bucket"))
-    wanted = search.select("id", "raw", "reach", F.explode("codes").alias("bucket"))
+    wanted = search.select("id", "raw", "reach", F.size("codes").alias("_s"), F.posexplode("codes").alias("_p", "bucket"))
+    wanted = wanted.withColumn("_first", F.col("_p") % (F.col("_s") / tables).cast("int") == 0).drop("_p", "_s")
     # big buckets are at most 100,000: each has over a 100,000th of all entries
     count = lambda d, name: d.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
     tally = settle(count(entries.select("bucket"), "n").join(count(wanted.select("bucket"), "q"), "bucket"))
@@ -186,7 +187,7 @@ def nearest(
     left = entries.join(F.broadcast(big), "bucket", "left").withColumn("np", mine("_np")).withColumn("qp", every("_qp"))
     right = wanted.join(F.broadcast(big), "bucket", "left").withColumn("qp", mine("_qp")).withColumn("np", every("_np"))
     keys = ["bucket", "np", "qp"]
-    left, right = left.select(*keys, "id", "raw"), right.select(*keys, "id", "raw", "reach")
+    left, right = left.select(*keys, "id", "raw"), right.select(*keys, "id", "raw", "reach", "_first")
 
     def rank(entries: pa.Table, wanted: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
@@ -198,8 +199,19 @@ def nearest(
         return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
 
     kinds = "query_id long, vec_id long, score double"
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, kinds)
-    first = search.select(F.col("id").alias("query_id"), F.explode("found").alias("_f")).select("query_id", F.col("_f.id").alias("vec_id"), F.col("_f.score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = hits.unionByName(first).repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def met(part):
+        return left.groupBy(*keys).cogroup(part.drop("_first").groupBy(*keys)).applyInArrow(rank, kinds)
+
+    def best(hits):
+        once = hits.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    # the best bucket of each table first: its k-th score is a far better bound for the others
+    first = search.select(F.col("id").alias("query_id"), F.explode("found").alias("_f")).select("query_id", F.col("_f.id").alias("vec_id"), F.col("_f.score").alias("score"))
+    first = settle(best(first.unionByName(met(right.where("_first")))))
+    reached = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("_reached"))
+    later = right.where("not _first").join(reached, "id", "left").withColumn("reach", F.greatest("reach", "_reached")).drop("_reached")
+    out = best(first.drop("rank").unionByName(met(later.select(*right.columns))))
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
