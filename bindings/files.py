@@ -63,7 +63,7 @@ def _(spark, sf):
     return R.read_domain_map(spark, p)
 
 
-@query("read_sparse_counts", "SELECT l_suppkey::VARCHAR AS spot, 'g'||(l_partkey%64) AS gene, sum(l_quantity) AS cnt FROM lineitem WHERE l_partkey%64 <> 5 GROUP BY 1,2")
+@query("read_sparse_counts", "SELECT 's1' AS sample, l_suppkey::VARCHAR AS spot, 'g'||(l_partkey%64) AS gene, sum(l_quantity) AS cnt FROM lineitem WHERE l_partkey%64 <> 5 GROUP BY ALL")
 def _(spark, sf):
     from slideloom.operators.counts import collapse_duplicates
     from slideloom.operators.samples import rank_domains
@@ -83,8 +83,8 @@ def _(spark, sf):
         F.concat_ws(" ", F.col("gene") + 1, F.col("i") + 1, F.col("cnt").cast("long")).alias("value")
     ).write.text(p["mtx"])
     return collapse_duplicates(
-        R.read_sparse_counts(spark, p["mtx"], p["features"], p["barcodes"], size_line=False)
-    ).select("spot", "gene", "cnt")
+        R.read_sparse_counts(spark, p["mtx"], p["features"], p["barcodes"], size_line=False, sample="s1")
+    ).select("sample", "spot", "gene", "cnt")
 
 
 @query("read_examples", "SELECT id AS example_id, CASE resolution WHEN 0 THEN 'vis' ELSE 'xen' END AS tech, domain_id::INT AS domain_id, t::INT AS n_tokens FROM examples WHERE resolution=0 AND domain_id IN (1,2,3)", ["examples"])
@@ -103,3 +103,30 @@ def _(spark, sf):
     p = _path(spark, "table")
     W.write_table(fx.props(spark, sf).select("spot", "domain_id", "ctype", r6("p", "p")).where("p >= 0.001"), p)
     return spark.read.csv(p, sep="\t", header=True)
+
+
+@query("read_vocab", "SELECT (row_number() OVER (ORDER BY c_name)-1)::INT AS class_idx, c_name AS ctype FROM customer")
+def _(spark, sf):
+    p = _path(spark, "vocab")
+    table(spark, sf, "customer").select("c_name").orderBy("c_name").coalesce(1).write.text(p)
+    return R.read_vocab(spark, p)
+
+
+@query("read_label_map", "SELECT p_name AS fine, max(p_brand) AS coarse FROM part GROUP BY 1")
+def _(spark, sf):
+    p = _path(spark, "labels")
+    pairs = table(spark, sf, "part").groupBy(F.col("p_name").alias("fine")).agg(F.max("p_brand").alias("coarse"))
+    # one object a file, as the format has it
+    one = pairs.groupBy(F.pmod(F.xxhash64("fine"), F.lit(4))).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("fine", "coarse")))).alias("value"))
+    one.select("value").repartition(4, "value").write.option("maxRecordsPerFile", 1).text(p)
+    return R.read_label_map(spark, p)
+
+
+@query("read_scale_factors", "SELECT l_quantity::DOUBLE AS spot_diameter_fullres, count(*) AS n FROM lineitem WHERE l_linenumber=1 AND l_orderkey%97=0 GROUP BY 1")
+def _(spark, sf):
+    p = _path(spark, "scales")
+    d = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_orderkey % 97 = 0").select(
+        F.col("l_quantity").cast("double").alias("spot_diameter_fullres"), F.lit(0.5).alias("tissue_hires_scalef")
+    )
+    d.coalesce(1).write.option("maxRecordsPerFile", 1).json(p)
+    return R.read_scale_factors(spark, p).groupBy("spot_diameter_fullres").agg(F.count(F.lit(1)).alias("n"))

@@ -83,32 +83,39 @@ def label_table(spark, sf):
 
 
 # --- counts ---------------------------------------------------------------
-cte("raw_counts", "SELECT l_orderkey AS spot, l_suppkey%64 AS gene, l_quantity AS cnt FROM lineitem")
-cte("counts", "SELECT spot, gene, sum(cnt) AS cnt FROM raw_counts GROUP BY 1,2", ("raw_counts",))
-cte("ref_counts", "SELECT l_partkey AS cell, l_suppkey%64 AS gene, sum(l_quantity) AS cnt FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2")
-cte("ref_labels", "SELECT p_partkey AS cell, p_brand AS ctype, p_type AS grp FROM part")
+# three samples whose barcodes and cells have the same names
+cte("raw_counts", "SELECT 's'||(l_suppkey%3) AS sample, l_orderkey AS spot, l_partkey%64 AS gene, l_quantity AS cnt FROM lineitem")
+cte("counts", "SELECT sample, spot, gene, sum(cnt) AS cnt FROM raw_counts GROUP BY ALL", ("raw_counts",))
+cte("ref_counts", "SELECT 's'||(l_suppkey%3) AS sample, l_partkey AS cell, l_orderkey%64 AS gene, sum(l_quantity) AS cnt FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY ALL")
+cte("ref_labels", "SELECT 's'||k AS sample, p_partkey AS cell, 'type'||((p_partkey+k)%5) AS ctype, p_type AS grp FROM part, generate_series(0,2) t(k)")
+
+
+def _sample():
+    return F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("sample")
 
 
 def raw_counts(spark, sf):
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("spot"), (F.col("l_suppkey") % 64).alias("gene"), F.col("l_quantity").alias("cnt")
+        _sample(), F.col("l_orderkey").alias("spot"), (F.col("l_partkey") % 64).alias("gene"), F.col("l_quantity").alias("cnt")
     )
 
 
 def counts(spark, sf):
-    return raw_counts(spark, sf).groupBy("spot", "gene").agg(F.sum("cnt").alias("cnt"))
+    return raw_counts(spark, sf).groupBy("sample", "spot", "gene").agg(F.sum("cnt").alias("cnt"))
 
 
 def ref_counts(spark, sf):
     l, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     return l.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(
-        F.col("l_partkey").alias("cell"), (F.col("l_suppkey") % 64).alias("gene")
+        _sample(), F.col("l_partkey").alias("cell"), (F.col("l_orderkey") % 64).alias("gene")
     ).agg(F.sum("l_quantity").alias("cnt"))
 
 
 def ref_labels(spark, sf):
-    return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("cell"), F.col("p_brand").alias("ctype"), F.col("p_type").alias("grp")
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
+    return table(spark, sf, "part").select("*", k.alias("k")).select(
+        F.concat(F.lit("s"), F.col("k").cast("string")).alias("sample"), F.col("p_partkey").alias("cell"),
+        F.concat(F.lit("type"), ((F.col("p_partkey") + F.col("k")) % 5).cast("string")).alias("ctype"), F.col("p_type").alias("grp"),
     )
 
 

@@ -6,9 +6,10 @@ from slideloom.operators import cells as C, coreset as K
 
 from . import fixtures as fx
 from .fixtures import cte, r6, table
+from .spatial import _DISK
 from .registry import query
 
-_H = "({0}*2654435761+{1})%4294967296"
+_H = "((({0})::HUGEINT*2654435761+{1})%4294967296)::BIGINT"
 
 cte("spot_entropy", """SELECT spot, domain_id, cls, entropy, CASE WHEN entropy>=e1 THEN 1 ELSE 0 END + CASE WHEN entropy>=e2 THEN 1 ELSE 0 END AS ebin FROM (
  SELECT *, quantile_cont(entropy, 1.0/3) OVER (PARTITION BY domain_id) AS e1, quantile_cont(entropy, 2.0/3) OVER (PARTITION BY domain_id) AS e2 FROM (
@@ -50,14 +51,36 @@ def _(spark, sf):
     return K.coreset_stratified(fx.label_table(spark, sf), seed=5, scheme="mul")
 
 
-@query("coreset_kcenter")
+_CELLS = "SELECT spot, domain_id, lv, string_agg(floor(p*pow(2,lv))::BIGINT::VARCHAR, ',' ORDER BY class_idx) AS c FROM labels_full, generate_series(0,13) g(lv) WHERE domain_id>=0 GROUP BY 1,2,3"
+
+
+@query("coreset_kcenter", f"""WITH ce AS ({_CELLS}), oc AS (SELECT domain_id, lv, count(DISTINCT c) AS n FROM ce WHERE lv<=12 GROUP BY 1,2),
+ft AS (SELECT domain_id, budget, coalesce(max(lv) FILTER (WHERE n<=budget),0) AS lv FROM budget JOIN oc USING (domain_id) GROUP BY 1,2),
+hs AS (SELECT DISTINCT spot, domain_id, {_H.format('spot', 0)} AS h FROM labels_full WHERE domain_id>=0),
+rp AS (SELECT spot, domain_id, c.lv-f.lv AS t, row_number() OVER (PARTITION BY domain_id, c.lv, c ORDER BY h, spot) AS r FROM ce c JOIN ft f USING (domain_id) JOIN hs USING (spot, domain_id) WHERE c.lv-f.lv IN (0,1)),
+tr AS (SELECT spot, domain_id, min(t) AS t FROM rp WHERE r=1 GROUP BY 1,2),
+rk AS (SELECT domain_id, spot, row_number() OVER (PARTITION BY domain_id ORDER BY coalesce(t,2)*1073741824+h//4, spot) AS r FROM hs LEFT JOIN tr USING (spot, domain_id))
+SELECT domain_id, spot FROM rk JOIN ft USING (domain_id) WHERE r<=budget""", ["labels_full", "budget"])
 def _(spark, sf):
-    return K.coreset_kcenter(fx.label_table(spark, sf))
+    return K.coreset_kcenter(fx.label_table(spark, sf), scheme="mul")
 
 
-@query("coreset_kcenter_net")
+# the whole spot path: labels, coreset, tokens; a sample for each domain, all with the same grid
+@query("soft_examples", f"""WITH {_ALLOC}, kept AS (SELECT domain_id, spot FROM (SELECT s.*, alloc, row_number() OVER (PARTITION BY domain_id, cls, ebin ORDER BY {_H.format('spot', 5)}, spot) AS r
+ FROM spot_entropy s JOIN al USING (domain_id, cls, ebin)) WHERE r<=alloc)
+SELECT 's'||domain_id AS sample, spot, domain_id, round(p,6) AS y0, pos::INT AS pos, round(feat[1]::DOUBLE,6) AS first FROM kept JOIN labels_full USING (domain_id, spot) JOIN ({_DISK}) USING (spot) WHERE class_idx=0 AND n=13""",
+       ["spot_entropy", "budget", "labels_full", "grid_spots", "tokens"])
 def _(spark, sf):
-    return K.coreset_kcenter(fx.label_table(spark, sf), exact_limit=0)
+    from slideloom.plans.pipelines import soft_examples
+
+    name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    p = fx.props(spark, sf).withColumn("sample", name("domain_id"))
+    domains = p.select("sample", "domain_id").distinct()
+    spots = fx.grid_spots(spark, sf).drop("sample").join(p.select("sample", "spot").distinct(), "spot")
+    t = fx.tokens(spark, sf).withColumn("sample", F.explode(F.array(*[F.lit(f"s{i}") for i in range(5)])))
+    d = soft_examples(p.drop("domain_id"), fx.vocab(spark, sf), spots, t, domains, 2, seed=5, ids="spot", scheme="mul")
+    d = d.select("sample", "spot", "domain_id", r6(F.get("y", F.lit(0)), "y0"), F.posexplode("tokens").alias("pos", "f"))
+    return d.select("sample", "spot", "domain_id", "y0", "pos", r6(F.get("f", F.lit(0)).cast("double"), "first"))
 
 
 @query("domain_counts", "SELECT domain_id, count(*) AS n FROM examples WHERE domain_id>=0 GROUP BY 1", ["examples"])
@@ -74,7 +97,7 @@ def _(spark, sf):
 grp AS (SELECT domain_id, min(pos) AS off, count(*) AS n, row_number() OVER (PARTITION BY domain_id>=0 ORDER BY domain_id)-1 AS k FROM rws GROUP BY 1),
 tot AS (SELECT count(*) FILTER (domain_id>=0) AS d, coalesce(sum(n) FILTER (domain_id<0),0)::BIGINT AS u FROM grp),
 slot AS (SELECT CASE WHEN domain_id>=0 THEN k ELSE d END AS slot, off, n FROM grp, tot),
-dr AS (SELECT i AS draw, floor({_H.format('i', 3)}/4294967296.0::DOUBLE*(d+u))::BIGINT AS x, {_H.format('(i*69069+1)', 3)}/4294967296.0::DOUBLE AS u2, d FROM (SELECT unnest(generate_series(0,(SELECT count(*)-1 FROM examples))) AS i), tot)
+dr AS (SELECT i AS draw, floor({_H.format('i', 3)}/4294967296.0::DOUBLE*(d+u))::BIGINT AS x, {_H.format('i::HUGEINT*69069+1', 3)}/4294967296.0::DOUBLE AS u2, d FROM (SELECT unnest(generate_series(0,(SELECT count(*)-1 FROM examples))) AS i), tot)
 SELECT draw, id, domain_id FROM (SELECT draw, off + CASE WHEN x<d THEN floor(u2*n)::BIGINT ELSE x-d END AS pos FROM dr JOIN slot ON slot=least(x,d)) JOIN rws USING (pos)""", ["examples"])
 def _(spark, sf):
     e = fx.examples(spark, sf)

@@ -137,7 +137,7 @@ def _(spark, sf):
     return P.early_stop(_curve(spark, sf), 2)
 
 
-@query("recon_error", """SELECT round(avg(pow(v-1.1::DOUBLE*v*v,2)),6) AS recon, count(*) AS n_values FROM token_dims WHERE ((vec_id*65536+dim)*2654435761+4)%4294967296 < floor(0.3::DOUBLE*4294967296)""", ["token_dims"])
+@query("recon_error", """SELECT round(avg(pow(v-1.1::DOUBLE*v*v,2)),6) AS recon, count(*) AS n_values FROM token_dims WHERE ((vec_id*65536+dim)::HUGEINT*2654435761+4)%4294967296 < floor(0.3::DOUBLE*4294967296)""", ["token_dims"])
 def _(spark, sf):
     t = fx.tokens(spark, sf).select("vec_id", F.col("feat").alias("x"), F.transform("feat", lambda v: 1.1 * v.cast("double") * v.cast("double")).alias("xhat"))
     return P.recon_error(t, "vec_id", seed=4, scheme="mul").select(r6("recon", "recon"), "n_values")
@@ -221,17 +221,21 @@ def _(spark, sf):
 
 # --- whole cell path ---------------------------------------------------------
 @query("hard_examples", """WITH v AS (SELECT (dense_rank() OVER (ORDER BY s)-1)::INT AS class_idx, s FROM (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment<>'MACHINERY')),
-c AS (SELECT DISTINCT p.sample, p.cell_id, class_idx FROM pairs p JOIN customer ON c_custkey=p.cell_id JOIN v ON c_mktsegment=s),
+qc AS (SELECT o_custkey AS cell_id FROM orders GROUP BY 1 HAVING sum(o_totalprice)>=1000000 AND count(DISTINCT o_orderpriority)>=4),
+c AS (SELECT DISTINCT p.sample, p.cell_id, class_idx FROM pairs p JOIN customer ON c_custkey=p.cell_id JOIN v ON c_mktsegment=s WHERE p.cell_id IN (SELECT cell_id FROM qc)),
 s AS (SELECT class_idx, count(*) AS n, sum(count(*)) OVER () AS t FROM c GROUP BY 1), q AS (SELECT *, 200.0::DOUBLE*n/t AS q FROM s),
 a AS (SELECT class_idx, floor(q) + CASE WHEN row_number() OVER (ORDER BY q-floor(q) DESC, class_idx::VARCHAR) <= 200-sum(floor(q)) OVER () THEN 1 ELSE 0 END AS k FROM q),
-ch AS (SELECT * FROM (SELECT c.*, k, row_number() OVER (PARTITION BY class_idx ORDER BY (cell_id*2654435761+1)%4294967296, cell_id) AS r FROM c JOIN a USING (class_idx)) WHERE r<=k),
-r AS (SELECT p.sample, p.cell_id, p.bin_id, class_idx, row_number() OVER (PARTITION BY p.cell_id ORDER BY (bin_id*2654435761+1)%4294967296, bin_id) AS hr, row_number() OVER (PARTITION BY p.cell_id ORDER BY bin_id) AS br, count(*) OVER (PARTITION BY p.cell_id) AS k FROM pairs p JOIN ch USING (cell_id))
+ch AS (SELECT * FROM (SELECT c.*, k, row_number() OVER (PARTITION BY class_idx ORDER BY (cell_id::HUGEINT*2654435761+1)%4294967296, cell_id) AS r FROM c JOIN a USING (class_idx)) WHERE r<=k),
+r AS (SELECT p.sample, p.cell_id, p.bin_id, class_idx, row_number() OVER (PARTITION BY p.cell_id ORDER BY (bin_id::HUGEINT*2654435761+1)%4294967296, bin_id) AS hr, row_number() OVER (PARTITION BY p.cell_id ORDER BY bin_id) AS br, count(*) OVER (PARTITION BY p.cell_id) AS k FROM pairs p JOIN ch USING (cell_id))
 SELECT sample, cell_id, class_idx, p::INT AS pos, bin_id FROM r, generate_series(0,4) t(p) WHERE CASE WHEN k>=5 THEN hr=p+1 ELSE br=p%k+1 END""", ["pairs"])
 def _(spark, sf):
     cells = fx.cells(spark, sf)
-    ann = cells.where("cell_state <> 'MACHINERY'").select("cell_id", "cell_state")
+    ann = cells.where("cell_state <> 'MACHINERY'").select("sample", "cell_id", "cell_state")
+    counts = table(spark, sf, "orders").groupBy(
+        F.lit("s0").alias("sample"), F.col("o_custkey").alias("cell_id"), F.col("o_orderpriority").alias("gene")
+    ).agg(F.sum("o_totalprice").alias("cnt"))
     names = ann.select("cell_state").distinct()
     mapping = names.select(F.col("cell_state").alias("fine"), F.col("cell_state").alias("coarse"))
     vocab = rank_domains(names, "cell_state", "class_idx").withColumnRenamed("cell_state", "ctype")
-    d = hard_examples(cells.drop("cell_state"), ann, mapping, None, fx.bins(spark, sf), vocab, 4, 10, 5, 200, seed=1, scheme="mul")
+    d = hard_examples(cells.drop("cell_state"), ann, mapping, counts, fx.bins(spark, sf), vocab, 4, 10, 5, 200, seed=1, scheme="mul", min_counts=1_000_000, min_genes=4)
     return d.select("sample", "cell_id", "class_idx", "pos", "bin_id")

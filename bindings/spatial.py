@@ -65,7 +65,7 @@ def _(spark, sf):
     return C.order_tokens(pairs(spark, sf))
 
 
-@query("pad_or_sample_tokens", """WITH r AS (SELECT sample, cell_id, bin_id, row_number() OVER (PARTITION BY cell_id ORDER BY (bin_id*2654435761+7)%4294967296, bin_id) AS hr,
+@query("pad_or_sample_tokens", """WITH r AS (SELECT sample, cell_id, bin_id, row_number() OVER (PARTITION BY cell_id ORDER BY (bin_id::HUGEINT*2654435761+7)%4294967296, bin_id) AS hr,
  row_number() OVER (PARTITION BY cell_id ORDER BY bin_id) AS br, count(*) OVER (PARTITION BY cell_id) AS k FROM pairs)
 SELECT sample, cell_id, p::INT AS pos, bin_id FROM r, generate_series(0,5) t(p) WHERE CASE WHEN k>=6 THEN hr=p+1 ELSE br=p%k+1 END""", ["pairs"])
 def _(spark, sf):
@@ -83,20 +83,24 @@ def _(spark, sf):
     return C.merge_features(fx.bins(spark, sf), f)
 
 
-@query("annotate_cells", """SELECT c_custkey AS cell_id, CASE WHEN c_acctbal>0 THEN n_name END AS cell_state, CASE WHEN c_acctbal>0 AND n_regionkey<4 THEN r_name END AS cell_type
-FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey""")
+@query("annotate_cells", """SELECT 's'||k AS sample, c_custkey AS cell_id, CASE WHEN c_acctbal>k*1000 THEN n_name END AS cell_state, CASE WHEN c_acctbal>k*1000 AND n_regionkey<4 THEN r_name END AS cell_type
+FROM customer, generate_series(0,2) t(k), nation, region WHERE (c_nationkey+k)%25=n_nationkey AND n_regionkey=r_regionkey""")
 def _(spark, sf):
+    # three samples with the same cell ids and other states
     c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
-    ann = c.where("c_acctbal > 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("cell_id"), F.col("n_name").alias("cell_state"))
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
+    c = c.select("*", k.alias("k")).withColumn("sample", F.concat(F.lit("s"), F.col("k").cast("string"))).withColumnRenamed("c_custkey", "cell_id")
+    ann = c.where(F.col("c_acctbal") > F.col("k") * 1000).join(n, (F.col("c_nationkey") + F.col("k")) % 25 == F.col("n_nationkey"))
     m = n.where("n_regionkey < 4").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("fine"), F.col("r_name").alias("coarse"))
-    return C.annotate_cells(c.select(F.col("c_custkey").alias("cell_id")), ann, m).select("cell_id", "cell_state", "cell_type")
+    out = C.annotate_cells(c.select("sample", "cell_id"), ann.select("sample", "cell_id", F.col("n_name").alias("cell_state")), m)
+    return out.select("sample", "cell_id", "cell_state", "cell_type")
 
 
 @query("annotate_partial", "SELECT d.doc_id AS cell_id, l.quality::VARCHAR AS cell_state, CASE l.quality WHEN 1 THEN 'kept' END AS cell_type FROM documents d LEFT JOIN labels l USING (doc_id)")
 def _(spark, sf):
     ann = table(spark, sf, "labels").select(F.col("doc_id").alias("cell_id"), F.col("quality").cast("string").alias("cell_state"))
     m = spark.createDataFrame([("1", "kept")], "fine string, coarse string")
-    return C.annotate_cells(table(spark, sf, "documents").select(F.col("doc_id").alias("cell_id")), ann, m).select("cell_id", "cell_state", "cell_type")
+    return C.annotate_cells(table(spark, sf, "documents").select(F.col("doc_id").alias("cell_id")), ann, m, ["cell_id"]).select("cell_id", "cell_state", "cell_type")
 
 
 _SEG = "SELECT (dense_rank() OVER (ORDER BY s)-1)::INT AS class_idx, s FROM (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment<>'MACHINERY')"
@@ -150,10 +154,10 @@ def _(spark, sf):
     return S.key_except(fx.props(spark, sf).select("spot").distinct(), _spot_pos(spark, sf), ["spot"])
 
 
-@query("align_counts", "SELECT spot, gene, cnt FROM counts WHERE spot IN (SELECT o_orderkey FROM orders WHERE o_orderstatus='F')", ["counts"])
+@query("align_counts", "SELECT sample, spot, gene, cnt FROM counts WHERE spot IN (SELECT o_orderkey FROM orders WHERE o_orderstatus='F')", ["counts"])
 def _(spark, sf):
     pos = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("spot"))
-    return S.align_counts(fx.counts(spark, sf), pos, ["spot"]).select("spot", "gene", "cnt")
+    return S.align_counts(fx.counts(spark, sf), pos, ["spot"]).select("sample", "spot", "gene", "cnt")
 
 
 @query("align_columns", """SELECT spot, 0.0::DOUBLE AS extra_first, round(coalesce(max(CASE WHEN ctype='5-LOW' THEN p END),0),6) AS "5-LOW", 0.0::DOUBLE AS absent,

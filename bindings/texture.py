@@ -66,6 +66,26 @@ def _(spark, sf):
     return d.select("row", "col", r6("density", "density"), "low_density")
 
 
+# two samples, one with seven in eight tiles: each has as many bins as its own tiles give
+_DEFAULT = f"""WITH t AS (SELECT *, CASE WHEN (row+col)%8=0 THEN 'small' ELSE 'large' END AS s FROM tile_z),
+u0 AS (SELECT *, greatest(floor(count(*) OVER (PARTITION BY s)*0.05::DOUBLE),1)::BIGINT AS b FROM t),
+u AS (SELECT *, (z-min(z) OVER p)/nullif(max(z) OVER p-min(z) OVER p,0)*b AS ux, (sd-min(sd) OVER p)/nullif(max(sd) OVER p-min(sd) OVER p,0)*b AS uy FROM u0 WINDOW p AS (PARTITION BY s)),
+h AS (SELECT s, b, least(floor(ux),b-1)::BIGINT AS bx, least(floor(uy),b-1)::BIGINT AS by, count(*)::DOUBLE AS n FROM u GROUP BY ALL),
+kw AS (SELECT d, exp(-d*d/2.0::DOUBLE)/sum(exp(-d*d/2.0::DOUBLE)) OVER () AS w FROM generate_series(-4,4) t(d)),
+cc AS (SELECT DISTINCT s, b, (ceil(ux)-1)::BIGINT AS cx, (ceil(uy)-1)::BIGINT AS cy FROM u WHERE ux>0 AND uy>0),
+mi AS (SELECT s, b, cx, cy, a.w*c.w AS w, cx+a.d AS mx, cy+c.d AS my FROM cc, kw a, kw c),
+rf AS (SELECT s, cx, cy, w, (mx%(2*b)+2*b)%(2*b) AS mx, (my%(2*b)+2*b)%(2*b) AS my, b FROM mi),
+dn AS (SELECT rf.s, cx, cy, sum(w*coalesce(n,0)) AS dens FROM rf LEFT JOIN h ON h.s=rf.s AND h.bx=CASE WHEN mx>=rf.b THEN 2*rf.b-1-mx ELSE mx END AND h.by=CASE WHEN my>=rf.b THEN 2*rf.b-1-my ELSE my END GROUP BY ALL)
+SELECT u.s AS sample, row, col, round(coalesce(dens,0),6) AS density, coalesce(dens,0)<3 AS low_density FROM u LEFT JOIN dn ON dn.s=u.s AND cx=(ceil(ux)-1)::BIGINT AND cy=(ceil(uy)-1)::BIGINT"""
+
+
+@query("density_flag_default", _DEFAULT, ["tile_z"])
+def _(spark, sf):
+    t = T.weighted_intensity(tiles(spark, sf)).withColumn("sample", F.when((F.col("row") + F.col("col")) % 8 == 0, "small").otherwise("large"))
+    d = T.density_flag(t, thresh=3.0, bins_per_tile=0.05)
+    return d.select("sample", "row", "col", r6("density", "density"), "low_density")
+
+
 _HIST = """hist AS (SELECT bin, any_value(lo)+(bin+0.5)*any_value((hi-lo)/{b}) AS center, count(*) AS n FROM (
  SELECT least(floor((v-lo)/(hi-lo)*{b}),{b}-1)::INT AS bin, lo, hi FROM src, (SELECT min(v) AS lo, max(v) AS hi FROM src)) GROUP BY 1)"""
 _CUM = """SELECT bin, round(center,6) AS center, n, sum(n) OVER (ORDER BY bin)::BIGINT AS below, sum(n) OVER (ORDER BY bin DESC)::BIGINT AS above FROM hist"""

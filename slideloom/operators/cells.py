@@ -10,19 +10,20 @@ from ..plans.scale import (
 )
 
 
-def qc_cells(counts, min_counts=50, min_genes=20, cell="cell", cnt="cnt"):
+def qc_cells(counts, min_counts=50, min_genes=20, cell=("sample", "cell"), cnt="cnt"):
     """Counts of cells with enough counts and enough detected genes."""
-    keep = counts.groupBy(cell).agg(
+    cell = list(cell)
+    keep = counts.groupBy(*cell).agg(
         F.sum(cnt).alias("_c"), F.count(F.when(F.col(cnt) > 0, 1)).alias("_g")
-    ).where((F.col("_c") >= min_counts) & (F.col("_g") >= min_genes)).select(cell)
+    ).where((F.col("_c") >= min_counts) & (F.col("_g") >= min_genes)).select(*cell)
     return counts.join(keep, cell, "left_semi")
 
 
-def annotate_cells(cells, ann, mapping, on="cell_id", label="cell_state", out="cell_type"):
+def annotate_cells(cells, ann, mapping, on=("sample", "cell_id"), label="cell_state", out="cell_type"):
     """Left join of annotations, then a map lookup; unmapped labels stay NULL."""
     m = mapping.select(F.col("fine").alias(label), F.col("coarse").alias(out))
-    joined = cells.join(ann.select(on, label), on, "left")
-    return attach(joined, m, label)
+    on = list(on)
+    return cells.join(ann.select(*on, label), on, "left").join(m, label, "left")
 
 
 def label_matrix(cells, vocab, n_classes, label="cell_type", out="onehot"):

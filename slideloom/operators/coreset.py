@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions.arrays import argmax_first, entropy
+from ..functions.arrays import argmax_first, doubles, entropy
 from ..plans.scale import attach, attach_row, exact_quantiles, global_index, hash32, reread, settle, take_smallest
 
 
@@ -75,68 +75,40 @@ def coreset_stratified(labels, frac=0.25, seed=0, ids="spot", y="y", by="domain_
     return take_smallest(d, [by, "cls", "ebin"], "_h", [ids], alloc).drop("_h")
 
 
-def coreset_kcenter(labels, frac=0.25, seed=0, ids="spot", y="y", by="domain_id", exact_limit=20_000, max_level=12):
-    """Keys that cover label space, ``coreset_budget`` per domain.
+def coreset_kcenter(labels, frac=0.25, seed=0, ids="spot", y="y", by="domain_id", levels=12, scheme="xx"):
+    """Keys that cover label space, ``coreset_budget`` per domain, by one rule at every size.
 
-    Domains up to ``exact_limit`` rows run greedy farthest-first (start: smallest
-    hash; ties: smallest id). Farthest-first is sequential, so larger domains use a
-    net: label vectors are cut into cells of side 2**-level, the finest level whose
-    cells fit the budget gives one key per cell, the next finer level fills the
-    rest, then hash order. Every row is then within one cell diagonal of a key.
+    Farthest-first choice is sequential, so a net takes its place: label vectors are
+    cut into cells of side 2**-level. The finest level (at most ``levels``) whose occupied
+    cells fit the budget gives the row of smallest hash of every cell, those of
+    the next finer level come next, then all others in hash order. Every row of a domain is
+    within one cell diagonal, sqrt(width) * 2**-level, of a kept row, where that level exists.
     """
-    labels = reread(labels.select(by, ids, y))
-    budget = settle(coreset_budget(labels, frac, by))
-    d = attach(labels.select(by, ids, F.col(y).alias("_y")), budget, by, "inner").withColumn("_h", hash32(ids, seed))
-    k1, k2 = (labels.schema[c].dataType.simpleString() for c in (by, ids))
-
-    def greedy(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(ids, kind="stable").reset_index(drop=True)
-        m = np.stack([np.asarray(v, dtype=float) for v in pdf["_y"]])
-        want = min(int(pdf["budget"].iloc[0]), len(m))
-        got = [int(pdf["_h"].to_numpy().argmin())]
-        d2 = ((m - m[got[0]]) ** 2).sum(axis=1)
-        taken = np.zeros(len(m), bool)
-        taken[got[0]] = True
-        while len(got) < want:
-            i = int(np.where(taken, -1.0, d2).argmax())
-            got.append(i)
-            taken[i] = True
-            d2 = np.minimum(d2, ((m - m[i]) ** 2).sum(axis=1))
-        return pdf.loc[sorted(got), [by, ids]]
-
-    exact = d.where(F.col("n_domain") <= exact_limit).groupBy(by).applyInPandas(greedy, f"{by} {k1}, {ids} {k2}")
-    if budget.where(F.col("n_domain") > exact_limit).isEmpty():
-        return exact
-    big = settle(d.where(F.col("n_domain") > exact_limit))
+    d = settle(labels.select(by, ids, doubles(y).alias("_y")))
+    budget = settle(coreset_budget(d, frac, by))
+    known = d.join(budget.select(by), by, "left_semi").withColumn("_h", hash32(ids, seed, scheme))
 
     def cell(level):
-        return F.transform("_y", lambda v: F.floor(v * float(2 ** level)).cast("int"))
-
-    # finest level per domain whose occupied cells fit the budget
-    fits = None
-    for level in range(max_level + 1):
-        n = big.select(by, "budget", cell(level).alias("_c")).distinct().groupBy(by, "budget").agg(F.count(F.lit(1)).alias("_n"))
-        ok = settle(n.where(F.col("_n") <= F.col("budget")).select(by, F.lit(level).alias("_lv")))
-        if ok.isEmpty():
-            break
-        fits = ok if fits is None else fits.unionByName(ok)
-    if fits is None:
-        lv = big.select(by).distinct().withColumn("_lv", F.lit(0))
-    else:
-        lv = fits.groupBy(by).agg(F.max("_lv").alias("_lv"))
-    big = attach(big, lv, by).withColumn("_lv", F.coalesce("_lv", F.lit(0)))
-    at = lambda extra: F.transform("_y", lambda v: F.floor(v * F.pow(F.lit(2.0), F.col("_lv") + extra)).cast("int"))
-    rep = lambda extra, tag: big.groupBy(by, at(extra).alias("_c")).agg(
-        F.min(F.struct("_h", ids)).alias("_m")
-    ).select(by, F.col(f"_m.{ids}").alias(ids), F.lit(tag).alias("_t"))
-    tier = rep(0, 0).unionByName(rep(1, 1)).groupBy(by, ids).agg(F.min("_t").alias("_t"))
-    ranked = big.join(tier, [by, ids], "left").withColumn(
+        return F.transform("_y", lambda v: F.floor(v * F.pow(F.lit(2.0), level)).cast("long"))
+
+    # all levels in one pass; cells nest, so their number never falls
+    every = known.select(by, F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_lv"), "_y")
+    occupied = every.select(by, "_lv", cell(F.col("_lv")).alias("_c")).distinct().groupBy(by, "_lv").agg(F.count(F.lit(1)).alias("_n"))
+    fits = settle(budget.join(occupied, by).groupBy(by, "budget").agg(
+        F.coalesce(F.max(F.when(F.col("_n") <= F.col("budget"), F.col("_lv"))), F.lit(0)).alias("_lv")
+    ))
+    at = settle(known.join(fits.select(by, "_lv"), by))
+
+    def first(extra):
+        best = at.groupBy(by, cell(F.col("_lv") + extra).alias("_c")).agg(F.min(F.struct("_h", ids)).alias("_m"))
+        return best.select(by, F.col(f"_m.{ids}").alias(ids), F.lit(extra).alias("_t"))
+
+    tier = first(0).unionByName(first(1)).groupBy(by, ids).agg(F.min("_t").alias("_t"))
+    ranked = at.select(by, ids, "_h").join(tier, [by, ids], "left").withColumn(
         "_h", F.coalesce("_t", F.lit(2)).cast("long") * 1073741824 + F.shiftright("_h", 2)
     )
-    net = take_smallest(ranked.select(by, ids, "_h"), [by], "_h", [ids], budget.withColumnRenamed("budget", "n"))
-    return exact.unionByName(net.select(by, ids))
+    kept = take_smallest(ranked.select(by, ids, "_h"), [by], "_h", [ids], budget.select(by, F.col("budget").alias("n")))
+    return kept.select(by, ids)
 
 
 def domain_counts(examples, by="domain_id"):

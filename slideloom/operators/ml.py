@@ -169,23 +169,21 @@ def gmm(df, feats=("homogeneity", "energy", "entropy"), k=4, by="sample", keys=(
     return rows.mapInPandas(label, cols + ", cluster int")
 
 
-def harmonise_batches(df, batch="sample", ids="id", feat="pc", clusters=None, rounds=3, sigma=0.1, theta=2.0, ridge=1.0, seed=42):
+def harmonise_batches(df, batch="sample", ids="id", feat="pc", clusters=50, rounds=3, sigma=0.1, theta=2.0, ridge=1.0, seed=42):
     """Batch-corrected vectors by rounds of soft clustering and per-cluster ridge correction.
 
     Rows stay on executors: a round adds up responsibilities per (cluster, batch), a
-    small system per cluster is solved on the driver (clusters x batches x width
-    numbers), and rows are corrected where they are. Inputs are usually components.
+    small system per cluster is solved on the driver by elimination (clusters x batches x width
+    numbers, which are the model), and rows are corrected where they are. ``ridge`` must be positive. Inputs are usually components.
     """
     import numpy as np
     from pyspark.ml.clustering import KMeans
 
     rows = settle(df.select(ids, F.col(batch).cast("string").alias("_b"), doubles(feat).alias("_x")))
-    batches = sorted(r[0] for r in rows.select("_b").distinct().limit(10_001).collect())  # one name per sample
-    if len(batches) > 10_000:
-        raise ValueError("too many batches for a per-batch model")
-    n = rows.count()
-    kk = clusters or max(2, min(100, int(round(n / 30.0))))
-    km = KMeans(k=kk, seed=seed, featuresCol="_v", maxIter=10).fit(
+    batches = sorted(r[0] for r in rows.select("_b").distinct().collect())  # one name per sample
+    if ridge <= 0:
+        raise ValueError("ridge must be positive")
+    km = KMeans(k=clusters, seed=seed, featuresCol="_v", maxIter=10).fit(
         rows.select(array_to_vector(l2_normalise("_x", 1e-24)).alias("_v"))
     )
     y = np.array(km.clusterCenters())
@@ -245,14 +243,12 @@ def harmonise_batches(df, batch="sample", ids="id", feat="pc", clusters=None, ro
             o[r["k"], r["b"]] = v[0]
             sx[r["k"], r["b"]] = v[1:1 + width]
             su[r["k"]] += v[1 + width:]
-        w = np.zeros((len(y), nb, width))
-        for c in range(len(y)):
-            a = np.zeros((nb + 1, nb + 1))
-            a[0, 0] = o[c].sum()
-            a[0, 1:] = a[1:, 0] = o[c]
-            a[1:, 1:] = np.diag(o[c] + ridge)
-            rhs = np.vstack([sx[c].sum(axis=0), sx[c]])
-            w[c] = np.linalg.lstsq(a, rhs, rcond=None)[0][1:]
+        # intercept and one offset per batch: only the diagonal and one row are filled, so
+        # offsets are eliminated one by one and the intercept remains
+        keep = o / (o + ridge)
+        left = (o * ridge / (o + ridge)).sum(axis=1)[:, None]
+        base = (sx * (1 - keep)[:, :, None]).sum(axis=1) / np.maximum(left, 1e-300)
+        w = (sx - o[:, :, None] * base[:, None]) / (o + ridge)[:, :, None]
         history.append((y, penalty, w))
         expect = o.sum(axis=1, keepdims=True) * o.sum(axis=0, keepdims=True) / max(o.sum(), 1e-12)
         penalty = ((expect + 1) / (o + 1)) ** theta
@@ -292,7 +288,7 @@ def fit_soft_labels(ex, replicas=2, hard_weight=1.0, seed=0, ids="id", feat="fea
         if rep:
             u = hash32(ids, seed + rep) / 4294967296.0
             cum, copies = 0.0, F.lit(0)
-            for c in range(8):
+            for c in range(20):  # u has 32 bits, so no draw is above 12
                 cum += math.exp(-1.0) / math.factorial(c)
                 copies = copies + F.when(u > cum, 1).otherwise(0)
             w = w * copies
@@ -345,7 +341,7 @@ def regress_impute(train, query, targets, ids="id", feat="feat", regressor=None)
 
 
 def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id", query_id="query_id", feat="feat",
-               block_rows=4096, query_rows=16384, max_pivots=512, seed=0):
+               block_rows=4096, query_rows=16384, seed=0):
     """Exact k-nearest-neighbour mean and variance of each target: (query_id, target, mean, variance).
 
     Training rows are grouped around pivots and cut into blocks of bounded size. A
@@ -353,21 +349,21 @@ def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id
     distance; the triangle and half-plane bounds then name the only other groups that
     can hold a nearer row. Each task compares one bounded block with one bounded
     chunk of queries and emits k rows per query. Ties go to the smaller training id.
-    Queries with a non-finite value get NULL.
+    Training rows with a non-finite value take no part; queries with one get NULL. There are as many groups as blocks, but
+    at most the square root of the training rows, whose pivots the driver holds.
     """
     import numpy as np
 
     if weights not in ("uniform", "distance"):
         raise ValueError(f"unknown weights {weights!r}")
-    train, query = reread(train.select(train_id, feat, *targets)), reread(query.select(query_id, feat))
+    train, query = reread(train.select(train_id, feat, *targets).where(all_finite(feat, nested=False))), reread(query.select(query_id, feat))
     kt, kq = train.schema[train_id].dataType.simpleString(), query.schema[query_id].dataType.simpleString()
     tv = train.select(train_id, doubles(feat).alias("_f"))
     # keep one task's vectors near 64 MB a side, whatever their width
     width = train.select(F.max(F.size(feat))).first()[0] or 1
     block_rows, query_rows = (max(1, min(n, 8_000_000 // width)) for n in (block_rows, query_rows))
     n = train.count()
-    m = int(max(1, min(max_pivots, -(-n // block_rows))))
-    # at most max_pivots vectors
+    m = int(max(1, min(math.isqrt(n), -(-n // block_rows))))
     pv = np.array([list(r["_f"]) for r in tv.withColumn("_h", hash32(train_id, seed)).orderBy("_h", train_id).limit(m).collect()])
     gap = np.sqrt(((pv[:, None] - pv[None]) ** 2).sum(-1)) if m * m * pv.shape[1] < 5e7 else np.stack([np.sqrt(((pv - p) ** 2).sum(-1)) for p in pv])
 
@@ -426,20 +422,21 @@ def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id
         a = np.stack([np.asarray(v) for v in q["_f"]])
         b = np.stack([np.asarray(v) for v in t["_f"]])
         tid = t[train_id].to_numpy()
-        take = min(len(b), k + 8)
+        take = min(len(b), k)
+        norms = (b ** 2).sum(1)
         outs = []
         for s in range(0, len(a), 1024):
             x = a[s:s + 1024]
-            approx = (b ** 2).sum(1) - 2 * x @ b.T
-            near = np.argpartition(approx, take - 1, axis=1)[:, :take]
-            d = np.sqrt(((x[:, None] - b[near]) ** 2).sum(-1))
-            order = np.lexsort((tid[near], d), axis=1)[:, :k]
-            rows = np.arange(len(x))[:, None]
-            kk = order.shape[1]
-            outs.append(pd.DataFrame({
-                query_id: np.repeat(q[query_id].to_numpy()[s:s + 1024], kk),
-                train_id: tid[near][rows, order].ravel(), "dist": d[rows, order].ravel(),
-            }))
+            approx = norms - 2 * x @ b.T
+            kth = np.partition(approx, take - 1, axis=1)[:, take - 1]
+            # all within the rounding error of the k-th, so that equal distances stay together
+            slack = 1e-12 * b.shape[1] * (norms.max() + (x ** 2).sum(1))
+            row, col = np.nonzero(approx <= (kth + slack)[:, None])
+            d = np.concatenate([np.sqrt(((x[row[i:i + 65536]] - b[col[i:i + 65536]]) ** 2).sum(-1)) for i in range(0, len(row), 65536)])
+            order = np.lexsort((tid[col], d, row))
+            row, col, d = row[order], col[order], d[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            outs.append(pd.DataFrame({query_id: q[query_id].to_numpy()[s + row[first]], train_id: tid[col[first]], "dist": d[first]}))
         return pd.concat(outs)
 
     out_schema = f"{query_id} {kq}, {train_id} {kt}, dist double"

@@ -73,33 +73,31 @@ def _gauss(sigma, truncate=4.0):
     return [x / s for x in w]
 
 
-def density_flag(tiles, bins=None, thresh=100.0, x="z", y="sd"):
+def density_flag(tiles, bins=None, thresh=100.0, x="z", y="sd", bins_per_tile=0.00005):
     """Flag tiles in sparse regions of the (z, sd) plane.
 
     A bins x bins histogram per sample is smoothed by a Gaussian (sigma =
     max(1, floor(0.02 bins)), mirrored edges); a tile is flagged when its smoothed
     count is below ``thresh``. Lookup uses left-closed search, so the exact minimum
-    falls outside and counts as density 0. ``bins`` defaults to floor(0.00005 N) of
-    the largest sample, at least 1. Smoothing handles one histogram line at a time.
+    falls outside and counts as density 0. ``bins`` defaults to floor(``bins_per_tile`` N),
+    at least 1, with each sample's own N. Smoothing handles one histogram line at a time.
     """
     tiles = reread(tiles)
     info = settle(tiles.groupBy("sample").agg(
         F.count(F.lit(1)).alias("_n"), F.min(x).cast("double").alias("_x0"), F.max(x).cast("double").alias("_x1"),
         F.min(y).cast("double").alias("_y0"), F.max(y).cast("double").alias("_y1"),
     ))
-    if bins is None:
-        bins = max(1, int((info.agg(F.max("_n")).first()[0] or 0) * 0.00005))
-    w = _gauss(max(1, int(bins * 0.02)))
-    half = (len(w) - 1) // 2
+    own = F.greatest(F.floor(F.col("_n") * bins_per_tile), F.lit(1)) if bins is None else F.lit(bins)
+    info = info.withColumn("_bins", own.cast("int"))
 
     def unit(c, lo, hi):
-        return (F.col(c) - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0)) * bins
+        return (F.col(c) - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0)) * F.col("_bins")
 
-    d = attach(tiles, info.drop("_n"), "sample").withColumns({"_ux": unit(x, "_x0", "_x1"), "_uy": unit(y, "_y0", "_y1")})
-    right = lambda c: F.least(F.floor(F.col(c)), F.lit(bins - 1)).cast("int")
+    d = tiles.join(info.drop("_n"), "sample", "left").withColumns({"_ux": unit(x, "_x0", "_x1"), "_uy": unit(y, "_y0", "_y1")})
+    right = lambda c: F.least(F.floor(F.col(c)), F.col("_bins") - 1).cast("int")
     left = lambda c: (F.ceil(F.col(c)) - 1).cast("int")
     hist = d.where(F.col("_ux").isNotNull() & F.col("_uy").isNotNull()).groupBy(
-        "sample", right("_ux").alias("bx"), right("_uy").alias("by")
+        "sample", "_bins", right("_ux").alias("bx"), right("_uy").alias("by")
     ).agg(F.count(F.lit(1)).cast("double").alias("v"))
 
     def line(along, across):
@@ -107,23 +105,26 @@ def density_flag(tiles, bins=None, thresh=100.0, x="z", y="sd"):
             import numpy as np
             import pandas as pd
 
+            bins = int(pdf["_bins"].iloc[0])
+            w = _gauss(max(1, int(bins * 0.02)))
+            half = (len(w) - 1) // 2
             v = np.zeros(bins)
             v[pdf[along].to_numpy()] = pdf["v"].to_numpy()
             ext = np.pad(v, half, mode="symmetric")
             res = np.convolve(ext, np.asarray(w), mode="valid")
             return pd.DataFrame({
-                "sample": pdf["sample"].iloc[0], along: np.arange(bins, dtype="int32"),
+                "sample": pdf["sample"].iloc[0], "_bins": np.int32(bins), along: np.arange(bins, dtype="int32"),
                 across: np.int32(pdf[across].iloc[0]), "v": res,
             })
 
         return conv
 
     kind = tiles.schema["sample"].dataType.simpleString()
-    schema = f"sample {kind}, bx int, by int, v double"
+    schema = f"sample {kind}, _bins int, bx int, by int, v double"
     smooth = hist.groupBy("sample", "bx").applyInPandas(line("by", "bx"), schema)
     smooth = smooth.groupBy("sample", "by").applyInPandas(line("bx", "by"), schema)
-    d = d.withColumns({"bx": left("_ux"), "by": left("_uy")}).drop("_ux", "_uy", "_x0", "_x1", "_y0", "_y1")
-    return attach(d, smooth, ["sample", "bx", "by"]).withColumn("density", F.coalesce("v", F.lit(0.0))).withColumn(
+    d = d.withColumns({"bx": left("_ux"), "by": left("_uy")}).drop("_ux", "_uy", "_x0", "_x1", "_y0", "_y1", "_bins")
+    return attach(d, smooth.drop("_bins"), ["sample", "bx", "by"]).withColumn("density", F.coalesce("v", F.lit(0.0))).withColumn(
         "low_density", F.col("density") < thresh
     ).drop("bx", "by", "v")
 

@@ -41,33 +41,35 @@ def tissue_mask(pixels, slides, tile=16, bins=None, density=100.0, levels=64, mi
     return out
 
 
-def soft_examples(props, vocab, spots, tokens, domains, r, frac=0.25, strategy="stratified", seed=0):
+def soft_examples(props, vocab, spots, tokens, domains, r, frac=0.25, strategy="stratified", seed=0, ids=None, scheme="xx"):
     """Labels first, tokens only for the kept spots: (sample, spot, domain_id, y, tokens).
 
-    ``props(sample, spot, ctype, p)``, ``spots(sample, spot, row, col)`` on the grid.
+    ``props(sample, spot, ctype, p)``, ``spots(sample, spot, row, col)`` on the grid. ``ids``
+    names a column whose values no two samples share; the default makes one of sample and spot.
     """
     from ..operators.samples import domain_join
 
     lab = settle(domain_join(S.label_vectors(props, vocab, ["sample", "spot"]), domains).withColumn(
         "key", F.concat_ws("/", "sample", F.col("spot").cast("string"))
     ))
+    ids = ids or "key"
     pick = K.coreset_kcenter if strategy == "kcenter" else K.coreset_stratified
-    kept = settle(pick(lab, frac, seed, ids="key").select("key"))
-    lab = lab.join(kept, "key", "left_semi")
+    kept = settle(pick(lab, frac, seed, ids=ids, scheme=scheme).select(ids))
+    lab = lab.join(kept, ids, "left_semi")
     at = spots.join(lab.select("sample", "spot"), ["sample", "spot"], "left_semi")
     tok = G.finite_examples(G.disk_tokens(at, tokens, r))
     return lab.select("sample", "spot", "domain_id", "y").join(tok, ["sample", "spot"])
 
 
-def hard_examples(cells, ann, mapping, counts, bins, vocab, n_classes, r, t, target, seed=0, scheme="xx"):
+def hard_examples(cells, ann, mapping, counts, bins, vocab, n_classes, r, t, target, seed=0, scheme="xx", min_counts=50, min_genes=20):
     """Cell path: annotate, filter, label, map bins, sample cells, choose tokens.
 
-    Returns (sample, cell_id, class_idx, pos, bin_id); features join on bin_id last.
+    ``counts(sample, cell_id, gene, cnt)`` decides which cells pass. Returns (sample, cell_id, class_idx, pos, bin_id); features join on bin_id last.
     """
     c = C.annotate_cells(cells, ann, mapping)
     if counts is not None:
-        ok = C.qc_cells(counts, cell="cell_id").select("cell_id").distinct()
-        c = c.join(ok, "cell_id", "left_semi")
+        ok = C.qc_cells(counts, min_counts, min_genes, ("sample", "cell_id")).select("sample", "cell_id").distinct()
+        c = c.join(ok, ["sample", "cell_id"], "left_semi")
     c = settle(C.label_matrix(c, vocab, n_classes))
     pairs = settle(C.radius_join(c.where("valid"), bins, r))
     cand = c.where("valid").join(pairs.select("sample", "cell_id").distinct(), ["sample", "cell_id"], "left_semi")

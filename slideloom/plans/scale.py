@@ -89,7 +89,11 @@ def hash32(ids, seed=0, scheme="xx"):
     """Sampling key in [0, 2**32). ``mul`` is plain arithmetic on an integer id."""
     cols = [F.col(c) if isinstance(c, str) else c for c in (ids if isinstance(ids, (list, tuple)) else [ids])]
     if scheme == "mul":
-        return F.pmod(cols[0].cast("long") * F.lit(2654435761) + F.lit(int(seed)), F.lit(4294967296))
+        # products of the halves stay inside 64 bits for every id
+        word, half = F.lit(4294967296), F.lit(65536)
+        i = F.pmod(cols[0].cast("long"), word)
+        high = F.pmod(F.shiftright(i, 16) * F.lit(2654435761 % 65536), half) * half
+        return F.pmod(F.pmod(i, half) * F.lit(2654435761) + high + F.lit(int(seed)), word)
     if scheme != "xx":
         raise ValueError(f"unknown hash scheme {scheme!r}")
     return F.pmod(F.xxhash64(*cols, F.lit(int(seed))), F.lit(4294967296))

@@ -36,8 +36,8 @@ def read_scale_factors(spark, path):
     return spark.read.schema("spot_diameter_fullres double").json(path, multiLine=True)
 
 
-def read_sparse_counts(spark, mtx, features, barcodes, feature_type="Gene Expression", size_line=True):
-    """1-based triplets plus two dictionaries to long counts (spot, gene, cnt) of one sample.
+def read_sparse_counts(spark, mtx, features, barcodes, feature_type="Gene Expression", size_line=True, sample=None):
+    """1-based triplets plus two dictionaries to long counts ([sample,] spot, gene, cnt) of one sample, named by ``sample``.
 
     Only ``feature_type`` rows stay; the id stands in for the symbol when every symbol
     is empty. Dictionary positions are line numbers; each dictionary is one file.
@@ -65,7 +65,9 @@ def read_sparse_counts(spark, mtx, features, barcodes, feature_type="Gene Expres
     )
     if size_line:
         trip = attach(trip, trip.agg(F.min("_m").alias("_m")), "_m", "left_anti")
-    return attach(attach(trip, feats, "_g", "inner"), bars, "_b", "inner").select("spot", "gene", "cnt")
+    return attach(attach(trip, feats, "_g", "inner"), bars, "_b", "inner").select(
+        *([F.lit(sample).alias("sample")] if sample is not None else []), "spot", "gene", "cnt"
+    )
 
 
 def read_cells(spark, path):

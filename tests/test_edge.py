@@ -208,8 +208,8 @@ def test_deconvolve_recovers_mixture(spark):
     prof = spark.createDataFrame([(f"t{k}", g, float(mu[k, g])) for k in range(2) for g in range(4)], "ctype string, gene int, mu double")
     y = 0.3 * 100 * mu[0] + 0.7 * 100 * mu[1]
     cnt = spark.createDataFrame([("a", g, float(y[g])) for g in range(4)], "spot string, gene int, cnt double")
-    for limit in (0, 10):
-        got = {r.ctype: r.p for r in N.deconvolve(cnt, prof, 500, broadcast_rows=limit).collect()}
+    for limit in (0, 1_000):
+        got = {r.ctype: r.p for r in N.deconvolve(cnt, prof, 500, spot="spot", carried_bytes=limit).collect()}
         assert math.isclose(got["t0"], 0.3, abs_tol=1e-6) and math.isclose(got["t1"], 0.7, abs_tol=1e-6)
 
 

@@ -17,7 +17,7 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, sf_dir, con, name):
     msg = compare(QUERIES[name](spark, sf_dir), con, SQL[name])
-    assert msg in ("", "no rows")
+    assert msg == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
@@ -41,7 +41,7 @@ def test_entry(spark):
 
 def test_kcenter_budget(spark, sf_dir):
     want = {r.domain_id: min(r.budget, r.n_domain) for r in QUERIES["coreset_budget"](spark, sf_dir).collect()}
-    for name in ("coreset_kcenter", "coreset_kcenter_net"):
+    for name in ("coreset_kcenter",):
         got = QUERIES[name](spark, sf_dir).collect()
         assert Counter(r.domain_id for r in got) == Counter(want)
         assert len({r.spot for r in got}) == len(got)

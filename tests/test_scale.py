@@ -127,12 +127,16 @@ def test_kcenter_net_covers(spark):
     rng = np.random.default_rng(4)
     y = rng.dirichlet([0.3] * 4, 2000)
     df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(y)], "spot long, domain_id int, y array<double>")
-    radius = {}
-    for limit in (10 ** 6, 100):
-        keep = [r.spot for r in K.coreset_kcenter(df, 0.05, exact_limit=limit).collect()]
-        assert len(keep) == 100
-        radius[limit] = np.sqrt(((y[:, None] - y[keep][None]) ** 2).sum(-1)).min(1).max()
-    assert radius[100] <= 4 * radius[10 ** 6]
+    keep = [r.spot for r in K.coreset_kcenter(df, 0.05).collect()]
+    reach = lambda k: np.sqrt(((y[:, None] - y[k][None]) ** 2).sum(-1)).min(1).max()
+    far = [0]
+    near = ((y - y[0]) ** 2).sum(1)
+    while len(far) < 100:
+        far.append(int(near.argmax()))
+        near = np.minimum(near, ((y - y[far[-1]]) ** 2).sum(1))
+    level = max(lv for lv in range(13) if len({tuple(c) for c in np.floor(y * 2 ** lv).astype(int).tolist()}) <= 100)
+    assert len(set(keep)) == 100 and reach(keep) <= 2 * 2.0 ** -level
+    assert reach(keep) <= 4 * reach(far)
 
 
 def test_weighted_resample_balances_domains(spark):
