@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from slideloom.plans.scale import checkpoint_root
+from slideloom.plans.scale import work_folder
 from slideloom.sources import readers as R, writers as W
 
 from . import fixtures as fx
@@ -13,7 +13,7 @@ from .registry import query
 
 
 def _path(spark, name):
-    return f"{checkpoint_root(spark)}/slideloom/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("read_positions", "SELECT l_orderkey::VARCHAR AS barcode, (l_quantity>25)::INT AS in_tissue, l_linenumber AS array_row, l_partkey::INT AS array_col, (l_partkey*31)::INT AS pxl_row, (l_partkey*17)::INT AS pxl_col FROM lineitem")

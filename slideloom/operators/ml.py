@@ -91,7 +91,7 @@ def gmm(df, feats=("homogeneity", "energy", "entropy"), k=4, by="sample", keys=(
     kind = df.schema[by].dataType.simpleString()
     rows = settle(df.select(by, *keys, *[F.col(f).cast("double").alias(f) for f in feats]).dropna(subset=feats))
     cuts = exact_quantiles(rows, [by], feats[0], [i / k for i in range(1, k)], [f"_c{i}" for i in range(1, k)])
-    start = attach(rows, cuts, by).withColumn(
+    start = rows.join(cuts, by, "left").withColumn(
         "k", sum((F.when(F.col(feats[0]) > F.col(f"_c{i}"), 1).otherwise(0) for i in range(1, k)), F.lit(0))
     )
     quad = [(i, j) for i in range(d) for j in range(i, d)]

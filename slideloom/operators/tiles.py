@@ -41,15 +41,22 @@ def weighted_intensity(tiles):
     var = tiles.groupBy("sample").agg(*[F.var_pop(f"m{c}").alias(f"_v{c}") for c in "rgb"])
     total = F.col("_vr") + F.col("_vg") + F.col("_vb")
     z = (F.col("mr") * F.col("_vr") + F.col("mg") * F.col("_vg") + F.col("mb") * F.col("_vb")) / F.nullif(total, F.lit(0.0))
-    return attach(tiles, var, "sample").withColumn("z", z).drop("_vr", "_vg", "_vb")
+    return tiles.join(var, "sample", "left").withColumn("z", z).drop("_vr", "_vg", "_vb")
 
 
 def minmax_normalise(df, col, plus_one=False, out=None, by="sample"):
-    """(x - min) / (max - min) per sample, optionally + 1; NULL where the range is zero. NULLs are ignored."""
+    """(x - min) / (max - min) per sample, optionally + 1; NULL where the range is zero. NULLs are ignored.
+
+    ``col`` is a column or several, which share one pass; ``out`` names the results.
+    """
+    cols = [col] if isinstance(col, str) else list(col)
+    names = cols if out is None else [out] if isinstance(out, str) else list(out)
     df = reread(df)
-    rng = df.groupBy(by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    v = (F.col(col) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    return attach(df, rng, by).withColumn(out or col, v + 1 if plus_one else v).drop("_lo", "_hi")
+    rng = df.groupBy(by).agg(*[f(c).alias(f"_{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))])
+    v = lambda i, c: (F.col(c) - F.col(f"_lo{i}")) / F.nullif(F.col(f"_hi{i}") - F.col(f"_lo{i}"), F.lit(0.0))
+    joined = df.join(rng, by, "left")
+    joined = joined.withColumns({n: v(i, c) + 1 if plus_one else v(i, c) for i, (n, c) in enumerate(zip(names, cols))})
+    return joined.drop(*[f"_{n}{i}" for i in range(len(cols)) for n in ("lo", "hi")])
 
 
 def contrast_ratio(tiles):
@@ -60,10 +67,14 @@ def contrast_ratio(tiles):
     )
     sd = (F.col("sd") - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) + 1
     z = (F.col("z") - F.col("_c")) / F.nullif(F.col("_d") - F.col("_c"), F.lit(0.0)) + 1
-    d = attach(tiles, rng, "sample").withColumns({"sd_norm": sd, "z_norm": z}).withColumn(
+    d = tiles.join(rng, "sample", "left").withColumns({"sd_norm": sd, "z_norm": z}).withColumn(
         "ratio", F.col("sd_norm") / F.col("z_norm")
     ).drop("_a", "_b", "_c", "_d")
-    return minmax_normalise(d, "ratio")
+    # the ratio is cheap: its range is taken from a second pass over the tiles
+    top = d.groupBy("sample").agg(F.min("ratio").alias("_lo"), F.max("ratio").alias("_hi"))
+    return d.join(top, "sample", "left").withColumn(
+        "ratio", (F.col("ratio") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    ).drop("_lo", "_hi")
 
 
 def _gauss(sigma, truncate=4.0):
@@ -83,10 +94,10 @@ def density_flag(tiles, bins=None, thresh=100.0, x="z", y="sd", bins_per_tile=0.
     at least 1, with each sample's own N. Smoothing handles one histogram line at a time.
     """
     tiles = reread(tiles)
-    info = settle(tiles.groupBy("sample").agg(
+    info = tiles.groupBy("sample").agg(
         F.count(F.lit(1)).alias("_n"), F.min(x).cast("double").alias("_x0"), F.max(x).cast("double").alias("_x1"),
         F.min(y).cast("double").alias("_y0"), F.max(y).cast("double").alias("_y1"),
-    ))
+    )
     own = F.greatest(F.floor(F.col("_n") * bins_per_tile), F.lit(1)) if bins is None else F.lit(bins)
     info = info.withColumn("_bins", own.cast("int"))
 
@@ -124,7 +135,7 @@ def density_flag(tiles, bins=None, thresh=100.0, x="z", y="sd", bins_per_tile=0.
     smooth = hist.groupBy("sample", "bx").applyInPandas(line("by", "bx"), schema)
     smooth = smooth.groupBy("sample", "by").applyInPandas(line("bx", "by"), schema)
     d = d.withColumns({"bx": left("_ux"), "by": left("_uy")}).drop("_ux", "_uy", "_x0", "_x1", "_y0", "_y1", "_bins")
-    return attach(d, smooth.drop("_bins"), ["sample", "bx", "by"]).withColumn("density", F.coalesce("v", F.lit(0.0))).withColumn(
+    return d.join(smooth.drop("_bins"), ["sample", "bx", "by"], "left").withColumn("density", F.coalesce("v", F.lit(0.0))).withColumn(
         "low_density", F.col("density") < thresh
     ).drop("bx", "by", "v")
 
@@ -138,7 +149,7 @@ def value_histogram(df, value, bins=256, by="sample"):
         F.least(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins), F.lit(bins - 1)),
         F.lit(0),
     ).cast("int")
-    return attach(df.where(F.col(value).isNotNull()), rng, by).groupBy(by, at.alias("bin")).agg(
+    return df.where(F.col(value).isNotNull()).join(rng, by, "left").groupBy(by, at.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.first(F.col("_lo")).alias("_lo"), F.first(step).alias("_s")
     ).select(by, "bin", (F.col("_lo") + (F.col("bin") + 0.5) * F.col("_s")).alias("center"), "n")
 
@@ -157,7 +168,7 @@ def otsu_threshold(df, value, bins=256, upper=0.9, by="sample"):
     d = df = reread(df.select(by, value))
     if upper is not None:
         q = exact_quantiles(df, [by], value, [upper], ["_q"])
-        d = attach(df.select(by, value), q, by, "inner").where(F.col(value) < F.col("_q")).drop("_q")
+        d = settle(df.select(by, value).join(q, by).where(F.col(value) < F.col("_q")).drop("_q"))
     h = value_histogram(d, value, bins, by)
     up = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     al = Window.partitionBy(by)
@@ -165,7 +176,10 @@ def otsu_threshold(df, value, bins=256, upper=0.9, by="sample"):
     h = h.withColumns({"_w1": F.sum("n").over(up), "_m1": F.sum(m).over(up), "_w": F.sum("n").over(al), "_m": F.sum(m).over(al)})
     w2 = F.col("_w") - F.col("_w1")
     gap = F.col("_m1") / F.col("_w1") - (F.col("_m") - F.col("_m1")) / F.nullif(w2, F.lit(0).cast("long"))
-    h = h.withColumn("_var", F.coalesce(F.round(F.col("_w1") * w2 * gap * gap, 9), F.lit(-1.0)))
+    # relative to the total variance bound, so that values of any size compare alike; equal to 12 digits is a tie
+    spread = F.max("center").over(al) - F.min("center").over(al)
+    share = F.col("_w1") / F.col("_w") * (w2 / F.col("_w")) * F.pow(gap / F.nullif(spread, F.lit(0.0)), 2)
+    h = h.withColumn("_var", F.coalesce(F.round(share, 12), F.lit(-1.0)))
     return h.groupBy(by).agg(F.min_by("center", F.struct(-F.col("_var"), F.col("bin"))).alias("threshold"))
 
 
@@ -173,7 +187,7 @@ def ratio_filter(tiles, keep="low_density", value="ratio"):
     """Low-ratio flag: the threshold comes from tiles that passed density and is applied to all."""
     tiles = reread(tiles)
     t = otsu_threshold(tiles.where(~F.col(keep)), value)
-    return attach(tiles, t, "sample").withColumn("low_ratio", F.coalesce(F.col(value) < F.col("threshold"), F.lit(False)))
+    return tiles.join(t, "sample", "left").withColumn("low_ratio", F.coalesce(F.col(value) < F.col("threshold"), F.lit(False)))
 
 
 def colour_artefact(tiles):

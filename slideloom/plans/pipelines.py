@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cells as C, coreset as K, grid as G, ml as M, predict as P, spots as S, tiles as T
-from .scale import attach, settle
+from .scale import settle
 
 
 def tissue_mask(pixels, slides, tile=16, bins=None, density=100.0, levels=64, min_size=None, clusters=4, rescue=2):
@@ -15,25 +15,23 @@ def tissue_mask(pixels, slides, tile=16, bins=None, density=100.0, levels=64, mi
     cluster has one of the lowest scores are rescued; Otsu on the contrast ratio flags
     flat tiles; small components can be dropped last (off unless ``min_size`` is given).
     Samples with fewer than two textured candidates skip the rescue. One row per tile
-    is written between the pixel stages and the rest.
+    is written between the pixel stages and the rest; per-sample values are joined as they are.
     """
-    t = settle(T.contrast_ratio(settle(T.weighted_intensity(settle(T.tile_stats(pixels, slides, tile))))))
+    t = settle(T.contrast_ratio(T.weighted_intensity(settle(T.tile_stats(pixels, slides, tile)))))
     t = settle(T.density_flag(t, bins, density))
     cand = T.colour_artefact(t.where("low_density")).where(~F.col("artefact")).select("sample", "row", "col")
     enough = cand.groupBy("sample").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2).select("sample")
-    cand = settle(attach(cand, enough, "sample", "left_semi"))
+    cand = settle(cand.join(enough, "sample", "left_semi"))
     if not cand.isEmpty():
         tex = settle(T.glcm_texture(pixels, cand, levels, tile).select("sample", "row", "col", "energy", "homogeneity", "entropy"))
-        for c in ("energy", "homogeneity", "entropy"):
-            tex = T.minmax_normalise(tex, c)
-        tex = settle(tex.fillna(0.0))
+        tex = T.minmax_normalise(tex, ("energy", "homogeneity", "entropy")).fillna(0.0)
         lab = settle(M.gmm(tex, k=clusters))
         low = T.lowest_score_clusters(T.cluster_scores(lab), rescue).select("sample", "cluster")
-        saved = attach(lab, low, ["sample", "cluster"], "left_semi").select("sample", "row", "col", F.lit(True).alias("_saved"))
-        t = attach(t, saved, ["sample", "row", "col"]).withColumn(
+        saved = lab.join(low, ["sample", "cluster"], "left_semi").select("sample", "row", "col", F.lit(True).alias("_saved"))
+        t = t.join(saved, ["sample", "row", "col"], "left").withColumn(
             "low_density", F.col("low_density") & F.col("_saved").isNull()
         ).drop("_saved")
-    t = settle(T.ratio_filter(settle(t)))
+    t = T.ratio_filter(settle(t))
     out = t.select("sample", "row", "col", "low_density", "low_ratio").withColumn("keep", ~F.col("low_density") & ~F.col("low_ratio"))
     if min_size:
         big = G.remove_small_components(out.where("keep"), min_size).withColumn("_big", F.lit(True))

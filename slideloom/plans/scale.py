@@ -43,6 +43,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[sc.applicationId]
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The application's own folder below ``checkpoint_root``."""
+    return f"{checkpoint_root(spark)}/slideloom-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete all tables this application has settled, when no frame made from them is read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -50,7 +61,7 @@ def settle(df: DataFrame) -> DataFrame:
     size, so Spark's own broadcast threshold decides how later joins use it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/slideloom/{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
