@@ -101,6 +101,26 @@ def _(spark, sf):
     return d.where("label is not null").select("row", "col", r6("label", "label"))
 
 
+# an even window reaches one cell further up and left
+@query("focal_mean_even", f"""WITH k AS (SELECT di, dj FROM generate_series(-2,1) a(di), generate_series(-2,1) b(dj))
+SELECT t.row, t.col, round(avg(n.label),6) AS label FROM tokens t, grid, k JOIN tokens n ON n.row={_mirror("(t.row+di)", "grid_h")} AND n.col={_mirror("(t.col+dj)", "grid_w")}
+WHERE t.label<8 AND n.label<8 GROUP BY 1,2""", ["tokens", "grid"])
+def _(spark, sf):
+    d = G.focal_mean(_masked_grid(spark, sf), fx.grid(spark, sf), 4, "label", block=8)
+    return d.where("label is not null").select("row", "col", r6("label", "label"))
+
+
+# vectors, of which some are missing
+@query("focal_max", f"""WITH k AS (SELECT di, dj FROM generate_series(-1,1) a(di), generate_series(-1,1) b(dj))
+SELECT t.row, t.col, dim, round(max(n.v),6) AS v FROM tokens t, grid, k JOIN token_dims n ON n.row={_mirror("(t.row+di)", "grid_h")} AND n.col={_mirror("(t.col+dj)", "grid_w")}
+WHERE t.label<8 AND n.vec_id IN (SELECT vec_id FROM tokens WHERE label<8) AND dim IN (0,63) GROUP BY ALL""", ["tokens", "grid", "token_dims"])
+def _(spark, sf):
+    t = fx.tokens(spark, sf).withColumn("feat", F.when(F.col("label") < 8, F.col("feat")))
+    d = G.focal_max(t, fx.grid(spark, sf), 2, "feat", block=8).where("feat is not null")
+    long = d.select("row", "col", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("dim"), F.get("feat", F.lit(i)).alias("v")) for i in (0, 63)])).alias("_e"))
+    return long.select("row", "col", "_e.dim", r6("_e.v", "v"))
+
+
 @query("sample_at_points", f"""WITH k AS (SELECT di, dj, exp(-(di*di+dj*dj)/0.5::DOUBLE) AS w FROM generate_series(-2,2) a(di), generate_series(-2,2) b(dj)),
 s AS (SELECT t.row, t.col, dim, sum(w*v)/sum(w) AS v FROM tokens t, grid, k JOIN token_dims n ON n.row={_mirror("(t.row+di)", "grid_h")} AND n.col={_mirror("(t.col+dj)", "grid_w")} WHERE dim IN (0,63) GROUP BY 1,2,3)
 SELECT spot, round(max(v) FILTER (dim=0),6) AS first, round(max(v) FILTER (dim=63),6) AS last FROM grid_spots JOIN s USING (row, col) GROUP BY 1""", ["tokens", "grid", "token_dims", "grid_spots"])

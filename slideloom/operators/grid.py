@@ -82,12 +82,16 @@ def erode_mask(mask, slides, size):
     return full(full(d, "col", "row", "grid_w"), "row", "col", "grid_h").select("sample", "row", "col")
 
 
-def _focal(grid, slides, weights, value, block):
-    """Windowed weighted mean with mirrored borders, one bounded block at a time."""
-    half = (len(weights) - 1) // 2
-    block = max(block, 4 * half)
+def _focal(grid, slides, weights, value, block, largest=False):
+    """Windowed weighted mean (or maximum) with mirrored borders, one bounded block at a time.
+
+    A window of even size reaches one cell further up and left. Blocks of vectors
+    are smaller, and vectors are worked on 128 components at a time.
+    """
+    half = len(weights) // 2
     field = grid.schema[value].dataType
     vector = isinstance(field, T.ArrayType)
+    block = max(min(block, 64) if vector else block, 4 * half, 1)
     out_t = "array<double>" if vector else "double"
     d = attach(grid.select("sample", "row", "col", value), slides.select("sample", "grid_h", "grid_w"), "sample", "inner")
     # mirror cells within ``half`` of an edge so that blocks need no knowledge of the slide
@@ -115,20 +119,33 @@ def _focal(grid, slides, weights, value, block):
         r = pdf["row"].to_numpy() - (br * block - half)
         c = pdf["col"].to_numpy() - (bc * block - half)
         if vector:
-            v = np.array([np.asarray(x, dtype=float) for x in pdf[value]])
+            given = pdf[value].notna().to_numpy()
+            lists = [np.asarray(x, dtype=float) for x in pdf[value][given]]
+            v = np.full((len(pdf), len(lists[0]) if lists else 0), np.nan)
+            if lists:
+                v[given] = lists
         else:
+            given = np.ones(len(pdf), bool)
             v = pdf[value].to_numpy(dtype=float)[:, None]
-        ok = np.isfinite(v).all(axis=1)
-        plane = np.zeros((side, side, v.shape[1] + 1))
-        plane[r[ok], c[ok], :-1] = v[ok]
-        plane[r[ok], c[ok], -1] = 1.0
-        k = len(w)
-        rows = sum(w[i] * plane[i:side - k + 1 + i] for i in range(k))
-        full = sum(w[i] * rows[:, i:side - k + 1 + i] for i in range(k))
+        ok = given & np.isfinite(v).all(axis=1)
         core = pdf["_in"].to_numpy() & (r >= half) & (r < half + block) & (c >= half) & (c < half + block)
-        got = full[r[core] - half, c[core] - half]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mean = got[:, :-1] / got[:, -1:]
+
+        def windows(x, empty):
+            plane = np.full((side, side, x.shape[1]), empty)
+            plane[r[ok], c[ok]] = x[ok]
+            if largest:
+                rows = np.maximum.reduce([plane[i:i + block] for i in range(len(w))])
+                full = np.maximum.reduce([rows[:, i:i + block] for i in range(len(w))])
+            else:
+                rows = sum(w[i] * plane[i:i + block] for i in range(len(w)))
+                full = sum(w[i] * rows[:, i:i + block] for i in range(len(w)))
+            return full[r[core] - half, c[core] - half]
+
+        parts = [windows(v[:, a:a + 128], -np.inf if largest else 0.0) for a in range(0, v.shape[1], 128)]
+        mean = np.concatenate(parts, 1) if parts else np.zeros((int(core.sum()), 0))
+        if not largest:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = mean / windows(np.ones((len(v), 1)), 0.0)
         mean[~ok[core]] = np.nan
         res = pd.DataFrame({"sample": pdf["sample"][core], "row": pdf["row"][core], "col": pdf["col"][core]})
         present = ok[core]
@@ -145,13 +162,18 @@ def _focal(grid, slides, weights, value, block):
 
 
 def focal_mean(grid, slides, size, value="value", block=128):
-    """size x size moving mean (odd size), mirrored borders.
+    """size x size moving mean, mirrored borders; an even window reaches one cell further up and left.
 
     Missing cells (NULL, NaN or absent) take no weight and stay missing.
     """
     return _focal(grid, slides, [1.0 / size] * size, value, block)
 
 
+def focal_max(grid, slides, size, value="value", block=128):
+    """Moving maximum over size x size cells (the next odd size, if even), mirrored borders; missing cells are passed over and stay missing."""
+    return _focal(grid, slides, [1.0] * (size + 1 - size % 2), value, block, largest=True)
+
+
 def focal_gaussian(grid, slides, size, value="value", block=128):
     """Gaussian smoothing with sigma = size / 4, cut at ceil(4 sigma) cells."""
     import math
