@@ -191,24 +191,51 @@ def sample_at_points(spots, grid, slides, size, value="feat", kernel="gaussian",
     return spots.join(smooth(grid, slides, size, value, block), ["sample", "row", "col"])
 
 
-def disk_tokens(spots, tokens, r, spot="spot", feat="feat"):
+def disk_tokens(spots, tokens, r, spot="spot", feat="feat", block=64):
     """Feature vectors of all tokens within r cells of each spot, in row-major order.
 
     A spot whose disk is not wholly present (grid border) is left out; the others of
-    its sample stay. Every list has the fixed disk size.
+    its sample stay. Every list has the fixed disk size. Tokens go to blocks of cells with a
+    border of r, so each vector is shuffled little more than once; lists are made inside the blocks.
     """
-    o = F.explode(disk_offsets(r)).alias("_o")
-    want = spots.select("sample", spot, F.col("row").alias("_r"), F.col("col").alias("_c"), o).select(
-        "sample", spot, F.col("_o.di").alias("di"), F.col("_o.dj").alias("dj"),
-        (F.col("_r") + F.col("_o.di")).cast("long").alias("row"), (F.col("_c") + F.col("_o.dj")).cast("long").alias("col"),
+    import math
+
+    reach = math.floor(r)
+    disk = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i * i + j * j <= r * r]
+    block = max(block, 4 * reach, 1)
+    at = lambda c: F.col(c).cast("long").alias(c)
+    placed = F.col("row").isNotNull() & F.col("col").isNotNull()
+    cells = halo_blocks(tokens.where(placed).select("sample", at("row"), at("col"), feat), "row", "col", block, reach)
+    asked = spots.where(placed).select("sample", spot, at("row"), at("col")).withColumns(
+        {"_br": F.floor(F.col("row") / block), "_bc": F.floor(F.col("col") / block)}
     )
-    # the estimate of an exploded side is too low to trust: shuffle both sides
-    hit = want.hint("merge").join(tokens.select("sample", F.col("row").cast("long"), F.col("col").cast("long"), feat), ["sample", "row", "col"])
-    n = F.size(disk_offsets(r))
-    return (
-        hit.groupBy("sample", spot).agg(F.array_sort(F.collect_list(F.struct("di", "dj", feat))).alias("_l"))
-        .where(F.size("_l") == n)
-        .select("sample", spot, F.transform("_l", lambda s: s[feat]).alias("tokens"))
+
+    def gather(asked, cells):
+        import numpy as np
+        import pyarrow as pa
+
+        vectors = cells.column(feat).combine_chunks()
+        side = block + 2 * reach
+        place = np.full((side, side), -1, np.int64)
+        if len(cells):
+            top, left = cells.column("_br")[0].as_py() * block - reach, cells.column("_bc")[0].as_py() * block - reach
+            place[cells.column("row").to_numpy() - top, cells.column("col").to_numpy() - left] = np.arange(len(cells))
+        keep, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(cells) and len(asked):
+            i, j = np.array(disk).T
+            r0, c0 = asked.column("row").to_numpy() - top, asked.column("col").to_numpy() - left
+            got = place[r0[:, None] + i, c0[:, None] + j]
+            keep = np.flatnonzero((got >= 0).all(axis=1))
+            found = got[keep].ravel()
+        ends = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * len(disk))
+        lists = pa.ListArray.from_arrays(ends, vectors.take(pa.array(found)))
+        rows = asked.take(pa.array(keep))
+        return pa.table({"sample": rows.column("sample"), spot: rows.column(spot), "tokens": lists})
+
+    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((spots, "sample"), (spots, spot), (tokens, feat))}
+    keys = ["sample", "_br", "_bc"]
+    return asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(
+        gather, f"sample {kinds['sample']}, {spot} {kinds[spot]}, tokens array<{kinds[feat]}>"
     )
 
 

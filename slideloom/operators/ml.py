@@ -38,41 +38,42 @@ def standardise(df, feat="feat", eps=1e-12):
 
 
 def pca(df, k, feat="feat", out="pc"):
-    """First ``k`` principal components of the centred vectors.
+    """First ``k`` principal components of the centred vectors, beside the vectors.
 
-    Each component's sign makes its largest loading positive.
+    Each component's sign makes its largest loading positive. The model is fitted on the vectors as they are
+    and the projected mean is taken off afterwards, so no centred copy is made.
     """
     import numpy as np
     from pyspark.ml.feature import PCA
 
     df = reread(df)
-    c = settle(_scaled(df, _moments(df, feat), feat, 0.0, sd=False))
-    d = c.withColumn("_v", array_to_vector(feat))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(d)
+    mean = np.array(_moments(df, feat).first()["_mean"])  # one number per dimension
+    d = df.withColumn("_v", array_to_vector(doubles(feat)))
+    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(d.select("_v"))
     load = model.pc.toArray()
     sign = np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
-    signs = F.array(*[F.lit(float(s)) for s in sign])
-    return model.transform(d).withColumn(
-        out, F.zip_with(vector_to_array("_p"), signs, lambda a, b: a * b)
-    ).drop("_v", "_p")
+    numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    shifted = F.zip_with(vector_to_array("_p"), numbers(mean @ load), lambda a, b: a - b)
+    return model.transform(d).withColumn(out, F.zip_with(shifted, numbers(sign), lambda a, b: a * b)).drop("_v", "_p")
 
 
 def kmeans_sweep(df, ks=(5, 10, 15, 20, 25, 30), seed=42, feat="feat", keys=("sample", "row", "col")):
     """Cluster labels for several K on one materialised input: (keys, k, cluster).
 
-    All fits share one cached copy, which is rebuilt from the table if executors go.
+    All fits share one cached copy, which is rebuilt from the table if executors go; one
+    scan labels for all K.
     """
-    from functools import reduce
-
     from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
 
     d = settle(df.select(*keys, doubles(feat).alias("_f"))).withColumn("_v", array_to_vector("_f"))
     cached = d.select("_v").persist(StorageLevel.MEMORY_AND_DISK)
-    models = [KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(cached) for k in ks]
+    models = [KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=f"_c{k}").fit(cached) for k in ks]
     cached.unpersist()
-    runs = [m.transform(d).select(*keys, F.lit(k).alias("k"), "cluster") for k, m in zip(ks, models)]
-    return reduce(lambda a, b: a.unionByName(b), runs)
+    for m in models:
+        d = m.transform(d)
+    labels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_c{k}").alias("cluster")) for k in ks])).alias("_l")
+    return d.select(*keys, labels).select(*keys, "_l.k", "_l.cluster")
 
 
 def gmm(df, feats=("homogeneity", "energy", "entropy"), k=4, by="sample", keys=("row", "col"), iters=100, tol=1e-3, ridge=1e-6):
@@ -276,11 +277,10 @@ def fit_soft_labels(ex, replicas=2, hard_weight=1.0, seed=0, ids="id", feat="fea
     """
     from pyspark.ml.classification import LogisticRegression
 
-    long = ex.select(
-        ids, doubles(feat).alias("_f"), F.when(F.col(resolution) == 1, float(hard_weight)).otherwise(1.0).alias("_w"),
-        F.posexplode(y).alias("cls", "_p"),
-    ).where(F.col("_p") > 0)
-    base = settle(long)
+    rows = settle(ex.select(
+        ids, doubles(feat).alias("_f"), F.when(F.col(resolution) == 1, float(hard_weight)).otherwise(1.0).alias("_w"), F.col(y).alias("_y"),
+    ))
+    base = rows.select(ids, "_f", "_w", F.posexplode("_y").alias("cls", "_p")).where(F.col("_p") > 0)
     spark = ex.sparkSession
     out = []
     for rep in range(replicas):
@@ -314,27 +314,66 @@ def soft_label_states(model_rows):
     ]
 
 
+def _linear(train, query, targets, rng, ids, feat):
+    """Least squares for all targets at once; ``train`` and ``query`` carry scaled features."""
+    import numpy as np
+    from pyspark.ml.stat import Summarizer
+
+    low = np.array([rng[f"_lo_{t}"] for t in targets], float)
+    span = np.array([rng[f"_hi_{t}"] for t in targets], float) - low
+
+    def add(it):
+        import pandas as pd
+
+        total = 0
+        for pdf in it:
+            if len(pdf):
+                x = np.stack([np.asarray(v, float) for v in pdf[feat]])
+                y = (pdf[targets].to_numpy(float) - low) / (span + 1e-12)
+                rows = np.concatenate([np.ones((len(x), 1)), x, y], 1)
+                total = total + rows.T @ rows
+        if not np.isscalar(total):
+            yield pd.DataFrame({"i": np.arange(len(total), dtype="int32"), "v": list(total)})
+
+    targets = list(targets)
+    parts = train.select(feat, *targets).mapInPandas(add, "i int, v array<double>")
+    sums = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).orderBy("i").collect()  # one row per column
+    gram = np.array([r["v"] for r in sums])
+    d = len(gram) - len(targets)
+    coef = np.linalg.lstsq(gram[:d, :d], gram[:d, d:], rcond=None)[0]
+
+    def predict(it):
+        for pdf in it:
+            x = np.stack([np.asarray(v, float) for v in pdf[feat]]) if len(pdf) else np.zeros((0, d - 1))
+            y = np.clip(coef[0] + x @ coef[1:], 0, 1) * span + low
+            yield pdf[[ids]].assign(**{t: y[:, i] for i, t in enumerate(targets)})
+
+    kind = query.schema[ids].dataType.simpleString()
+    return query.select(ids, feat).mapInPandas(predict, f"`{ids}` {kind}, " + ", ".join(f"`{t}` double" for t in targets))
+
+
 def regress_impute(train, query, targets, ids="id", feat="feat", regressor=None):
     """Targets predicted from standardised features and min-max scaled targets, limited to the seen range.
 
-    ``regressor()`` makes an MLlib regressor (linear by default). Query rows with a
+    ``regressor()`` makes an MLlib regressor, fitted once per target; without it all targets share one least-squares
+    fit with an intercept, from one pass that adds up products of columns. Query rows with a
     non-finite feature get NULL.
     """
-    from pyspark.ml.regression import LinearRegression
-
     train = reread(train.select(feat, *targets))
     mom = settle(_moments(train, feat))
     rng = train.agg(
         *[F.min(t).cast("double").alias(f"_lo_{t}") for t in targets], *[F.max(t).cast("double").alias(f"_hi_{t}") for t in targets]
     ).first()
-    x = settle(_scaled(train.select(feat, *targets), mom, feat, 1e-12)).withColumn("_v", array_to_vector(feat))
     ok = all_finite(feat, nested=False)
     q = query.select(ids, feat)
-    out = _scaled(q.where(ok), mom, feat, 1e-12).withColumn("_v", array_to_vector(feat)).drop(feat)
+    scaled = _scaled(q.where(ok), mom, feat, 1e-12)
+    if regressor is None:
+        return q.select(ids).join(_linear(_scaled(train, mom, feat, 1e-12), scaled, targets, rng, ids, feat), ids, "left")
+    x = settle(_scaled(train.select(feat, *targets), mom, feat, 1e-12)).withColumn("_v", array_to_vector(feat))
+    out = scaled.withColumn("_v", array_to_vector(feat)).drop(feat)
     for t in targets:
         lo, hi = rng[f"_lo_{t}"], rng[f"_hi_{t}"]
-        make = regressor or (lambda: LinearRegression(solver="normal"))
-        reg = make().setFeaturesCol("_v").setLabelCol("_y").setPredictionCol("_z")
+        reg = regressor().setFeaturesCol("_v").setLabelCol("_y").setPredictionCol("_z")
         m = reg.fit(x.select("_v", ((F.col(t) - lo) / (hi - lo + 1e-12)).alias("_y")))
         out = m.transform(out).withColumn(t, F.least(F.greatest(F.col("_z"), F.lit(0.0)), F.lit(1.0)) * (hi - lo) + lo).drop("_z")
     return q.select(ids).join(out.drop("_v"), ids, "left")
