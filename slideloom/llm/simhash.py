@@ -7,9 +7,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from slideloom.llm.common import text_of
+from slideloom.llm.common import boxed, text_of, unboxed
 from slideloom.plans.scale import settle
 
 #: The sets of four byte positions whose numbers cancel out (XOR 0). Any three positions lie
@@ -179,7 +179,9 @@ def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **setti
     Rows that repeat an id count as one document; of a component without ids one row stays.
     """
     verdict = near_duplicates(docs, ident, text, **settings)
-    kept = verdict.where(F.col(ident).eqNullSafe(F.col("component_id"))).groupBy(ident).agg(F.min("fp").alias("_fp"))
-    kept = settle(kept)
-    out = docs.join(kept, docs[ident].eqNullSafe(kept[ident]), "left_semi")
-    return out.dropDuplicates([ident])
+    key = {"_id": F.coalesce(F.col(ident), F.lit(0).cast(docs.schema[ident].dataType)), "_none": F.col(ident).isNull()}
+    kept = settle(verdict.where(F.col(ident).eqNullSafe(F.col("component_id"))).select(*[c.alias(n) for n, c in key.items()]).distinct())
+    # the window stands on the join's partitions and order: texts are shuffled once
+    own = Window.partitionBy("_id", "_none").orderBy("_id", "_none")
+    out = boxed(docs, **key).join(kept, ["_id", "_none"]).withColumn("_n", F.row_number().over(own)).where("_n = 1")
+    return unboxed(out, docs)
