@@ -71,10 +71,6 @@ def outer_scaled(p, z):
     )
 
 
-def add_scaled(a, b, w=1.0):
-    return F.zip_with(_c(a), _c(b), lambda x, y: x + y * w)
-
-
 def all_finite(tokens, nested=True):
     def ok(x):
         d = x.cast("double")

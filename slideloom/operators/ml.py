@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window, functions as F
 
 from ..functions.arrays import all_finite, doubles, l2_normalise
+from ..functions.scalars import inverse_distance
 from ..plans.scale import attach, attach_row, exact_quantiles, hash32, reread, settle
 
 
@@ -514,7 +515,7 @@ def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id
         )
         more = settle(at_home.join(kth, query_id, "left").mapInPandas(others, qschema))
         found = top(found.unionByName(nearest(more))).drop("_r")
-    w = F.lit(1.0) if weights == "uniform" else F.lit(1.0) / (F.col("dist") + 1e-12)
+    w = F.lit(1.0) if weights == "uniform" else inverse_distance("dist")
     hit = found.join(train.select(train_id, *[F.col(t).cast("double") for t in targets]), train_id).withColumn("_w", w)
     mean = hit.groupBy(query_id).agg(F.sum("_w").alias("_tw"), *[(F.sum(F.col("_w") * F.col(t)) / F.sum("_w")).alias(f"_m_{t}") for t in targets])
     var = hit.join(mean, query_id).groupBy(query_id).agg(*[
