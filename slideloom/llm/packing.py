@@ -73,7 +73,7 @@ class WordCache:
     #: Letters and signs that need no normal form and are white space to nobody.
     PLAIN = re.compile("[!-~\xa1-\u024f]+")
 
-    def __init__(self, tokenizer, limit: int = 400_000):
+    def __init__(self, tokenizer, limit: int = 200_000):
         self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
         spec = json.loads(tokenizer.to_str())
         self.marks = [t["content"] for t in spec["added_tokens"]]
@@ -136,7 +136,7 @@ class WordCache:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def batches_of(texts: pa.Array, size: int = 8_000_000):
+def batches_of(texts: pa.Array, size: int = 4_000_000):
     """Ranges of ``texts`` of about ``size`` bytes."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     start, base = 0, 0
@@ -161,25 +161,31 @@ def pieces(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "
         from tokenizers import Tokenizer
 
         gc.disable()  # tables of many small objects without cycles
-
-        cache = WordCache(Tokenizer.from_file(tokenizer))
-        for batch in batches:
-            texts = batch.column(1)
-            for a, b in batches_of(texts):
-                rows, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(cache.encode(texts.slice(a, b - a)), a):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    for k, s in enumerate(range(0, len(ids), limit)):
-                        part = ids[s : s + limit]
-                        rows.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc", "piece", "start", "length", "ids_crc32"],
-                )
+        try:
+            cache = WordCache(Tokenizer.from_file(tokenizer))
+            for batch in batches:
+                texts = batch.column(1)
+                for a, b in batches_of(texts):
+                    rows, piece, start, length, crc = [], [], [], [], []
+                    for i, ids in enumerate(cache.encode(texts.slice(a, b - a)), a):
+                        ids = np.append(ids, np.uint32(end)).astype("<u4")
+                        for k, s in enumerate(range(0, len(ids), limit)):
+                            part = ids[s : s + limit]
+                            rows.append(i)
+                            piece.append(k)
+                            start.append(s)
+                            length.append(len(part))
+                            crc.append(zlib.crc32(part.tobytes()))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                        names=["doc", "piece", "start", "length", "ids_crc32"],
+                    )
+        finally:
+            # the worker goes on to other tasks
+            cache = None
+            gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     out = docs.select(F.col(ident).alias("doc"), text_of(text).alias("text")).mapInArrow(
         cut, f"doc {kind}, piece int, start long, length long, ids_crc32 long"
