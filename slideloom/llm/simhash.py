@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from slideloom.llm.common import boxed, text_of, unboxed
 from slideloom.plans.scale import settle
@@ -18,19 +18,23 @@ from slideloom.plans.scale import settle
 POSITIONS = tuple(c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0)
 
 
+def shingles(text: str, words: int, seed: int) -> list[int]:
+    """Hashes of all runs of ``words`` words, ASCII letters in lower case; of all words if they are fewer."""
+    parts = text.encode().lower().split()
+    if len(parts) <= words:
+        return [xxhash.xxh64_intdigest(b" ".join(parts), seed)] if parts else []
+    line = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = [0, *(ends[:-words] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())]
+
+
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """SimHash of the shingles of ``words`` words, ASCII letters in lower case."""
-    parts = text.encode().lower().split()
-    if not parts:
+    hashes = shingles(text, words, seed)
+    if not hashes:
         return 0
-    if len(parts) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(parts), seed)]
-    else:
-        line = b" ".join(parts)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        starts = [0, *(ends[:-words] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())]
     lanes = np.array(hashes, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)
     out = 0
     for lane in range(8):
@@ -173,15 +177,35 @@ def near_duplicates(
     return rows.join(own, "fp").select(ident, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest id stays.
+def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, bits: int = 3) -> DataFrame:
+    """The documents without near-duplicates (see ``near_duplicates``): one row of each component, as ``keep_first`` chooses it."""
+    key = whole_key(docs, ident, text)
+    named = docs.select(F.struct(*[c.alias(n) for n, c in key.items()]).alias("_key"), F.col(text).alias("_text"))
+    rows = settle(fingerprints(named, "_key", "_text", words, seed).select("_key.*", "fp"))
+    return keep_first(docs, rows, links(rows.select("fp").distinct(), bits), ident, text)
+
+
+def whole_key(docs: DataFrame, ident: str, text: str) -> dict[str, Column]:
+    """Join columns of a row, never null: its id, whether it has none, and a hash of its text. In this order rows without an id come last."""
+    return {
+        "_none": F.col(ident).isNull(), "_id": F.coalesce(F.col(ident), F.lit(0).cast(docs.schema[ident].dataType)),
+        "_hash": F.xxhash64(F.col(text).isNull(), F.col(text)),
+    }
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, edges: DataFrame, ident: str, text: str) -> DataFrame:
+    """One row of each component: that with the smallest id, rows without an id last, then with the smallest hash of its text.
 
-    Rows that repeat an id count as one document; of a component without ids one row stays.
+    ``rows`` has the key (see ``whole_key``) and fp of every row of ``docs``, ``edges`` (a, b) link values of fp. Rows alike in
+    id and text are one document; of them the one with the smallest hash of all columns stays. The same id with texts
+    of different components stays once for each.
     """
-    verdict = near_duplicates(docs, ident, text, **settings)
-    key = {"_id": F.coalesce(F.col(ident), F.lit(0).cast(docs.schema[ident].dataType)), "_none": F.col(ident).isNull()}
-    kept = settle(verdict.where(F.col(ident).eqNullSafe(F.col("component_id"))).select(*[c.alias(n) for n, c in key.items()]).distinct())
-    # the window stands on the join's partitions and order: texts are shuffled once
-    own = Window.partitionBy("_id", "_none").orderBy("_id", "_none")
-    out = boxed(docs, **key).join(kept, ["_id", "_none"]).withColumn("_n", F.row_number().over(own)).where("_n = 1")
-    return unboxed(out, docs)
+    linked = settle(components(edges))
+    first = rows.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_hash")).alias("_first"))
+    rooted = first.join(linked, first["fp"] == linked["node"], "left").select(F.coalesce("root", "fp").alias("root"), "_first")
+    kept = settle(rooted.groupBy("root").agg(F.min("_first").alias("_first")).select("_first.*"))
+    # rows alike meet before the shuffle; the join stands on its partitions: texts are shuffled once
+    key = whole_key(docs, ident, text)
+    plain = [f"_row.`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    single = boxed(docs, **key).groupBy(*key).agg(F.min_by("_row", F.xxhash64(*plain)).alias("_row"))
+    return unboxed(single.join(kept, list(key)), docs)

@@ -103,3 +103,13 @@ def test_nulls_repeats_and_clashing_columns(spark):
     kept = keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 9]
     assert near_duplicates(df.limit(0)).count() == 0 and keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(2)), (None, prose(3)), (5, prose(3)), (7, prose(4)), (7, prose(5)), (7, prose(5)), (8, prose(5)), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n long").repartition(5)
+    kept = keep_one(df).collect()
+    want = [(None, prose(1)), (None, prose(2)), (5, prose(3)), (7, prose(4)), (7, prose(5))]
+    assert sorted(((r.doc_id, r.text) for r in kept if r.text), key=str) == sorted(want, key=str)
+    assert sum(not r.text for r in kept) == 1
