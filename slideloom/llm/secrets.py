@@ -39,9 +39,16 @@ class CharacterClass:
 CLASSES = (
     CharacterClass("entropy_hex", r"[0-9A-Fa-f]{24,}", 24, 3.0, ("[0-9]", "[A-Fa-f]")),
     CharacterClass("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 4.0, ("[0-9]", "[a-z]", "[A-Z]")),
+    # whole words of 16 to 23 that change kind between neighbours, as slugs of words don't
+    CharacterClass("entropy_short", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,23}(?![A-Za-z0-9+/_=-])", 16, 3.5, ("[0-9]", "[a-z]", "[A-Z]", "[a-z][0-9A-Z]|[0-9][A-Za-z]")),
+    # one case with digits (base32, base36); a letter beyond F, or it is hex
+    CharacterClass("entropy_lower", r"(?<![A-Za-z0-9])[a-z0-9]{16,}(?![A-Za-z0-9])", 16, 3.25, ("[0-9]", "[g-z]")),
+    CharacterClass("entropy_upper", r"(?<![A-Za-z0-9])[A-Z0-9]{16,}(?![A-Za-z0-9])", 16, 3.25, ("[0-9]", "[G-Z]")),
+    CharacterClass("entropy_hex_short", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{16,23}(?![A-Za-z0-9])", 16, 2.75, ("[0-9]", "[A-Fa-f]")),
+    CharacterClass("entropy_uuid", r"(?<![A-Za-z0-9-])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9-])", 36, 2.75, ("[0-9]", "[A-Fa-f]")),
 )
 
-#: Candidates that hold one of these are no secrets: samples, counting sequences, runs of one letter, digests that name their kind.
+#: Parts of candidates that hold one of these are no secrets: samples, counting sequences, runs of one letter, digests that name their kind.
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|deadbeef",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
@@ -49,6 +56,9 @@ ALLOWED = (
     r"(?i)sha(?:1|256|384|512)-",
 )
 
+#: The parts of a candidate with something allowed: joined words are judged one by one, a named digest is one part.
+PARTS = r"(?i:sha(?:1|256|384|512)-[A-Za-z0-9+/=_-]+)|[A-Za-z0-9+]+"
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, also when lambdas use it."""
@@ -140,6 +150,17 @@ def entropy_span(found: Column, cls: CharacterClass) -> Column:
     return let(codes, walk)
 
 
+def judged(spans: Column, cls: CharacterClass, allowed: tuple[str, ...]) -> Column:
+    """Candidates as they are, and of those that hold something allowed the other PARTS of a window or more."""
+    fine = lambda found: F.exists(F.array(*map(F.lit, allowed)), lambda a: F.rlike(found, a))
+
+    def parts(s):
+        left = F.filter(located(s["found"], PARTS), lambda p: (F.char_length(p["found"]) >= cls.window) & ~fine(p["found"]))
+        return F.transform(left, lambda p: F.struct((s["start"] + p["start"]).alias("start"), (s["start"] + p["end"]).alias("end"), p["found"].alias("found")))
+
+    return F.flatten(F.transform(spans, lambda s: F.when(fine(s["found"]), parts(s)).otherwise(F.array(s))))
+
+
 def secret_spans(text: Column, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """Sorted array of (start, place, kind, end): base matches that pass, and entropy spans not allowed.
 
@@ -154,8 +175,7 @@ def secret_spans(text: Column, classes: tuple[CharacterClass, ...] = CLASSES, al
             s["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), s["end"].alias("end")
         )))
     for place, cls in enumerate(classes, len(BASE)):
-        spans = F.filter(located(text, cls.candidates), lambda s: ~F.exists(F.array(*map(F.lit, allowed)), lambda a: F.rlike(s["found"], a)))
-        runs = F.transform(spans, lambda s: let(entropy_span(s["found"], cls), lambda e: F.struct(
+        runs = F.transform(judged(located(text, cls.candidates), cls, allowed), lambda s: let(entropy_span(s["found"], cls), lambda e: F.struct(
             (s["start"] + e["first"]).alias("start"), F.lit(place).alias("place"), F.lit(cls.kind).alias("kind"),
             (s["start"] + e["last"] + cls.window).alias("end"), e["first"].alias("first"),
             F.substr(s["found"], e["first"] + 1, e["last"] - e["first"] + cls.window).alias("own"),

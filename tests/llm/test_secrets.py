@@ -96,3 +96,14 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert find_secrets(df).count() == 0 and redact(df).count() == 0
     assert written is not None
+
+
+def test_short_single_case_and_joined_secrets(spark):
+    keys = ["dBjftJeZ4CVPmB92K27uhA", "x7k2m9q4z8w1p5v3", "mzxw6ytboi4dgnjqk7hv", "MZXW6YTBOI4DGNJQK7HV", "4f9c1b7ae2d80356", "3f2b8c1e-9d4a-4e7b-a610-5c8f7d2e9b04"]
+    joined = "sample-config/" + "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zA"
+    plain = ["internationalization", "Chapter-Twelve-Notes", "2024010112345678", "some-long-slug-of-words"]
+    df = spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate([*keys, joined, *plain])], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redact(df).collect()}
+    assert [got[i] for i in range(len(keys))] == ["see [SECRET] end"] * len(keys)
+    assert "gH7jK9mN1pQ2rS4tU6vW" not in got[len(keys)]
+    assert [got[len(keys) + 1 + i] for i in range(len(plain))] == [f"see {t} end" for t in plain]
