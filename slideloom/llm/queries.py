@@ -21,10 +21,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer():
+def tokenizer(name="word_bpe_49k.json"):
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 @query("op1_pattern_packing")
@@ -162,3 +162,26 @@ def op10(spark, sf_dir):
         "doc_id", F.size("_found").cast("long").alias("n_matches"), best["license"].alias("license"), best["dice"].alias("dice"),
         F.array_join(F.array_sort(F.array_distinct(F.col("_found.license"))), ",").alias("licenses"),
     )
+
+
+@query("op11_chebyshev_whitening")
+def op11(spark, sf_dir):
+    from slideloom.llm.whitening import whiten
+
+    out = whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return out.select("_row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query("op12_minhash_coordinates")
+def op12(spark, sf_dir):
+    from slideloom.llm.coordinates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    from slideloom.llm.tokenalign import align
+
+    out = align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
+    return out.select("_row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
