@@ -22,18 +22,31 @@ def shingle_set(text: str, words: int, seed: int) -> np.ndarray:
     return np.unique(np.array(shingles(text, words, seed), np.uint64))
 
 
+#: Bits of a set's parity map.
+PARITY = 1024
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements fall on each of PARITY places. Two sets differ in as many elements at least as their maps in bits."""
+    odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, asked: DataFrame, ident: str, text: str, words: int, seed: int) -> DataFrame:
-    """fp and items (the hashes of the whole set) of the nodes ``asked`` (fp, _none, _id, _hash: one row that has the set)."""
+    """fp, items (the hashes of the whole set) and bits (its parity map) of the nodes ``asked`` (fp, _none, _id, _hash: one row that has the set)."""
     def run(batches):
         for b in batches:
             sets = [shingle_set(t.as_py(), words, seed) for t in b.column(1)]
             ends = np.cumsum([0] + [len(s) for s in sets])
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["fp", "items"])
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+            maps = np.concatenate([parities(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (PARITY // 64), pa.int32()), pa.array(maps)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["fp", "items", "bits"])
 
     key = whole_key(docs, ident, text)
     texts = docs.select(*[c.alias(n) for n, c in key.items()], text_of(text).alias("_text")).join(asked, list(key)).select("fp", "_text")
-    return texts.mapInArrow(run, "fp long, items array<long>").dropDuplicates(["fp"])
+    return texts.mapInArrow(run, "fp long, items array<long>, bits array<long>").dropDuplicates(["fp"])
 
 
 def enough(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -45,8 +58,9 @@ def link(nodes: DataFrame, sets: DataFrame, percent: int, match: int = 1, rounds
     """Edges (a, b) that join all sets that share a key, ``match`` tokens and ``percent`` % of their elements.
 
     ``nodes`` has fp, n (set size), keys (an array: the node's lists) and tokens (an array, compared only if ``match``
-    is over 1), ``sets`` fp and items. Every edge is counted on whole sets. Elements that no other node
-    holds can't be shared, which bounds a pair's similarity from the nodes' numbers alone.
+    is over 1), ``sets`` fp, items and bits. Every edge is counted on whole sets. Two bounds, which never rule out a
+    true edge, spare comparisons: elements that no other node holds can't be shared, and sets differ in as many
+    elements at least as their parity maps in bits.
     """
     rare = sets.select("fp", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("fp"))
     own = rare.where("c = 1").groupBy("fp").agg(F.count(F.lit(1)).alias("own"))
@@ -65,11 +79,21 @@ def link(nodes: DataFrame, sets: DataFrame, percent: int, match: int = 1, rounds
         shared = F.least(f"{x}_most", f"{y}_most")
         return enough(shared, F.col(f"{x}_n"), F.col(f"{y}_n"), percent)
 
-    def alike(x, y):
-        return F.size(F.array_intersect(f"{x}_tokens", f"{y}_tokens")) >= match if match > 1 else F.lit(True)
+    def enough_tokens(pairs):
+        if match <= 1:
+            return pairs
+        tokens = nodes.select("fp", "tokens")
+        both = pairs.join(side(tokens, "x"), pairs["a"] == F.col("x_fp")).join(side(tokens, "y"), pairs["b"] == F.col("y_fp"))
+        return both.where(F.size(F.array_intersect("x_tokens", "y_tokens")) >= match).select("a", "b")
+
+    def close(x, y):
+        differ = sum((F.bit_count(F.get(f"{x}_bits", i).bitwiseXOR(F.get(f"{y}_bits", i))) for i in range(PARITY // 64)), F.lit(0))
+        a, b = F.col(f"{x}_n"), F.col(f"{y}_n")
+        return (a + b - differ).cast("long") * (100 + percent) >= (a + b).cast("long") * 2 * percent
 
     def confirm(pairs):
-        both = pairs.join(side(sets, "a"), pairs["a"] == F.col("a_fp")).join(side(sets, "b"), pairs["b"] == F.col("b_fp"))
+        whole = sets.select("fp", "items")
+        both = pairs.join(side(whole, "a"), pairs["a"] == F.col("a_fp")).join(side(whole, "b"), pairs["b"] == F.col("b_fp"))
         shared = F.size(F.array_intersect("a_items", "b_items"))
         return settle(both.where(enough(shared, F.size("a_items"), F.size("b_items"), percent)).select("a", "b"))
 
@@ -98,20 +122,16 @@ def link(nodes: DataFrame, sets: DataFrame, percent: int, match: int = 1, rounds
         asked = side(at, "x").join(longs, "k").where((F.col("x_root") != F.col("top")) & fits("x", "h"))
         asked = asked.groupBy("x_fp", "h_fp").agg(F.count(F.lit(1)).alias("c"))
         asked = asked.groupBy(F.col("x_fp").alias("a")).agg(F.max_by("h_fp", F.struct("c", "h_fp")).alias("b"))
-        if match > 1:
-            tokens = nodes.select("fp", "tokens")
-            asked = asked.join(side(tokens, "x"), asked["a"] == F.col("x_fp")).join(side(tokens, "y"), asked["b"] == F.col("y_fp"))
-            asked = asked.where(alike("x", "y")).select("a", "b")
-        found = confirm(settle(asked))
+        found = confirm(settle(enough_tokens(asked)))
         edges = found if edges is None else edges.unionByName(found)
         roots = settle(components(edges).select(F.col("node").alias("fp"), "root"))
 
     # pairs between components: every pair once, at the smallest key its nodes share
-    wide = at.join(top.select("k", "top"), "k").join(nodes.select("fp", "keys", "tokens"), "fp")
+    wide = at.join(top.select("k", "top"), "k").join(nodes.select("fp", "keys").join(sets.select("fp", "bits"), "fp"), "fp")
     wide = wide.withColumn("main", F.col("root") == F.col("top")).drop("top")
     x, y = side(wide.where("not main"), "x"), side(wide, "y").withColumnRenamed("k", "y_k")
     once = (F.col("x_root") != F.col("y_root")) & (F.col("y_main") | (F.col("x_fp") < F.col("y_fp"))) & fits("x", "y")
     first = F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("k")
-    pairs = x.join(y, (F.col("k") == F.col("y_k")) & once & first & alike("x", "y"))
-    found = confirm(settle(pairs.select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b"))))
+    pairs = x.join(y, (F.col("k") == F.col("y_k")) & once & close("x", "y") & first)
+    found = confirm(settle(enough_tokens(pairs.select(F.col("x_fp").alias("a"), F.col("y_fp").alias("b")))))
     return found if edges is None else edges.unionByName(found)

@@ -19,21 +19,34 @@ IDS = 1 << 20
 
 
 class ByteLevel:
-    """A byte-level BPE file: ids of texts, special tokens being plain text, and the bytes of every id."""
+    """A byte-level BPE file (JSON): ids of texts, special tokens being plain text, and the bytes of every id.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    The file's ids must rise along its merges, as in files that training wrote; then merging always the
+    pair with the smallest id of the result is the same rule, and a faster library can apply it.
+    """
+
+    #: Fixed value: the split pattern that byte-level files with ``use_regex`` stand for.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if cut.get("type") != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"] or spec["normalizer"] or model["type"] != "BPE" or merged != sorted(merged):
+            raise ValueError(f"{path} is no plain byte-level BPE file with ids in the order of merges")
         back = {c: b for b, c in byte_letters().items()}
-        vocab = json.loads(self.tokenizer.to_str())["model"]["vocab"]
-        self.pieces = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.pieces[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        special = {t["content"] for t in spec["added_tokens"]}
+        known = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        self.pieces = [b""] * (max(known.values()) + 1)
+        for token, i in known.items():
+            self.pieces[i] = token
+        self.coder = tiktoken.Encoding("file", pat_str=self.SPLIT, mergeable_ranks=known, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self.coder.encode_ordinary(t) for t in texts]
 
 
 class Pieces:
@@ -50,43 +63,52 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def groups_of(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """Slices (from, to of a, from, to of b) between byte offsets where tokens of both end, and the links: id pairs whose bytes overlap.
+def ends_of(ids: np.ndarray, sizes: np.ndarray) -> dict[int, int]:
+    """From each cumulative byte end to the number of tokens up to it."""
+    return dict(zip(np.cumsum(sizes[ids]).tolist(), range(1, len(ids) + 1)))
+
+
+def groups_of(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the slices between byte offsets at which tokens of both end stop in a and in b, and the links: id pairs whose bytes overlap.
 
     The ends of each side go into a dictionary to their index; the keys both hold, sorted, cut the two
-    lists. Within a slice no inner end is shared, so its links follow by stepping the side that ends first.
+    lists. A slice's first tokens are linked; within it no inner end is shared, so further links follow by
+    stepping the side that ends first.
     """
-    def ends(ids, sizes):
-        at, out = 0, {}
-        for i, t in enumerate(ids, 1):
-            at += sizes[t]
-            out[at] = i
-        return out
-
-    ends_a, ends_b = ends(a, size_a), ends(b, size_b)
-    cuts, links = [], []
-    i = k = 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        to_i, to_k = ends_a[end], ends_b[end]
-        cuts.append((i, to_i, k, to_k))
-        links.append(a[i] * IDS + b[k])
-        if to_i - i + to_k - k > 2:
-            rest = size_a[a[i]] - size_b[b[k]]  # how much further a's token reaches
-            while i + 1 < to_i or k + 1 < to_k:
-                if rest < 0:
-                    i += 1
-                    rest += size_a[a[i]]
-                else:
-                    k += 1
-                    rest -= size_b[b[k]]
-                links.append(a[i] * IDS + b[k])
-        i, k = to_i, to_k
-    return cuts, links
-
-
-def written(cuts, a: list[int], b: list[int]) -> str:
-    a, b = list(map(str, a)), list(map(str, b))
-    return ";".join([f"{a[i]}|{b[k]}" if j - i + m - k == 2 else f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in cuts])
+    ends_a, ends_b = ends_of(a, size_a), ends_of(b, size_b)
+    common = sorted(ends_a.keys() & ends_b.keys())
+    to_a, to_b = (np.fromiter(map(e.__getitem__, common), np.int64, len(common)) for e in (ends_a, ends_b))
+    if not common:
+        return to_a, to_b, np.zeros(0, np.int64)
+    from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
+    links = []
+    for g in wide_groups(to_a, to_b):
+        left, right = a[from_a[g] : to_a[g]].tolist(), b[from_b[g] : to_b[g]].tolist()
+        i = k = 0
+        rest = int(size_a[left[0]] - size_b[right[0]])  # how much further a's token reaches
+        while i + 1 < len(left) or k + 1 < len(right):
+            if rest < 0:
+                i += 1
+                rest += int(size_a[left[i]])
+            else:
+                k += 1
+                rest -= int(size_b[right[k]])
+            links.append(left[i] * IDS + right[k])
+    return to_a, to_b, np.concatenate([a[from_a] * IDS + b[from_b], np.array(links, np.int64)])
+
+
+def wide_groups(to_a: np.ndarray, to_b: np.ndarray) -> list[int]:
+    """The groups with more than one token on a side."""
+    return np.flatnonzero((np.diff(to_a, prepend=0) > 1) | (np.diff(to_b, prepend=0) > 1)).tolist()
+
+
+def written(to_a: np.ndarray, to_b: np.ndarray, a: np.ndarray, b: np.ndarray, names: list[str]) -> str:
+    """The groups as text: decimal ids (``names``) of both sides, ``a1,a2|b1;a3|b2``."""
+    left, right = (list(map(names.__getitem__, ids[to - 1].tolist())) for ids, to in ((a, to_a), (b, to_b)))
+    for g in wide_groups(to_a, to_b):
+        for side, ids, to in ((left, a, to_a), (right, b, to_b)):
+            side[g] = ",".join([names[i] for i in ids[to[g - 1] if g else 0 : to[g]].tolist()])
+    return ";".join(map("|".join, zip(left, right)))
 
 
 def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: list[str] | None = None, groups: bool = False, block_bytes: int = 4_000_000) -> DataFrame:
@@ -109,7 +131,8 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: li
 
     def run(batches):
         left, right = ByteLevel(first), Pieces(second)
-        size_a, size_b = list(map(len, left.pieces)), list(map(len, right.pieces))
+        size_a, size_b = (np.array(list(map(len, t.pieces)), np.int64) for t in (left, right))
+        decimal = list(map(str, range(max(len(size_a), len(size_b)))))
         task, number = TaskContext.get().partitionId(), 0
         for b in batches:
             for low, high in batches_of(b.column(0), block_bytes):
@@ -120,12 +143,13 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: li
                     goal = s.encode()
                     if not t or b"".join([left.pieces[i] for i in ia]) != goal or b"".join([right.pieces[i] for i in ib]) != goal:
                         ia, ib = [], []
-                    cuts, links = groups_of(ia, ib, size_a, size_b)
-                    line = written(cuts, ia, ib)
-                    p, c = np.unique(np.array(links, np.int64), return_counts=True)
+                    ia, ib = np.array(ia, np.int64), np.array(ib, np.int64)
+                    to_a, to_b, links = groups_of(ia, ib, size_a, size_b)
+                    line = written(to_a, to_b, ia, ib, decimal)
+                    p, c = np.unique(links, return_counts=True)
                     pairs.append(p)
                     times.append(c.astype(np.int32))
-                    facts.append((len(ia), len(ib), len(cuts), len(links), hashlib.sha256(line.encode()).hexdigest() if line else "", line))
+                    facts.append((len(ia), len(ib), len(to_a), len(links), hashlib.sha256(line.encode()).hexdigest() if line else "", line))
                 flat = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
                 known, place, held = np.unique(flat, return_inverse=True, return_counts=True)
                 ends = np.cumsum([0] + [len(p) for p in pairs]).astype(np.int32)

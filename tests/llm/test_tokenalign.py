@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from slideloom.llm.queries import QUERIES, tokenizer
@@ -72,11 +72,32 @@ def test_slices_against_ranges():
         while left:
             b.append(rng.randint(1, min(7, left)))
             left -= b[-1]
-        cuts, links = groups_of(a, b, size, size)
+        to_a, to_b, links = groups_of(np.array(a), np.array(b), np.array(size), np.array(size))
         sa, sb = ([(sum(v[:i]), sum(v[: i + 1])) for i in range(len(v))] for v in (a, b))
         assert sorted(links) == sorted(x * IDS + y for x, (f, g) in zip(a, sa) for y, (h, k) in zip(b, sb) if f < k and h < g)
-        assert [c[1::2] for c in cuts] == [(i + 1, k + 1) for i, (_, g) in enumerate(sa) for k, (_, e) in enumerate(sb) if g == e]
-        assert written(cuts, a, b).count(";") == len(cuts) - 1
+        assert list(zip(to_a, to_b)) == [(i + 1, k + 1) for i, (_, g) in enumerate(sa) for k, (_, e) in enumerate(sb) if g == e]
+        assert written(to_a, to_b, np.array(a), np.array(b), list("01234567")).count(";") == len(to_a) - 1
+
+
+def test_ids_are_those_of_the_file(sf_dir):
+    """Against the library that the file is made for, also on odd characters."""
+    from pyarrow.parquet import read_table
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(FILES[0])
+    plain.encode_special_tokens = True
+    texts = [t for t in read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    rng = random.Random(6)
+    kinds = [range(0x20, 0x7F), range(0x250), range(0x2000, 0x2070), range(0x20, 0xD800), range(0x1F300, 0x1FA00), [9, 10, 13, 32, 0x1C, 0x85, 0xA0, 0x3000, 0x27, 0x73]]
+    for _ in range(1500):
+        kind = rng.choice(kinds)
+        texts.append("".join(chr(rng.choice(kind)) for _ in range(rng.randint(1, 60))))
+    texts += ["<|endoftext|>", "it's we'LL they'd", "a" * 3000, "  \n\n x"]
+    own = ByteLevel(FILES[0])
+    for t in texts:
+        ids = own.encode([t])[0]
+        assert ids == plain.encode(t, add_special_tokens=False).ids
+        assert b"".join(own.pieces[i] for i in ids) == t.encode()
 
 
 def test_odd_rows(spark):
