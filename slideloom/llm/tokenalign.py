@@ -81,34 +81,36 @@ def groups_of(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
     if not common:
         return to_a, to_b, np.zeros(0, np.int64)
     from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
-    links = []
-    for g in wide_groups(to_a, to_b):
-        left, right = a[from_a[g] : to_a[g]].tolist(), b[from_b[g] : to_b[g]].tolist()
-        i = k = 0
-        rest = int(size_a[left[0]] - size_b[right[0]])  # how much further a's token reaches
-        while i + 1 < len(left) or k + 1 < len(right):
+    links, ids_a, ids_b, sizes_a, sizes_b = [], a.tolist(), b.tolist(), size_a[a].tolist(), size_b[b].tolist()
+    for i, last_a, k, last_b in wide_groups(to_a, to_b):
+        rest = sizes_a[i] - sizes_b[k]  # how much further a's token reaches
+        while i < last_a or k < last_b:
             if rest < 0:
                 i += 1
-                rest += int(size_a[left[i]])
+                rest += sizes_a[i]
             else:
                 k += 1
-                rest -= int(size_b[right[k]])
-            links.append(left[i] * IDS + right[k])
+                rest -= sizes_b[k]
+            links.append(ids_a[i] * IDS + ids_b[k])
     return to_a, to_b, np.concatenate([a[from_a] * IDS + b[from_b], np.array(links, np.int64)])
 
 
-def wide_groups(to_a: np.ndarray, to_b: np.ndarray) -> list[int]:
-    """The groups with more than one token on a side."""
-    return np.flatnonzero((np.diff(to_a, prepend=0) > 1) | (np.diff(to_b, prepend=0) > 1)).tolist()
+def wide_groups(to_a: np.ndarray, to_b: np.ndarray) -> list[list[int]]:
+    """First and last token of a and of b in each group that has more than one on a side."""
+    sizes = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+    wide = np.flatnonzero((sizes[0] > 1) | (sizes[1] > 1))
+    return np.stack([(to_a - sizes[0])[wide], to_a[wide] - 1, (to_b - sizes[1])[wide], to_b[wide] - 1], 1).tolist()
 
 
 def written(to_a: np.ndarray, to_b: np.ndarray, a: np.ndarray, b: np.ndarray, names: list[str]) -> str:
     """The groups as text: decimal ids (``names``) of both sides, ``a1,a2|b1;a3|b2``."""
-    left, right = (list(map(names.__getitem__, ids[to - 1].tolist())) for ids, to in ((a, to_a), (b, to_b)))
-    for g in wide_groups(to_a, to_b):
-        for side, ids, to in ((left, a, to_a), (right, b, to_b)):
-            side[g] = ",".join([names[i] for i in ids[to[g - 1] if g else 0 : to[g]].tolist()])
-    return ";".join(map("|".join, zip(left, right)))
+    out = []
+    for ids, to in ((a, to_a), (b, to_b)):
+        parts, ids, last = list(map(names.__getitem__, ids[to - 1].tolist())), ids.tolist(), (to - 1).tolist()
+        for g in np.flatnonzero(np.diff(to, prepend=0) > 1).tolist():
+            parts[g] = ",".join([names[i] for i in ids[last[g - 1] + 1 if g else 0 : last[g] + 1]])
+        out.append(parts)
+    return ";".join(map("|".join, zip(*out)))
 
 
 def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: list[str] | None = None, groups: bool = False, block_bytes: int = 4_000_000) -> DataFrame:
