@@ -121,8 +121,11 @@ def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
     words and the white space before them (``n_chars`` follows, if there is one). Other columns stay; ``position``
     names a column for the moment of the reading. Documents not taken are left out.
     """
-    chosen = settle(plan_mix(docs, ident, text, source, **plan).select("_id", "_fp", F.col("size").alias("_size"), F.explode("readings").alias("_r")))
-    out = boxed(docs, **row_key(ident, text)).join(chosen, ["_id", "_fp"])
+    chosen = settle(plan_mix(docs, ident, text, source, **plan).select("_id", "_fp", F.col("source").alias("_from"), F.col("size").alias("_size"), F.explode("readings").alias("_r")))
+    # the same id and text may stand in several sources, each with readings of its own
+    rows = boxed(docs, **row_key(ident, text), _source=F.col(source))
+    same = (rows["_id"] == chosen["_id"]) & (rows["_fp"] == chosen["_fp"]) & rows["_source"].eqNullSafe(chosen["_from"])
+    out = rows.join(chosen, same).drop(chosen["_id"], chosen["_fp"])
     # the first n words with what stands before each
     old, words = F.col("_row")[text], F.col("_r.words")
     parts = F.regexp_extract_all(old, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)

@@ -63,54 +63,64 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def ends_of(ids: np.ndarray, sizes: np.ndarray) -> dict[int, int]:
+def ends_of(sizes: np.ndarray) -> dict[int, int]:
     """From each cumulative byte end to the number of tokens up to it."""
-    return dict(zip(np.cumsum(sizes[ids]).tolist(), range(1, len(ids) + 1)))
+    return dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1)))
 
 
-def groups_of(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the slices between byte offsets at which tokens of both end stop in a and in b, and the links: id pairs whose bytes overlap.
+def groups_of(ids_a: list[int], ids_b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray]:
+    """Where the slices between byte offsets at which tokens of both end stop in a and in b; the number of each slice's last
+    link; the slices with more than one token on a side (number, first and last of a, of b); and all links: id pairs whose bytes overlap.
 
     The ends of each side go into a dictionary to their index; the keys both hold, sorted, cut the two
     lists. A slice's first tokens are linked; within it no inner end is shared, so further links follow by
     stepping the side that ends first.
     """
-    ends_a, ends_b = ends_of(a, size_a), ends_of(b, size_b)
+    a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+    size_a, size_b = size_a[a], size_b[b]
+    ends_a, ends_b = ends_of(size_a), ends_of(size_b)
     common = sorted(ends_a.keys() & ends_b.keys())
     to_a, to_b = (np.fromiter(map(e.__getitem__, common), np.int64, len(common)) for e in (ends_a, ends_b))
-    if not common:
-        return to_a, to_b, np.zeros(0, np.int64)
-    from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
-    links, ids_a, ids_b, sizes_a, sizes_b = [], a.tolist(), b.tolist(), size_a[a].tolist(), size_b[b].tolist()
-    for i, last_a, k, last_b in wide_groups(to_a, to_b):
-        rest = sizes_a[i] - sizes_b[k]  # how much further a's token reaches
+    from_a, from_b = np.concatenate([[0], to_a])[:-1], np.concatenate([[0], to_b])[:-1]
+    at = np.flatnonzero((to_a - from_a > 1) | (to_b - from_b > 1))
+    wide = np.stack([at, from_a[at], to_a[at] - 1, from_b[at], to_b[at] - 1], 1).tolist()
+    links = []
+    if wide:
+        size_a, size_b = size_a.tolist(), size_b.tolist()
+    for _, i, last_a, k, last_b in wide:
+        rest = size_a[i] - size_b[k]  # how much further a's token reaches
         while i < last_a or k < last_b:
             if rest < 0:
                 i += 1
-                rest += sizes_a[i]
+                rest += size_a[i]
             else:
                 k += 1
-                rest -= sizes_b[k]
+                rest -= size_b[k]
             links.append(ids_a[i] * IDS + ids_b[k])
-    return to_a, to_b, np.concatenate([a[from_a] * IDS + b[from_b], np.array(links, np.int64)])
+    lasts = a[to_a - 1] * IDS + b[to_b - 1]
+    firsts = lasts.copy()
+    firsts[at] = a[from_a[at]] * IDS + b[from_b[at]]
+    return to_a, to_b, lasts, wide, np.concatenate([firsts, np.array(links, np.int64)])
 
 
-def wide_groups(to_a: np.ndarray, to_b: np.ndarray) -> list[list[int]]:
-    """First and last token of a and of b in each group that has more than one on a side."""
-    sizes = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
-    wide = np.flatnonzero((sizes[0] > 1) | (sizes[1] > 1))
-    return np.stack([(to_a - sizes[0])[wide], to_a[wide] - 1, (to_b - sizes[1])[wide], to_b[wide] - 1], 1).tolist()
+class PairTexts(dict):
+    """``a|b`` for a link's number, made once for each of at most ``limit`` numbers, then anew."""
 
+    limit = 500_000
 
-def written(to_a: np.ndarray, to_b: np.ndarray, a: np.ndarray, b: np.ndarray, names: list[str]) -> str:
-    """The groups as text: decimal ids (``names``) of both sides, ``a1,a2|b1;a3|b2``."""
-    out = []
-    for ids, to in ((a, to_a), (b, to_b)):
-        parts, ids, last = list(map(names.__getitem__, ids[to - 1].tolist())), ids.tolist(), (to - 1).tolist()
-        for g in np.flatnonzero(np.diff(to, prepend=0) > 1).tolist():
-            parts[g] = ",".join([names[i] for i in ids[last[g - 1] + 1 if g else 0 : last[g] + 1]])
-        out.append(parts)
-    return ";".join(map("|".join, zip(*out)))
+    def __missing__(self, link: int) -> str:
+        if len(self) >= self.limit:
+            self.clear()
+        self[link] = out = f"{link // IDS}|{link % IDS}"
+        return out
+
+
+def written(lasts: np.ndarray, wide: list, ids_a: list[int], ids_b: list[int], texts: PairTexts) -> str:
+    """The groups as text: decimal ids of both sides, ``a1,a2|b1;a3|b2``."""
+    parts = list(map(texts.__getitem__, lasts.tolist()))
+    for g, i, last_a, k, last_b in wide:
+        parts[g] = f"{','.join(map(str, ids_a[i : last_a + 1]))}|{','.join(map(str, ids_b[k : last_b + 1]))}"
+    return ";".join(parts)
 
 
 def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: list[str] | None = None, groups: bool = False, block_bytes: int = 4_000_000) -> DataFrame:
@@ -134,7 +144,7 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: li
     def run(batches):
         left, right = ByteLevel(first), Pieces(second)
         size_a, size_b = (np.array(list(map(len, t.pieces)), np.int64) for t in (left, right))
-        decimal = list(map(str, range(max(len(size_a), len(size_b)))))
+        texts_of = PairTexts()
         task, number = TaskContext.get().partitionId(), 0
         for b in batches:
             for low, high in batches_of(b.column(0), block_bytes):
@@ -145,9 +155,8 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: li
                     goal = s.encode()
                     if not t or b"".join([left.pieces[i] for i in ia]) != goal or b"".join([right.pieces[i] for i in ib]) != goal:
                         ia, ib = [], []
-                    ia, ib = np.array(ia, np.int64), np.array(ib, np.int64)
-                    to_a, to_b, links = groups_of(ia, ib, size_a, size_b)
-                    line = written(to_a, to_b, ia, ib, decimal)
+                    to_a, _, lasts, wide, links = groups_of(ia, ib, size_a, size_b)
+                    line = written(lasts, wide, ia, ib, texts_of)
                     p, c = np.unique(links, return_counts=True)
                     pairs.append(p)
                     times.append(c.astype(np.int32))

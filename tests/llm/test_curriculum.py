@@ -105,3 +105,14 @@ def test_nulls_repeats_empty(spark):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} >= {1, 4}
     assert mix(df.limit(0)).count() == 0 and plan_mix(df.limit(0)).count() == 0
     assert mix(df.where("doc_id = 2")).count() == 0
+
+
+def test_one_document_in_two_sources(spark):
+    """Each source reads its own row: never more than twice its size, and as planned."""
+    rows = [(1, "one two three four", "x"), (1, "one two three four", "y"), (2, "five six", "x"), (3, "seven eight nine", None), (1, "one two three four", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {(r._doc, r["source"]): r.taken for r in plan_mix(df).collect()}
+    words = defaultdict(int)
+    for r in mix(df).collect():
+        words[r.doc_id, r.source] += len(WORD.findall(r.text))
+    assert words == {k: v for k, v in plan.items() if v}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from slideloom.llm.queries import tokenizer
 
+from test_coordinates import brute as components, words_of
 from test_linequality import brute as rules
 from test_secrets import brute as secrets
-from test_simhash import groups, slow_print
 
 
 def expected(docs):
@@ -20,10 +20,13 @@ def expected(docs):
         if judged[d.doc_id][6]:
             kept[d.doc_id] = "\n".join(x for i, x in enumerate(d.text.split("\n")) if i not in judged[d.doc_id][7])
     ids = sorted(kept)
-    group = groups([slow_print(kept[i]) for i in ids])
+    words = [words_of(kept[i]) for i in ids]
+    group = components([(i, kept[i]) for i in ids], 5)
+    # texts without words are one group of the stage
+    bare = min((i for i, w in zip(ids, words) if not w), default=None)
     out = {}
-    for i, g in zip(ids, group):
-        if ids[g] == i:
+    for i, w, (_, g) in zip(ids, words, group):
+        if i == (g if w else bare):
             text, parts, end = kept[i], [], 0
             for s in secrets(text):
                 if s[0] > end or not parts:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from slideloom.llm.queries import QUERIES, tokenizer
-from slideloom.llm.tokenalign import IDS, ByteLevel, Pieces, align, groups_of, written
+from slideloom.llm.tokenalign import IDS, ByteLevel, PairTexts, Pieces, align, groups_of, written
 
 FILES = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
 
@@ -72,11 +72,11 @@ def test_slices_against_ranges():
         while left:
             b.append(rng.randint(1, min(7, left)))
             left -= b[-1]
-        to_a, to_b, links = groups_of(np.array(a), np.array(b), np.array(size), np.array(size))
+        to_a, to_b, lasts, wide, links = groups_of(a, b, np.array(size), np.array(size))
         sa, sb = ([(sum(v[:i]), sum(v[: i + 1])) for i in range(len(v))] for v in (a, b))
         assert sorted(links) == sorted(x * IDS + y for x, (f, g) in zip(a, sa) for y, (h, k) in zip(b, sb) if f < k and h < g)
         assert list(zip(to_a, to_b)) == [(i + 1, k + 1) for i, (_, g) in enumerate(sa) for k, (_, e) in enumerate(sb) if g == e]
-        assert written(to_a, to_b, np.array(a), np.array(b), list("01234567")).count(";") == len(to_a) - 1
+        assert written(lasts, wide, a, b, PairTexts()).count(";") == len(to_a) - 1
 
 
 def test_ids_are_those_of_the_file(sf_dir):
