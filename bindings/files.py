@@ -63,28 +63,29 @@ def _(spark, sf):
     return R.read_domain_map(spark, p)
 
 
-@query("read_sparse_counts", "SELECT 's1' AS sample, l_suppkey::VARCHAR AS spot, 'g'||(l_partkey%64) AS gene, sum(l_quantity) AS cnt FROM lineitem WHERE l_partkey%64 <> 5 GROUP BY ALL")
+@query("read_sparse_counts", "SELECT 's'||(l_linenumber%3) AS sample, l_suppkey::VARCHAR AS spot, 'g'||(l_partkey%64) AS gene, sum(l_quantity) AS cnt FROM lineitem WHERE l_partkey%64 <> 5 GROUP BY ALL")
 def _(spark, sf):
     from slideloom.operators.counts import collapse_duplicates
-    from slideloom.operators.samples import rank_domains
+    from slideloom.plans.scale import rank_within
 
-    # gene 5 is of another type; triplets keep duplicates, as files may
+    # three samples with the same barcodes; gene 5 is of another type; triplets keep duplicates, as files may
     c = table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("spot"), (F.col("l_partkey") % 64).alias("gene"), F.col("l_quantity").alias("cnt")
+        F.concat(F.lit("s"), F.col("l_linenumber") % 3).alias("sample"), F.col("l_suppkey").cast("string").alias("spot"),
+        (F.col("l_partkey") % 64).alias("gene"), F.col("l_quantity").alias("cnt"),
     )
-    spots = rank_domains(c, "spot", "i")
+    spots = rank_within(c.select("sample", "spot").distinct(), ["sample"], ["spot"], "i")
     p = {n: _path(spark, n) for n in ("mtx", "features", "barcodes")}
-    spots.orderBy("i").select("spot").coalesce(1).write.text(p["barcodes"])
+    # several files a sample, whose names follow the order
+    put = lambda d, order, name: d.repartitionByRange(4, "sample", order).sortWithinPartitions("sample", order).select("sample", "value").write.partitionBy("sample").text(p[name])
+    put(spots.withColumn("value", F.col("spot")), "i", "barcodes")
     g = F.col("id").cast("string")
-    spark.range(64).coalesce(1).select(F.concat_ws(
-        "\t", F.concat(F.lit("E"), g), F.concat(F.lit("g"), g), F.when(F.col("id") == 5, "Other").otherwise("Gene Expression")
-    ).alias("value")).write.text(p["features"])
-    c.join(spots, "spot").select(
-        F.concat_ws(" ", F.col("gene") + 1, F.col("i") + 1, F.col("cnt").cast("long")).alias("value")
-    ).write.text(p["mtx"])
-    return collapse_duplicates(
-        R.read_sparse_counts(spark, p["mtx"], p["features"], p["barcodes"], size_line=False, sample="s1")
-    ).select("sample", "spot", "gene", "cnt")
+    line = F.concat_ws("\t", F.concat(F.lit("E"), g), F.concat(F.lit("g"), g), F.when(F.col("id") == 5, "Other").otherwise("Gene Expression"))
+    put(c.select("sample").distinct().crossJoin(F.broadcast(spark.range(64))).withColumn("value", line), "id", "features")
+    c.join(spots, ["sample", "spot"]).select(
+        "sample", F.concat_ws(" ", F.col("gene") + 1, F.col("i") + 1, F.col("cnt").cast("long")).alias("value")
+    ).write.partitionBy("sample").text(p["mtx"])
+    counts = R.read_sparse_counts(spark, p["mtx"], p["features"], p["barcodes"], size_line=False, depth=1)
+    return collapse_duplicates(counts).select("sample", "spot", "gene", "cnt")
 
 
 @query("read_examples", "SELECT id AS example_id, CASE resolution WHEN 0 THEN 'vis' ELSE 'xen' END AS tech, domain_id::INT AS domain_id, t::INT AS n_tokens FROM examples WHERE resolution=0 AND domain_id IN (1,2,3)", ["examples"])
@@ -122,11 +123,10 @@ def _(spark, sf):
     return R.read_label_map(spark, p)
 
 
-@query("read_scale_factors", "SELECT l_quantity::DOUBLE AS spot_diameter_fullres, count(*) AS n FROM lineitem WHERE l_linenumber=1 AND l_orderkey%97=0 GROUP BY 1")
+@query("read_scale_factors", "SELECT l_suppkey::VARCHAR AS sample, max(l_quantity)::DOUBLE AS spot_diameter_fullres FROM lineitem GROUP BY 1")
 def _(spark, sf):
     p = _path(spark, "scales")
-    d = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_orderkey % 97 = 0").select(
-        F.col("l_quantity").cast("double").alias("spot_diameter_fullres"), F.lit(0.5).alias("tissue_hires_scalef")
-    )
-    d.coalesce(1).write.option("maxRecordsPerFile", 1).json(p)
-    return R.read_scale_factors(spark, p).groupBy("spot_diameter_fullres").agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample")).agg(F.max("l_quantity").cast("double").alias("spot_diameter_fullres"))
+    # one object a file, in its sample's folder
+    d.withColumn("tissue_hires_scalef", F.lit(0.5)).repartition("sample").write.partitionBy("sample").json(p)
+    return R.read_scale_factors(spark, p).select(F.col("sample").cast("string").alias("sample"), "spot_diameter_fullres")

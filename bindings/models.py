@@ -30,7 +30,21 @@ def _(spark, sf):
 
 @query("kmeans_sweep")
 def _(spark, sf):
-    return M.kmeans_sweep(M.pca(fx.tokens(spark, sf), 8), ks=(5, 10, 15), feat="pc")
+    return M.kmeans_sweep(M.pca(fx.tokens(spark, sf), 8), feat="pc")
+
+
+# whatever the clusters are, the variance within and between them adds up to the whole, for every K
+@query("kmeans_sweep_variance", """SELECT k::INT AS k, n, round(total,4) AS total FROM (SELECT count(*) AS n, (SELECT sum(v) FROM (SELECT var_pop(v)*count(*) AS v FROM token_dims GROUP BY dim)) AS total FROM tokens), (VALUES (5),(10),(15),(20),(25),(30)) t(k)""", ["token_dims", "tokens"])
+def _(spark, sf):
+    t = fx.tokens(spark, sf).select("vec_id", "feat")
+    labels = M.kmeans_sweep(t, keys=("vec_id",))
+    v = t.select("vec_id", F.posexplode("feat").alias("dim", "v")).withColumn("v", F.col("v").cast("double")).join(labels, "vec_id")
+    own = v.groupBy("k", "cluster", "dim").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count(F.lit(1))).alias("within"))
+    mean = own.groupBy("k", "dim").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("whole"))
+    d = own.join(mean, ["k", "dim"]).groupBy("k").agg(
+        F.sum(F.when(F.col("dim") == 0, F.col("n"))).alias("n"), F.sum(F.col("within") + F.col("n") * F.pow(F.col("m") - F.col("whole"), 2)).alias("total")
+    )
+    return d.select("k", "n", F.round("total", 4).alias("total"))
 
 
 @query("gmm")

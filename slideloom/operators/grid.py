@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F, types as T
 
 from ..functions.arrays import all_finite, center_weight, disk_offsets, finite_or_extreme
-from ..plans.scale import attach, halo_blocks
+from ..plans.scale import attach, halo_blocks, spread_cells
 
 
 def densify_grid(tokens, slides, dim, tile=16, feat="feat"):
-    """Every cell of the (height // tile) x (width // tile) grid; zeros where no token, outside tokens dropped."""
-    seq = lambda side: F.sequence(F.lit(0).cast("long"), F.floor(F.col(side) / tile) - 1)
-    grid = (
-        slides.where((F.col("height") >= tile) & (F.col("width") >= tile))
-        .select("sample", F.explode(seq("height")).alias("row"), seq("width").alias("_c"))
-        .select("sample", "row", F.explode("_c").alias("col"))
-    )
+    """Every cell of the (height // tile) x (width // tile) grid; zeros where no token, outside tokens dropped.
+
+    Cells are numbered and made in pieces, so one slide is made by many tasks.
+    """
+    across = F.floor(F.col("width") / tile)
+    sizes = slides.select("sample", across.alias("_w"), (F.floor(F.col("height") / tile) * across).alias("_n"))
+    cells = spread_cells(sizes.where("_w > 0").select("sample", "_w", F.col("_n").alias("_all")), "_all", "_i")
+    grid = cells.select("sample", F.floor(F.col("_i") / F.col("_w")).alias("row"), (F.col("_i") % F.col("_w")).alias("col"))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return grid.join(tokens.select("sample", "row", "col", feat), ["sample", "row", "col"], "left").withColumn(
         feat, F.coalesce(F.col(feat), zero)

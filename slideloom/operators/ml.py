@@ -58,23 +58,85 @@ def pca(df, k, feat="feat", out="pc"):
     return model.transform(d).withColumn(out, F.zip_with(shifted, numbers(sign), lambda a, b: a * b)).drop("_v", "_p")
 
 
-def kmeans_sweep(df, ks=(5, 10, 15, 20, 25, 30), seed=42, feat="feat", keys=("sample", "row", "col")):
-    """Cluster labels for several K on one materialised input: (keys, k, cluster).
+def _spread_centres(points, k, rng):
+    """k-means++ centres from a bounded sample."""
+    import numpy as np
+
+    out = [points[rng.integers(len(points))]]
+    far = ((points - out[0]) ** 2).sum(1)
+    while len(out) < k:
+        total = far.sum()
+        at = rng.choice(len(points), p=far / total) if total > 0 else rng.integers(len(points))
+        out.append(points[at])
+        far = np.minimum(far, ((points - out[-1]) ** 2).sum(1))
+    return np.array(out)
+
 
-    All fits share one cached copy, which is rebuilt from the table if executors go; one
-    scan labels for all K.
+def kmeans_sweep(df, ks=(5, 10, 15, 20, 25, 30), seed=42, feat="feat", keys=("sample", "row", "col"), iters=50, sample_rows=4096):
+    """Cluster labels for several K: (keys, k, cluster).
+
+    One Lloyd loop trains all K together: every round is one scan that assigns each row to its nearest centre of every K
+    (ties to the smaller number) and adds up sums and counts in the tasks; the driver gets sum(ks) rows. A K whose labels no longer
+    change stays as it is. Centres start by k-means++ on the ``sample_rows`` vectors of smallest hash; an
+    empty cluster keeps its centre. Rows without a finite vector get no label; without rows there are none.
     """
-    from pyspark import StorageLevel
-    from pyspark.ml.clustering import KMeans
+    import numpy as np
+    import pyarrow as pa
+
+    d = settle(df.select(*keys, doubles(feat).alias("_f")).where(F.col("_f").isNotNull() & (F.size("_f") > 0) & F.forall("_f", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))))
+    first = d.select("_f").orderBy(F.xxhash64("_f", F.lit(seed)), "_f").limit(sample_rows).collect()
+    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keys)
+    if not first:
+        return d.sparkSession.createDataFrame([], f"{kinds}, k int, cluster int")
+    points = np.array([r[0] for r in first], float)
+    rng, width = np.random.default_rng(seed), points.shape[1]
+    centres = {k: _spread_centres(points, k, rng) for k in ks}
+
+    def matrix(column):
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(-1, width)
+
+    def nearest(x, c):
+        # compared without the row's own length, which is the same for every centre
+        return ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
+
+    def sums_of(centres):
+        def run(batches):
+            sums = {k: np.zeros((len(c), width + 1)) for k, c in centres.items()}
+            for b in batches:
+                x = matrix(b.column(0))
+                for k, c in centres.items():
+                    at = nearest(x, c)
+                    sums[k][:, width] += np.bincount(at, minlength=k)
+                    for j in range(width):
+                        sums[k][:, j] += np.bincount(at, x[:, j], k)
+            for k, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, k, np.int32)), pa.array(np.arange(k, dtype=np.int32)), *map(pa.array, v.T.copy())], names=names)
+
+        names = ["k", "cluster", *[f"s{j}" for j in range(width + 1)]]
+        parts = d.select("_f").mapInArrow(run, "k int, cluster int, " + ", ".join(f"{n} double" for n in names[2:]))
+        return parts.groupBy("k", "cluster").agg(*[F.sum(n).alias(n) for n in names[2:]]).collect()
+
+    moving = dict(centres)
+    for _ in range(iters):
+        new = {k: c.copy() for k, c in moving.items()}
+        for r in sums_of(moving):
+            if r[-1] > 0:
+                new[r["k"]][r["cluster"]] = np.array(r[2:-1]) / r[-1]
+        centres.update(new)
+        moving = {k: c for k, c in new.items() if np.abs(c - moving[k]).max() > 1e-9 * (1 + np.abs(c).max())}
+        if not moving:
+            break
+    order = list(ks)
+
+    def label(batches):
+        for b in batches:
+            x = matrix(b.column(b.num_columns - 1))
+            n = len(x)
+            for k in order:
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.full(n, k, np.int32)), pa.array(nearest(x, centres[k]).astype(np.int32))], names=[*keys, "k", "cluster"])
 
-    d = settle(df.select(*keys, doubles(feat).alias("_f"))).withColumn("_v", array_to_vector("_f"))
-    cached = d.select("_v").persist(StorageLevel.MEMORY_AND_DISK)
-    models = [KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=f"_c{k}").fit(cached) for k in ks]
-    cached.unpersist()
-    for m in models:
-        d = m.transform(d)
-    labels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_c{k}").alias("cluster")) for k in ks])).alias("_l")
-    return d.select(*keys, labels).select(*keys, "_l.k", "_l.cluster")
+    return d.mapInArrow(label, f"{kinds}, k int, cluster int")
 
 
 def gmm(df, feats=("homogeneity", "energy", "entropy"), k=4, by="sample", keys=("row", "col"), iters=100, tol=1e-3, ridge=1e-6):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micron_per_pixel
-from ..plans.scale import attach, attach_row, reread
+from ..plans.scale import attach, attach_row, reread, spread_cells
 
 # fixed values: pixel size of one imaging platform (micron), and resolutions that cameras write by default
 UM_PER_PX = 0.2125
@@ -146,11 +146,23 @@ def crop_pixels(pixels, slides, extent, mode="edge", fill=0, values=("r", "g", "
     top, bottom, left, right = extent
     d = attach(pixels, slides.select("sample", F.col("height").alias("_h"), F.col("width").alias("_w")), "sample", "inner")
     if mode == "constant":
-        grid = slides.select("sample", "height", "width").select(
-            "sample", "height", "width", F.explode(F.sequence(F.lit(top), F.lit(bottom - 1))).alias("y")
-        ).withColumn("x", F.explode(F.sequence(F.lit(left), F.lit(right - 1)))).where(
-            (F.col("y") < 0) | (F.col("x") < 0) | (F.col("y") >= F.col("height")) | (F.col("x") >= F.col("width"))
-        ).select("sample", "y", "x", *[F.lit(fill).alias(v) for v in values])
+        # above and below over the whole width, left and right beside the raster: each strip holds only rows of the result
+        lit = lambda v: F.lit(v).cast("long")
+        h, w = F.col("height").cast("long"), F.col("width").cast("long")
+        beside = F.greatest(lit(top), lit(0)).alias("y0"), F.least(lit(bottom), h).alias("y1")
+        strips = F.array(
+            F.struct(lit(top).alias("y0"), F.least(lit(bottom), lit(0)).alias("y1"), lit(left).alias("x0"), lit(right).alias("x1")),
+            F.struct(F.greatest(lit(top), h).alias("y0"), lit(bottom).alias("y1"), lit(left).alias("x0"), lit(right).alias("x1")),
+            F.struct(*beside, lit(left).alias("x0"), F.least(lit(right), lit(0)).alias("x1")),
+            F.struct(*beside, F.greatest(lit(left), w).alias("x0"), lit(right).alias("x1")),
+        )
+        strips = slides.select("sample", F.explode(strips).alias("_s")).select("sample", "_s.*").where("y1 > y0 and x1 > x0")
+        wide = F.col("x1") - F.col("x0")
+        cells = spread_cells(strips, (F.col("y1") - F.col("y0")) * wide, "_i")
+        grid = cells.select(
+            "sample", (F.col("y0") + F.floor(F.col("_i") / wide)).alias("y"), (F.col("x0") + F.col("_i") % wide).alias("x"),
+            *[F.lit(fill).alias(v) for v in values],
+        )
         inside = d.where(F.col("y").between(top, bottom - 1) & F.col("x").between(left, right - 1))
         out = inside.select("sample", "y", "x", *values).unionByName(grid)
     else:

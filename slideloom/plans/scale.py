@@ -9,6 +9,7 @@
 * ``exact_quantiles`` exact quantiles without a whole group in one buffer
 * ``global_index``    dense 0-based position in a total order
 * ``rank_within``     rank inside each key, however large one key is
+* ``spread_cells``    a numbered run of rows for each row, made by many tasks
 * ``halo_blocks``     bounded square blocks of a grid plus a border
 """
 
@@ -312,6 +313,21 @@ def rank_within(df, keys, order, name="pos", hot_rows=2_000_000):
     return ranked(df.join(hot, keys, "left_anti")).unionByName(big.select(*df.columns, name))
 
 
+def spread_cells(df, count, name="cell", piece=250_000):
+    """Every row of ``df`` repeated with ``name`` = 0 .. ``count`` - 1 (a column).
+
+    Runs are cut into pieces of at most ``piece`` rows before any row is made, and pieces are dealt over tasks
+    by hash, as many partitions as pieces: so a row with a large count is made by many tasks.
+    """
+    cut = settle(df.withColumn("_n", F.coalesce(F.col(count) if isinstance(count, str) else count, F.lit(0)).cast("long")).where("_n > 0")
+                 .withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / piece)))))
+    pieces = cut.count()
+    if pieces > 1:
+        cut = cut.repartition(min(pieces, 100_000), F.xxhash64(*[c for c in cut.columns if c != "_n"]))
+    first = F.col("_p") * piece
+    return cut.withColumn(name, F.explode(F.sequence(first, F.least(first + piece, F.col("_n")) - 1))).drop("_n", "_p")
+
+
 def halo_blocks(df, row, col, block, halo):
     """Send each grid row to its block and to blocks whose border of ``halo`` holds it.
 

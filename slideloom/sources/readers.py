@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..plans.scale import attach, attach_row, global_index
+from ..plans.scale import attach, settle
 
 # fixed values: column names of the positions file without a header
 POSITION_SCHEMA = "barcode string, in_tissue int, array_row int, array_col int, pxl_row int, pxl_col int"
@@ -32,42 +32,62 @@ def read_positions(spark, path, has_header):
 
 
 def read_scale_factors(spark, path):
-    """Spot diameter per sample from the scale-factor JSON."""
+    """Spot diameter per sample from the scale-factor JSON, one file a sample; folders named sample=… give a column sample."""
     return spark.read.schema("spot_diameter_fullres double").json(path, multiLine=True)
 
 
-def read_sparse_counts(spark, mtx, features, barcodes, feature_type="Gene Expression", size_line=True, sample=None):
-    """1-based triplets plus two dictionaries to long counts ([sample,] spot, gene, cnt) of one sample, named by ``sample``.
+def numbered_lines(spark, path, sample=None, depth=None):
+    """sample, line (from 1) and value of the text files of many samples, however they are split.
 
-    Only ``feature_type`` rows stay; the id stands in for the symbol when every symbol
-    is empty. Dictionary positions are line numbers; each dictionary is one file.
-    ``size_line`` says whether the triplets start with the matrix size.
+    A sample's files count on in the order of their names. Lines are counted by file split, splits carry offsets: no
+    task sees a whole dictionary. See ``read_sparse_counts`` for ``sample`` and ``depth``.
+    """
+    t = settle(spark.read.text(path).select(
+        "value", _sample_of(sample, depth).alias("sample"), F.col("_metadata.file_path").alias("_f"),
+        F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"),
+    ))
+    # one row a split
+    before = Window.partitionBy("sample").orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    splits = t.groupBy("sample", "_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    line = (F.col("_before") + F.col("_m") - F.col("_first") + 1).alias("line")
+    return attach(t, splits, ["sample", "_f", "_s"], "inner").select("sample", line, "value")
+
+
+def _sample_of(sample, depth):
+    """A constant, or the name of the folder ``depth`` levels above the file (what follows ``=`` in it)."""
+    if depth is None:
+        return F.lit(sample if sample is not None else "")
+    return F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - depth), "([^=]*)$", 1)
+
+
+def read_sparse_counts(spark, mtx, features, barcodes, feature_type="Gene Expression", size_line=True, sample=None, depth=None):
+    """1-based triplets plus two dictionaries to long counts ([sample,] spot, gene, cnt).
+
+    Reads all samples at once: with ``depth`` the paths (folders, lists or globs) hold files of many samples, each
+    named by the folder ``depth`` levels above its files; else all files are of one sample, named by ``sample``. Matrices and
+    dictionaries may be several files each, which count on in name order. Only ``feature_type`` rows stay; the id stands in for
+    the symbol when every symbol of the sample is empty. ``size_line`` says whether each sample's triplets start with the matrix size.
     """
     def numbered(path, cols):
-        t = spark.read.option("wholetext", False).text(path).select(
-            F.split("value", "\t").alias("_v"), F.monotonically_increasing_id().alias("_m")
-        )
-        return global_index(t, ["_m"], "_i").select((F.col("_i") + 1).alias("_i"), *[F.get(F.col("_v"), F.lit(i)).alias(c) for i, c in enumerate(cols)])
-
-    feats = numbered(features, ["id", "symbol", "type"])
-    some = feats.where(F.col("type").isNull() | (F.col("type") == feature_type)).agg(
-        F.max(F.coalesce(F.length("symbol"), F.lit(0))).alias("_len")
-    )
-    feats = attach_row(feats, some).where(
-        F.col("type").isNull() | (F.col("type") == feature_type)
-    ).select(F.col("_i").alias("_g"), F.when(F.col("_len") > 0, F.col("symbol")).otherwise(F.col("id")).alias("gene"))
+        v = F.split("value", "\t")
+        return numbered_lines(spark, path, sample, depth).select("sample", F.col("line").alias("_i"), *[F.get(v, F.lit(i)).alias(c) for i, c in enumerate(cols)])
+
+    feats = numbered(features, ["id", "symbol", "type"]).where(F.col("type").isNull() | (F.col("type") == feature_type))
+    named = feats.groupBy("sample").agg(F.max(F.coalesce(F.length("symbol"), F.lit(0))).alias("_len"))
+    gene = F.when(F.col("_len") > 0, F.col("symbol")).otherwise(F.col("id")).alias("gene")
+    feats = attach(feats, named, "sample", "inner").select("sample", F.col("_i").alias("_g"), gene)
     bars = numbered(barcodes, ["spot"]).withColumnRenamed("_i", "_b")
-    lines = spark.read.text(mtx).where(~F.col("value").startswith("%"))
     v = F.split(F.trim("value"), r"\s+")
-    trip = lines.select(
-        F.get(v, F.lit(0)).cast("long").alias("_g"), F.get(v, F.lit(1)).cast("long").alias("_b"),
-        F.get(v, F.lit(2)).cast("double").alias("cnt"), F.monotonically_increasing_id().alias("_m"),
+    # the scan gives the same place to a line each time it is read
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("m"))
+    trip = spark.read.text(mtx).select("value", _sample_of(sample, depth).alias("sample"), place.alias("_at")).where(~F.col("value").startswith("%")).select(
+        "sample", F.get(v, F.lit(0)).cast("long").alias("_g"), F.get(v, F.lit(1)).cast("long").alias("_b"), F.get(v, F.lit(2)).cast("double").alias("cnt"), "_at",
     )
     if size_line:
-        trip = attach(trip, trip.agg(F.min("_m").alias("_m")), "_m", "left_anti")
-    return attach(attach(trip, feats, "_g", "inner"), bars, "_b", "inner").select(
-        *([F.lit(sample).alias("sample")] if sample is not None else []), "spot", "gene", "cnt"
-    )
+        trip = attach(trip, trip.groupBy("sample").agg(F.min("_at").alias("_first")), "sample", "inner").where("_at != _first")
+    out = attach(attach(trip, feats, ["sample", "_g"], "inner"), bars, ["sample", "_b"], "inner")
+    return out.select(*(["sample"] if depth is not None or sample is not None else []), "spot", "gene", "cnt")
 
 
 def read_cells(spark, path):

@@ -63,6 +63,31 @@ def test_kmeans_finds_blobs(spark):
     assert (near == np.searchsorted(sorted(set(lab)), lab)).mean() > 0.98
 
 
+def test_kmeans_stops_where_numpy_would(spark):
+    """Every K ends at a fixed point of Lloyd's step, with an inertia like that of numpy's own loop."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 5)) + 4 * rng.integers(0, 3, (600, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [float("nan")] * 5)], "id long, feat array<double>").repartition(5)
+    ks = (1, 3, 7, 12)
+    rows = M.kmeans_sweep(df, ks=ks, keys=("id",), iters=200).collect()
+    assert len(rows) == len(ks) * len(x)
+    for k in ks:
+        lab = np.array([r.cluster for r in sorted((r for r in rows if r.k == k), key=lambda r: r.id)])
+        means = np.stack([x[lab == c].mean(0) for c in range(k)])
+        dist = ((x[:, None] - means) ** 2).sum(-1)
+        assert (dist.argmin(1) == lab).all()
+        best = np.inf
+        for seed in range(3):
+            own = np.random.default_rng(seed)
+            c = x[own.choice(len(x), k, False)]
+            for _ in range(100):
+                at = ((x[:, None] - c) ** 2).sum(-1).argmin(1)
+                c = np.stack([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(k)])
+            best = min(best, ((x - c[at]) ** 2).sum())
+        assert dist.min(1).sum() <= 1.15 * best
+    assert M.kmeans_sweep(df.limit(0), keys=("id",)).count() == 0
+
+
 def test_mixture_finds_blobs_of_each_sample(spark):
     truth, x = blobs()
     # the first feature orders the blobs, as quantile starts need

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slideloom.operators import cells as C, coreset as K, ml as M
-from slideloom.plans.scale import attach, exact_quantiles, flag_smallest, global_index, hash32, rank_within, salted_pair, take_smallest
+from slideloom.plans.scale import attach, exact_quantiles, flag_smallest, global_index, hash32, rank_within, salted_pair, spread_cells, take_smallest
 
 
 def test_hot_bucket_pairs(spark):
@@ -148,3 +148,30 @@ def test_weighted_resample_balances_domains(spark):
 def test_resample_single_domain_is_uniform(spark):
     df = spark.range(50).select("id", F.lit(0).alias("domain_id"))
     assert K.weighted_resample(df, 500).count() == 500
+
+
+def test_cells_of_one_row_are_made_by_many_tasks(spark):
+    df = spark.createDataFrame([("a", 1000), ("b", 0), ("c", 7), ("d", None), ("e", 50)], "name string, n long")
+    out = spread_cells(df, "n", piece=50)
+    assert out.columns == ["name", "n", "cell"]
+    got = out.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.countDistinct("cell").alias("d")).collect()
+    assert {(r.name, r.c, r.lo, r.hi, r.d) for r in got} == {("a", 1000, 0, 999, 1000), ("c", 7, 0, 6, 7), ("e", 50, 0, 49, 50)}
+    per_task = [r.c for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("c")).collect()]
+    assert len(per_task) > 8 and max(per_task) < 400
+    assert spread_cells(df.limit(0), "n").count() == 0
+
+
+def test_constant_crop_is_padding_and_cut(spark):
+    """Against numpy, for extents that overlap the raster on any side or miss it."""
+    from slideloom.operators.slides import crop_pixels
+
+    raster = np.arange(20).reshape(4, 5)
+    pixels = spark.createDataFrame([("s", y, x, int(raster[y, x])) for y in range(4) for x in range(5)], "sample string, y long, x long, v int")
+    slides = spark.createDataFrame([("s", 4, 5)], "sample string, height long, width long")
+    big = np.full((44, 45), 9)
+    big[20:24, 20:25] = raster
+    for top, bottom, left, right in [(-3, 8, -2, 9), (1, 3, 1, 4), (-5, -1, -5, 9), (6, 9, 0, 5), (2, 7, -6, -2), (0, 4, 7, 9), (-2, 2, 3, 8)]:
+        out = crop_pixels(pixels, slides, (top, bottom, left, right), "constant", 9, ("v",)).collect()
+        got = {(r.y, r.x): r.v for r in out}
+        assert len(out) == len(got) == (bottom - top) * (right - left)
+        assert all(got[y, x] == big[20 + top + y, 20 + left + x] for y, x in got)
