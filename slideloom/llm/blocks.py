@@ -35,7 +35,7 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
     A block is the text between the starts and ends of elements that don't stand inside a
     line. Missing end tags are supplied; comments, scripts, styles and the like are no text.
     """
-    out, stack, parts, linked, pos = [], [], [], 0, 0
+    out, stack, parts, linked, anchors, pos = [], [], [], 0, 0, 0
 
     def flush():
         nonlocal linked
@@ -51,9 +51,14 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
         nonlocal linked
         text = html.unescape(text) if "&" in text else text
         parts.append(text)
-        if any(t == "a" for t, _ in stack[-4:]):
+        if anchors:
             linked += len(text.strip())
 
+    def close(k):
+        nonlocal anchors
+        anchors -= sum(t == "a" for t, _ in stack[k:])
+        del stack[k:]
+
     while True:
         m = TAG.search(page, pos)
         if m is None:
@@ -72,7 +77,7 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
         if ending:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if name == "br":
@@ -88,12 +93,13 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
             ends = ENDS_ITSELF.get(name, ()) + ("p",)
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in FENCES and stack[k][0] not in ends:
                     break
         names = " ".join(a or b or c for a, b, c in NAMES.findall(attrs)).lower() if "=" in attrs else ""
         stack.append((name, names))
+        anchors += name == "a"
     flush()
     return out
 
@@ -101,6 +107,11 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
 PATH_SIZE, WORD_SIZE, EXTRA = 128, 32, 6
 
 
+def path_tokens(path: tuple) -> set[str]:
+    """Each tag and each word of a name anywhere on the path, once: the number of wrappers around a block doesn't count."""
+    return {"t:" + tag for tag, _ in path} | {"n:" + n for _, names in path for n in re.split(r"[^a-z]+", names) if n}
+
+
 @lru_cache(maxsize=20_000)
 def path_vector(path: tuple) -> np.ndarray:
     v = np.zeros(PATH_SIZE, np.float32)
@@ -109,11 +120,8 @@ def path_vector(path: tuple) -> np.ndarray:
         h = zlib.crc32(token.encode())
         v[h % PATH_SIZE] += by if h >> 16 & 1 else -by
 
-    for tag, names in path[-8:]:
-        put("t:" + tag)
-        for n in re.split(r"[^a-z]+", names):
-            if n:
-                put("n:" + n, 1.5)
+    for token in sorted(path_tokens(path)):
+        put(token, 1.0 if token[0] == "t" else 1.5)
     put("l:" + path[-1][0], 1.5)
     if len(path) > 1:
         put(f"p:{path[-2][0]}>{path[-1][0]}")
@@ -126,7 +134,7 @@ def block_vector(path: tuple, text: str, linked: int) -> np.ndarray:
     bins = np.bincount(np.fromiter((zlib.crc32(w) % WORD_SIZE for w in words), np.int64, len(words)), minlength=WORD_SIZE)
     n = len(text)
     ends = sum(map(text.count, ".!?,"))
-    extra = (np.log1p(n) / 5, linked / max(n, 1), ends / max(len(words), 1), np.log1p(len(words)) / 4, text[-1] in ".!?", len(path) / 8)
+    extra = (np.log1p(n) / 5, linked / max(n, 1), ends / max(len(words), 1), np.log1p(len(words)) / 4, text[-1] in ".!?", len({t for t, _ in path}) / 8)
     return np.concatenate([path_vector(path), (bins / np.sqrt(1 + len(words))).astype(np.float32), np.array(extra, np.float32)])
 
 
@@ -285,6 +293,15 @@ def example(rng: Random) -> str:
     comment = lambda: f"<div class='comment'><b>{word()}</b><p>{text(5, 60)}</p></div>"
     comments = lambda: f"<{pick(['section', 'div'])}{name('comments', 'comment-list', 'replies', 'discussion', 'responses')}><h3>{text(1, 3)}</h3>" + "".join(comment() for _ in range(rng.randint(1, 6))) + pick(["</section>", "</div>"])
 
+    def wrapped(page, most=16):
+        """``page`` inside up to ``most`` elements that mean nothing, mostly none."""
+        count = rng.randint(1, most) if rng.random() < 0.35 else 0
+        plain = rng.random() < 0.5
+        for _ in range(count):
+            tag = "div" if plain else pick(["div", "div", "section"])
+            page = f"<{tag}{'' if plain else pick(['', name('wrapper', 'container', 'inner', 'outer', 'row', 'col', 'layout', 'grid', 'block', 'region', word())])}>{page}</{tag}>"
+        return page
+
     def main():
         out = []
         if rng.random() < 0.9:
@@ -314,12 +331,13 @@ def example(rng: Random) -> str:
     start, end = pick([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>")] + [
         (f"<div{name('content', 'post', 'entry', 'article', 'story', 'main', 'text', 'body')}>", "</div>"), (f"<section{name('content', 'article', 'post')}>", "</section>"), ("<div>", "</div>"),
     ])
-    before = [f() for f in (header, nav, ad, notice, side, box, form) if rng.random() < 0.35] or [nav()]
+    before = [wrapped(f()) for f in (header, nav, ad, notice, side, box, form) if rng.random() < 0.35] or [nav()]
     rng.shuffle(before)
-    after = [f() for f in (comments, footer, ad, side, box, form, notice, nav) if rng.random() < 0.35] or [footer()]
+    after = [wrapped(f()) for f in (comments, footer, ad, side, box, form, notice, nav) if rng.random() < 0.35] or [footer()]
     rng.shuffle(after)
-    inner = comments() if rng.random() < 0.1 else ""
-    return f"<!DOCTYPE html><html><head><title>{text(2, 8)}</title><style>p{{margin:0}}</style></head><body>{''.join(before)}{start}{main()}{inner}{end}{''.join(after)}</body></html>"
+    inner = wrapped(comments()) if rng.random() < 0.1 else ""
+    body = "".join(before) + wrapped(f"{start}{wrapped(main())}{inner}{end}") + "".join(after)
+    return f"<!DOCTYPE html><html><head><title>{text(2, 8)}</title><style>p{{margin:0}}</style></head><body>{wrapped(body)}</body></html>"
 
 
 def featured(blocks) -> np.ndarray:

@@ -1,9 +1,11 @@
 """Block labeller: scanning, gradients, held-out accuracy, and pages of the table."""
 
+import math
+
 import numpy as np
 import pytest
 
-from slideloom.llm.blocks import Labeller, examples, extract, leaves, padded, trained
+from slideloom.llm.blocks import Labeller, examples, extract, featured, leaves, padded, trained
 from slideloom.llm.queries import QUERIES
 
 
@@ -72,6 +74,57 @@ def test_pages_of_the_table(spark):
     assert right >= 0.99 * len(html)
 
 
+@pytest.mark.parametrize("wrappers", range(0, 41, 2))
+def test_wrappers_decide_nothing(wrappers):
+    m = trained()
+
+    def wrap(page, name=""):
+        return f"<div{name}>" * wrappers + page + "</div>" * wrappers
+
+    words = "The river rose over night and the bridge was closed to all traffic until the morning. "
+    article = "<h1>Flood closes the bridge</h1>" + "".join(f"<p>{words * 2}Part {i} ends here.</p>" for i in range(5))
+    nav = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li><li><a href='/s'>Sport</a></li></ul></nav>"
+    comments = f"<section class='comments'><h3>Comments</h3><div class='comment'><b>ann</b><p>{words}</p></div><div class='comment'><b>bob</b><p>{words}</p></div></section>"
+    footer = "<footer>&copy; the paper, all rights reserved</footer>"
+    for page in (
+        f"<body>{wrap(nav)}{wrap(f'<article>{article}</article>')}{wrap(comments)}{wrap(footer)}</body>",
+        f"<body>{nav}<article>{wrap(article)}</article>{comments}{footer}</body>",
+        f"<body>{wrap(nav + f'<article>{article}</article>' + comments + footer)}</body>",
+        f"<body>{nav}<article>{article}</article><section class='comments'>{wrap(comments)}</section><footer>{wrap('<p>All rights reserved by the paper.</p>')}</footer></body>",
+    ):
+        blocks = leaves(page)
+        got = [t for (_, t, _), yes in zip(blocks, m.label([featured(blocks)])[0]) if yes]
+        assert got == [t for p, t, _ in blocks if any(tag == "article" for tag, _ in p)]
+
+
+def test_label_equals_a_plain_forward_pass():
+    m = trained()
+    w = {k: v.astype(float).tolist() for k, v in m.weights.items()}
+    hidden = m.hidden
+    squash = lambda v: 1 / (1 + math.exp(-max(-30.0, min(30.0, v))))
+
+    def states(rows, d):
+        h, c, out = [0.0] * hidden, [0.0] * hidden, []
+        for row in rows:
+            g = [w["b" + d][k] + sum(v * w["x" + d][j][k] for j, v in enumerate(row) if v) + sum(h[j] * w["h" + d][j][k] for j in range(hidden)) for k in range(4 * hidden)]
+            c = [squash(g[hidden + k]) * c[k] + squash(g[k]) * math.tanh(g[3 * hidden + k]) for k in range(hidden)]
+            h = [squash(g[2 * hidden + k]) * math.tanh(c[k]) for k in range(hidden)]
+            out.append(h)
+        return out
+
+    pages = [x for x, _ in examples(6, 4321)]
+    for x, got in zip(pages, m.label(pages)):
+        rows = x.astype(float).tolist()
+        both = zip(states(rows, "f"), states(rows[::-1], "b")[::-1])
+        odds = [w["c"][0] + sum(a * b for a, b in zip(f + b, w["o"])) for f, b in both]
+        assert all((o > 0) == g for o, g in zip(odds, got) if abs(o) > 1e-3)
+
+
+def test_links_by_any_open_anchor():
+    got = leaves("<p><a href=x><b><i><u><s><em>deep link</em></s></u></i></b></a> rest</p>")
+    assert got[0][1:] == ("deep link rest", len("deep link"))
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     long = "<body><nav><ul><li><a href='/'>home</a></ul></nav><article>" + "".join(f"<p>paragraph {i} of some length, with words.</p>" for i in range(3000)) + "</article><footer>&copy; x</footer></body>"
