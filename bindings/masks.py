@@ -74,6 +74,14 @@ def _(spark, sf):
     return G.remove_small_components(fx.tokens(spark, sf).where("label < 3"), 6).select("row", "col")
 
 
+# blocks smaller than the groups: pieces are joined over block borders
+@query("small_components_by_blocks", """WITH RECURSIVE m AS (SELECT * FROM tokens WHERE label<4), edge AS (SELECT a.vec_id AS u, b.vec_id AS v FROM m a JOIN m b ON abs(a.row-b.row)<=1 AND abs(a.col-b.col)<=1),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM m UNION SELECT r.u, e.v FROM reach r JOIN edge e ON e.u=r.v)
+SELECT row, col FROM m WHERE vec_id IN (SELECT u FROM reach GROUP BY 1 HAVING count(*)>=12)""", ["tokens"])
+def _(spark, sf):
+    return G.remove_small_components(fx.tokens(spark, sf).where("label < 4"), 12, block=8).select("row", "col")
+
+
 def _mirror(c, n):
     return f"CASE WHEN {c}<0 THEN -1-{c} WHEN {c}>={n} THEN 2*{n}-1-{c} ELSE {c} END"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F, types as T
 
 from ..functions.arrays import all_finite, center_weight, disk_offsets, finite_or_extreme
-from ..plans.scale import attach, halo_blocks, spread_cells
+from ..plans.scale import attach, connected, halo_blocks, settle, spread_cells
 
 
 def densify_grid(tokens, slides, dim, tile=16, feat="feat"):
@@ -274,20 +274,19 @@ def nan_to_num(df, col):
     return df.withColumn(col, finite_or_extreme(F.col(col)))
 
 
-def remove_small_components(mask, min_size=10, block=256):
-    """Drop 8-connected groups of fewer than ``min_size`` cells; ``mask`` lists true cells.
+def _prune_by_border(cells, min_size, block):
+    """``remove_small_components`` for small ``min_size``: one shuffle, no iteration over the table.
 
-    A smaller group lies within ``min_size`` cells of each of its members, so a block
-    plus that border decides its own cells exactly: one shuffle, no iteration over
-    the table. Inside a block labels spread ``min_size`` times; a label still next to
-    a different one belongs to a larger group.
+    A smaller group lies within ``min_size`` cells of each of its members, so a block plus that border decides its own
+    cells exactly. Inside a block labels spread ``min_size`` times; a label still next to a different one belongs to a
+    larger group.
     """
-    block = max(block, 4 * min_size)
-    d = halo_blocks(mask.select("sample", "row", "col"), "row", "col", block, min_size)
+    d = halo_blocks(cells, "row", "col", block, min_size)
 
     def prune(pdf):
         import numpy as np
 
+        pdf = pdf.drop_duplicates(["row", "col"])
         side = block + 2 * min_size
         r0 = int(pdf["_br"].iloc[0]) * block
         c0 = int(pdf["_bc"].iloc[0]) * block
@@ -312,10 +311,64 @@ def remove_small_components(mask, min_size=10, block=256):
         core = (r >= min_size) & (r < min_size + block) & (c >= min_size) & (c < min_size + block)
         return pdf.loc[keep & core, ["sample", "row", "col"]]
 
+    kind = cells.schema["sample"].dataType.simpleString()
+    return d.groupBy("sample", "_br", "_bc").applyInPandas(prune, f"sample {kind}, row long, col long")
+
+
+def remove_small_components(mask, min_size=10, block=256):
+    """Drop 8-connected groups of fewer than ``min_size`` cells; ``mask`` lists true cells.
+
+    Up to a quarter of ``block``, a border of ``min_size`` cells around each block decides everything in one pass. Beyond,
+    blocks of ``block`` x ``block`` cells are labelled alone, and pieces of groups that meet at a block border
+    are joined as a graph of pieces: edges between two pieces that are large enough by themselves decide nothing and are
+    left out. So a task holds at most (1.5 * ``block``) ** 2 cells whatever ``min_size``. Repeated cells count and come
+    out once; cells without a row or column are dropped.
+    """
+    d = mask.select("sample", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).dropna(subset=["row", "col"])
+    if 4 * min_size <= block:
+        return _prune_by_border(d, min_size, block)
+    d = d.withColumns({"_br": F.floor(F.col("row") / block), "_bc": F.floor(F.col("col") / block)})
+
+    def label(pdf):
+        import numpy as np
+
+        pdf = pdf.drop_duplicates(["row", "col"]).sort_values(["row", "col"])
+        r = pdf["row"].to_numpy() - int(pdf["_br"].iloc[0]) * block
+        c = pdf["col"].to_numpy() - int(pdf["_bc"].iloc[0]) * block
+        at = np.full((block + 1, block + 2), -1)
+        at[r, c + 1] = np.arange(len(r))
+        near = [at[r + a, c + 1 + b] for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]
+        u = np.concatenate([np.nonzero(n >= 0)[0] for n in near])
+        v = np.concatenate([n[n >= 0] for n in near])
+        root = np.arange(len(r))
+        while (apart := root[u] != root[v]).any():
+            x, y = root[u[apart]], root[v[apart]]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+        size = np.bincount(root, minlength=len(r))[root]
+        # a piece is named by its first cell
+        return pdf[["sample", "row", "col"]].assign(p_row=pdf["row"].to_numpy()[root], p_col=pdf["col"].to_numpy()[root], size=size)
+
     kind = mask.schema["sample"].dataType.simpleString()
-    return d.withColumns({"row": F.col("row").cast("long"), "col": F.col("col").cast("long")}).groupBy(
-        "sample", "_br", "_bc"
-    ).applyInPandas(prune, f"sample {kind}, row long, col long")
+    cells = settle(d.groupBy("sample", "_br", "_bc").applyInPandas(
+        label, f"sample {kind}, row long, col long, p_row long, p_col long, size long"
+    ).select("sample", "row", "col", F.struct("sample", "p_row", "p_col").alias("piece"), "size"))
+    rest = cells.where(F.col("size") < min_size)
+    # cells next to a block border, and their neighbours beyond it
+    inner = lambda c: F.pmod(F.col(c), F.lit(block)).between(1, block - 2)
+    rim = settle(cells.where(~(inner("row") & inner("col"))))
+    steps = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    ask = rim.where(F.col("size") < min_size).select("sample", "row", "col", F.col("piece").alias("a"), F.explode(steps).alias("s"))
+    ask = ask.select("sample", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), "a")
+    edges = settle(ask.join(rim.withColumnRenamed("piece", "b"), ["sample", "row", "col"]).where("a != b").select("a", "b").distinct())
+    # sums over whole groups of pieces; each piece has one size
+    sizes = rim.groupBy(F.col("piece").alias("node")).agg(F.first("size").alias("size"))
+    grouped = settle(connected(edges).join(sizes, "node"))
+    large = grouped.groupBy("root").agg(F.sum("size").alias("n")).where(F.col("n") >= min_size)
+    saved = settle(grouped.join(large, "root").select(F.col("node").alias("piece")))
+    kept = cells.where(F.col("size") >= min_size).unionByName(rest.join(saved, "piece", "left_semi").select(*cells.columns))
+    return kept.select("sample", "row", "col")
 
 
 def patch_expand_join(patches, tile=16, cls="cls", local="local"):

@@ -11,6 +11,7 @@
 * ``rank_within``     rank inside each key, however large one key is
 * ``spread_cells``    a numbered run of rows for each row, made by many tasks
 * ``halo_blocks``     bounded square blocks of a grid plus a border
+* ``connected``       components of a graph by labels and shortcuts
 """
 
 from __future__ import annotations
@@ -337,3 +338,21 @@ def halo_blocks(df, row, col, block, halo):
         return F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block))
 
     return df.withColumn("_br", F.explode(span(row))).withColumn("_bc", F.explode(span(col)))
+
+
+def connected(edges):
+    """node and root (the smallest node reachable) of every node of ``edges`` (a, b); nodes may be of any ordered type.
+
+    Every node takes the smallest label next to it and the label of its own label, until nothing changes; shortcuts make long
+    paths cost a logarithm of rounds. Each round is a written table; only one yes or no reaches the driver.
+    """
+    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), "root")
+        jump = labels.select("node", F.col("root").alias("_r")).join(labels.select(F.col("node").alias("_r"), "root"), "_r")
+        least = seen.unionByName(jump.select("node", "root")).groupBy("node").agg(F.min("root").alias("_low"))
+        step = settle(labels.join(least, "node").select("node", F.least("root", "_low").alias("root"), (F.col("_low") < F.col("root")).alias("_moved")))
+        labels = step.drop("_moved")
+        if step.where("_moved").isEmpty():
+            return labels

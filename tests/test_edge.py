@@ -97,10 +97,7 @@ def test_components_sizes_and_diagonals(spark):
     assert rows(got, "row", "col") == sorted(diagonal + ten)
 
 
-def test_components_match_flood_fill(spark):
-    rng = np.random.default_rng(5)
-    on = rng.random((60, 60)) < 0.3
-    cells = {tuple(p) for p in np.argwhere(on).tolist()}
+def flood(cells, least):
     left, want = set(cells), set()
     while left:
         todo = [left.pop()]
@@ -112,10 +109,57 @@ def test_components_match_flood_fill(spark):
                     left.discard(n)
                     comp.add(n)
                     todo.append(n)
-        if len(comp) >= 6:
+        if len(comp) >= least:
             want |= comp
+    return want
+
+
+def test_components_match_flood_fill(spark):
+    rng = np.random.default_rng(5)
+    on = rng.random((60, 60)) < 0.3
+    cells = {tuple(p) for p in np.argwhere(on).tolist()}
     got = G.remove_small_components(_mask(spark, sorted(cells)), 6, block=24)
-    assert rows(got, "row", "col") == sorted(want)
+    assert rows(got, "row", "col") == sorted(flood(cells, 6))
+
+
+@pytest.mark.parametrize("least,block", [(40, 16), (40, 160), (5000, 16)])
+def test_components_larger_than_blocks(spark, least, block):
+    # 0.38 is close to where 8-connected groups span the grid; a snake of 6,100 cells and one of 4,900 cross many blocks
+    rng = np.random.default_rng(8)
+    cells = {(r - 50, c - 50) for r, c in np.argwhere(rng.random((160, 160)) < 0.38).tolist()}
+
+    def snake(top, length):
+        path, r, c, way = [], top, 0, 1
+        while len(path) < length:
+            path.append((r, c))
+            if 0 <= c + way < 97:
+                c += way
+            else:
+                path.append((r + 1, c))
+                r, way = r + 2, -way
+        return set(path[:length])
+
+    cells |= snake(1000, 6100) | snake(2000, 4900)
+    other = {(r, c) for r, c in cells if r % 3}
+    both = [("s", r, c) for r, c in cells] + [("t", r, c) for r, c in other] + [("t", 1000, 5), ("t", None, 5), ("t", 5, None)]
+    got = G.remove_small_components(spark.createDataFrame(both, "sample string, row int, col int"), least, block=block)
+    want = [("s", *p) for p in flood(cells, least)] + [("t", *p) for p in flood(other, least)]
+    assert rows(got, "sample", "row", "col") == sorted(want)
+    assert G.remove_small_components(_mask(spark, [(0, 0)]).limit(0), least).count() == 0
+
+
+def test_connected_against_union_find(spark):
+    from slideloom.plans.scale import connected
+
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(300)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (260, 2))] + [(7000, 7000), (9, 9)]
+    top = {n: n for e in edges for n in e}
+    find = lambda n: n if top[n] == n else find(top[n])
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    assert rows(connected(spark.createDataFrame(edges, "a long, b long")), "node", "root") == sorted((n, find(n)) for n in top)
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_texture_by_hand(spark):
