@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.arrays import one_hot
+from ..plans.quadtree import gap2, grow, leaf_pairs, plant
 from ..plans.scale import (
     attach, exact_quantiles, flag_smallest, global_index, hash32, rank_within, reread, salted_pair, settle, take_smallest,
 )
@@ -81,58 +82,36 @@ def radius_join(cells, bins, r, key="sample", cell="cell_id", bin_="bin_id", hot
     )
 
 
-def nearest_neighbour(points, key="sample", id_col="id", start=None, occupancy=64, broadcast_rows=20_000):
+def nearest_neighbour(points, key="sample", id_col="id", occupancy=64):
     """Distance from each point to the nearest other point (0 for co-located points, NULL if alone).
 
-    Co-located points are merged first. The bucket side starts small enough that no
-    bucket holds more than ``occupancy`` sites, then grows fourfold. Only sites without
-    a certified neighbour go on to the next side, so a coarse bucket meets few of them
-    and the number of compared pairs stays linear.
+    Co-located points are merged first. The sites of a sample fall into the leaves of its own quadtree, of at most
+    ``occupancy`` sites. Sites are compared inside their leaf, which bounds how far others may be, and then with the
+    leaves within that bound. A task's group is one leaf's sites against those that reach it, however uneven the density.
+    Points without a sample or without finite coordinates are left out.
     """
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     points = reread(points.select(key, id_col, "x", "y"))
-    sites = settle(points.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("_n")))
-    ext = sites.groupBy(key).agg(
-        (F.max("x") - F.min("x")).cast("double").alias("w"), (F.max("y") - F.min("y")).cast("double").alias("h"),
-        F.count(F.lit(1)).alias("n"),
-    ).agg(
-        F.max(F.greatest("w", "h")).alias("side"),
-        F.min(F.when(F.col("w") * F.col("h") > 0, F.sqrt(F.col("w") * F.col("h") / F.col("n")))).alias("step"),
-    ).first()
-    side = float(ext["side"] or 0.0)
-    r = float(start or ext["step"] or side or 1.0)
-    while side and r > side * 4.0 ** -20:
-        # five candidate sides in one pass
-        sides = [r / 4.0 ** i for i in range(5)]
-        at = F.posexplode(F.array(*[F.struct(F.floor(F.col("x") / v).alias("gx"), F.floor(F.col("y") / v).alias("gy")) for v in sides]))
-        full = {
-            q["i"]: q["k"] for q in sites.select(key, at.alias("i", "g")).groupBy(key, "i", "g").agg(F.count(F.lit(1)).alias("k"))
-            .groupBy("i").agg(F.max("k").alias("k")).collect()
-        }
-        fit = [i for i in range(5) if full.get(i, 0) <= occupancy]
-        r = sides[fit[0]] if fit else sides[-1] / 4.0
-        if fit:
-            break
-    found = sites.where(F.col("_n") > 1).select(key, "x", "y", F.lit(0.0).alias("nn_dist"))
-    todo = sites.where(F.col("_n") == 1).select(key, "x", "y")
-    while True:
-        few = todo.limit(broadcast_rows + 1).count() <= broadcast_rows
-        q = _ring(todo, r).withColumnsRenamed({"x": "_qx", "y": "_qy"})
-        q = F.broadcast(q) if few else q.hint("merge")
-        dx, dy = F.col("_qx") - F.col("x"), F.col("_qy") - F.col("y")
-        best = (
-            _bucket(sites.select(key, "x", "y"), r).join(q, [key, "_gx", "_gy"])
-            .withColumn("_d2", (dx * dx + dy * dy).cast("double")).where(F.col("_d2") > 0)
-            .groupBy(key, "_qx", "_qy").agg(F.min("_d2").alias("_d2"))
-            .withColumnsRenamed({"_qx": "x", "_qy": "y"})
-        )
-        last = r >= side
-        res = settle(todo.join(best, [key, "x", "y"], "left"))
-        done = res if last else res.where(F.col("_d2") <= r * r)
-        found = found.unionByName(done.select(key, "x", "y", F.sqrt("_d2").alias("nn_dist")))
-        todo = res.where(F.col("_d2").isNull() | (F.col("_d2") > r * r)).select(key, "x", "y")
-        if last or todo.isEmpty():
-            break
-        r *= 4
+    sites = points.where(F.col(key).isNotNull() & finite(x) & finite(y)).groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+    sites = plant(sites.select(key, "x", "y", "_n", x.alias("_x"), y.alias("_y")), key, occupancy)
+    dx, dy = F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")
+    others = sites.select(key, F.col("_leaf").alias("_b"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
+
+    def least(pairs, name):
+        return pairs.groupBy(key, "x", "y").agg(F.min(dx * dx + dy * dy).alias(name))
+
+    inside = others.withColumnRenamed("_b", "_leaf")
+    own = least(sites.join(inside, [key, "_leaf"]).where((F.col("_x") != F.col("_ox")) | (F.col("_y") != F.col("_oy"))), "_d2")
+    none = F.lit(float("inf"))
+    own = settle(sites.join(own, [key, "x", "y"], "left").withColumn("_d2", F.when(F.col("_n") > 1, 0.0).otherwise(F.coalesce("_d2", none))))
+    pairs = leaf_pairs(grow(own, key, F.col("_d2")), key)
+    # a site as a box of its own
+    at = own.withColumnsRenamed({"_leaf": "_a"}).withColumns({"_ax0": F.col("_x"), "_ax1": F.col("_x"), "_ay0": F.col("_y"), "_ay1": F.col("_y")})
+    reach = pairs.join(at, [key, "_a"]).where((F.col("_d2") > 0) & (gap2("_a", "_b") <= F.least("_d2", "_u")))
+    across = least(reach.select(key, "x", "y", "_x", "_y", "_b").join(others, [key, "_b"]), "_o2")
+    d2 = F.least("_d2", "_o2")
+    found = own.join(across, [key, "x", "y"], "left").select(key, "x", "y", F.when(d2 < none, F.sqrt(d2)).alias("nn_dist"))
     return points.join(found, [key, "x", "y"]).select(key, id_col, "nn_dist")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slideloom.operators import cells as C, coreset as K, ml as M
+from slideloom.plans.quadtree import plant
 from slideloom.plans.scale import attach, exact_quantiles, flag_smallest, global_index, hash32, rank_within, salted_pair, spread_cells, take_smallest
 
 
@@ -40,6 +41,31 @@ def test_nearest_neighbour_uneven_density(spark):
     assert len(got) == len(p) and np.allclose([got[i] for i in range(len(p))], d.min(1))
 
 
+def test_nearest_neighbour_dense_cluster_and_far_points(spark):
+    """Clusters in clusters, far lone points, a line and a grid of ties: as brute force, and no leaf above its bound."""
+    rng = np.random.default_rng(5)
+    sets = {
+        "far": np.vstack([rng.normal(0, 1e-3, (700, 2)), rng.uniform(-1e3, 1e3, (30, 2)), [[9e3, 9e3]]]),
+        "nested": np.vstack([rng.normal(0, 10.0 ** -k, (60, 2)) for k in range(4)]),
+        "line": np.column_stack([np.arange(300.0), np.zeros(300)]),
+        "grid": np.array([(i % 20, i // 20) for i in range(400)], float),
+        "two": np.array([[1.0, 1.0], [4.0, 5.0]]),
+    }
+    rows = [(s, i, float(x), float(y)) for s, p in sets.items() for i, (x, y) in enumerate(p)]
+    schema = "sample string, id long, x double, y double"
+    odd = [("two", 90, None, 1.0), ("two", 91, float("nan"), 1.0), ("two", 92, 1.0, float("inf")), (None, 93, 1.0, 1.0)]
+    got = {(r.sample, r.id): r.nn_dist for r in C.nearest_neighbour(spark.createDataFrame(rows + odd, schema), occupancy=16).collect()}
+    assert len(got) == len(rows)
+    for s, p in sets.items():
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        assert np.allclose([got[s, i] for i in range(len(p))], d.min(1), rtol=1e-12), s
+    planted = plant(spark.createDataFrame(rows, schema).select("sample", F.col("x").alias("_x"), F.col("y").alias("_y")), "sample", 16)
+    assert planted.count() == len(rows)
+    assert planted.groupBy("sample", "_leaf").count().agg(F.max("count")).first()[0] <= 16
+    assert C.nearest_neighbour(spark.createDataFrame([], schema)).count() == 0
+
+
 @pytest.mark.parametrize("n_want,small", [(0, 0), (1, 0), (777, 0), (5000, 0), (9000, 0), (777, 10 ** 6), (0, 10 ** 6)])
 def test_flag_smallest_is_exact(spark, n_want, small):
     d = spark.range(5000).select(F.lit("hot").alias("g"), F.col("id"), hash32("id", 3).alias("h")).unionByName(
