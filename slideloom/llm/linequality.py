@@ -86,13 +86,14 @@ def measure(docs: DataFrame, ident: str = "doc_id", text: str = "text", host: st
 
 def judge(
     docs: DataFrame, ident: str = "doc_id", text: str = "text", host: str = "source",
-    least: int = 10, share: float = 0.05, remain: float = 0.3,
+    least: int = 10, share: float = 0.05, remain: float = 0.3, long_words: int = 10,
 ) -> DataFrame:
     """Counts and verdict of every row, and the places of the lines to remove.
 
     A line (see FOLD) is counted once for each different text of a host that holds it, so exact copies
-    don't make a line common. Above ``least`` texts and ``share`` of the host's
-    texts it is removed everywhere but in the host's first document that has it (smallest
+    don't make a line common. Lines of ``long_words`` words or more are common above ``least`` texts, however large
+    the host; shorter ones, which differing documents may well share, above ``least`` texts and ``share`` of the host's
+    texts. A common line is removed everywhere but in the host's first document that has it (smallest
     id). A document is depleted, and not kept, if under ``remain`` of its words are left;
     it also fails with under 50 words, or with over half of them in repeated windows of three
     (base_failed).
@@ -106,12 +107,12 @@ def judge(
     lines = alike.select("_id", "_fp", "_host", F.explode("lines").alias("_l")).select("_id", "_fp", "_host", "_l.*")
     texts = rows.groupBy("_host", "_fp").agg(F.lit(1)).groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
     counted = (
-        lines.groupBy("_host", "hash", "_fp").agg(F.min("_id").alias("_least"))
-        .groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_least", "_fp")).alias("_first"))
+        lines.groupBy("_host", "hash", "_fp").agg(F.min("_id").alias("_least"), F.first("words").alias("_words"))
+        .groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_least", "_fp")).alias("_first"), F.first("_words").alias("_words"))
         .where(F.col("_n") > least)
     )
     common = counted.join(texts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
-    common = settle(common.where(F.col("_n") > F.col("_texts") * share).select("_h", F.col("hash").alias("_hash"), "_first"))
+    common = settle(common.where((F.col("_words") >= long_words) | (F.col("_n") > F.col("_texts") * share)).select("_h", F.col("hash").alias("_hash"), "_first"))
     hit = lines.join(common, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("hash") == F.col("_hash")))
     hit = hit.where((F.col("_id") != F.col("_first._least")) | (F.col("_fp") != F.col("_first._fp")))
     lost = hit.groupBy(F.col("_id").alias("_i"), F.col("_fp").alias("_f"), F.col("_host").alias("_h")).agg(
