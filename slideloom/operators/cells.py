@@ -94,7 +94,7 @@ def nearest_neighbour(points, key="sample", id_col="id", occupancy=64):
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     points = reread(points.select(key, id_col, "x", "y"))
     sites = points.where(F.col(key).isNotNull() & finite(x) & finite(y)).groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("_n"))
-    sites = plant(sites.select(key, "x", "y", "_n", x.alias("_x"), y.alias("_y")), key, occupancy)
+    sites = plant(settle(sites.select(key, "x", "y", "_n", x.alias("_x"), y.alias("_y"))), key, occupancy)
     dx, dy = F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")
     others = sites.select(key, F.col("_leaf").alias("_b"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
 
