@@ -69,7 +69,7 @@ def _(spark, sf):
  row_number() OVER (PARTITION BY cell_id ORDER BY bin_id) AS br, count(*) OVER (PARTITION BY cell_id) AS k FROM pairs)
 SELECT sample, cell_id, p::INT AS pos, bin_id FROM r, generate_series(0,5) t(p) WHERE CASE WHEN k>=6 THEN hr=p+1 ELSE br=p%k+1 END""", ["pairs"])
 def _(spark, sf):
-    return C.pad_or_sample_tokens(pairs(spark, sf), 6, seed=7, scheme="mul")
+    return C.pad_or_sample_near(fx.cells(spark, sf), fx.bins(spark, sf), 10, 6, seed=7, scheme="mul")
 
 
 @query("slim_bins", "SELECT sample, bin_id, x, y FROM bins", ["bins"])

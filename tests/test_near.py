@@ -60,3 +60,21 @@ def test_ranks_equal_those_of_pairs(near, monkeypatch):
 def test_order_tokens_shuffles_no_pairs(spark):
     plan = QUERIES["order_tokens"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("t", [1, 4, 40])
+def test_samples_equal_those_of_pairs(spark, near, t):
+    # the hash of the Spark side; the choice in plain Python
+    ids = spark.range(1009).select("id", C.hash32("id", 3).alias("h"))
+    h = {r.id: r.h for r in ids.collect()}
+    want = []
+    for k, v in by_cell(pairs(near, 3.0)).items():
+        found = [b for b, _ in v] if len(v) < t else sorted((b for b, _ in v), key=lambda b: (h[b], b))
+        want += [(*k, p, found[p % len(found)]) for p in range(t)]
+    assert rows(C.pad_or_sample_near(*near, 3.0, t, seed=3), "sample", "cell_id", "pos", "bin_id") == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["pad_or_sample_tokens"])
+def test_choices_make_no_pairs(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan
