@@ -57,7 +57,7 @@ def _(spark, sf):
 
 @query("k_nearest", """SELECT sample, cell_id, bin_id, dist2, rank FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY dist2, bin_id)::INT AS rank FROM pairs) WHERE rank<=3""", ["pairs"])
 def _(spark, sf):
-    return C.k_nearest(pairs(spark, sf), 3)
+    return C.nearest_bins(fx.cells(spark, sf), fx.bins(spark, sf), 10, 3)
 
 
 @query("order_tokens", "SELECT sample, cell_id, bin_id, row_number() OVER (PARTITION BY cell_id ORDER BY bin_id)-1 AS pos FROM pairs", ["pairs"])

@@ -74,7 +74,15 @@ def test_samples_equal_those_of_pairs(spark, near, t):
     assert rows(C.pad_or_sample_near(*near, 3.0, t, seed=3), "sample", "cell_id", "pos", "bin_id") == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["pad_or_sample_tokens"])
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_nearest_equal_those_of_pairs(near, k):
+    want = []
+    for key, v in by_cell(pairs(near, 3.0)).items():
+        want += [(*key, b, d, i + 1) for i, (d, b) in enumerate(sorted((d, b) for b, d in v)[:k])]
+    assert rows(C.nearest_bins(*near, 3.0, k), "sample", "cell_id", "bin_id", "dist2", "rank") == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["pad_or_sample_tokens", "k_nearest"])
 def test_choices_make_no_pairs(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Window" not in plan
