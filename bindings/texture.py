@@ -66,16 +66,20 @@ def _(spark, sf):
     return d.select("row", "col", r6("density", "density"), "low_density")
 
 
-# two samples, one with seven in eight tiles: each has as many bins as its own tiles give
+# two samples, one with seven in eight tiles: each has as many bins as its own tiles give, and the sigma that its bins give;
+# rf mirrors each place of a line over its edges, one axis after the other
 _DEFAULT = f"""WITH t AS (SELECT *, CASE WHEN (row+col)%8=0 THEN 'small' ELSE 'large' END AS s FROM tile_z),
 u0 AS (SELECT *, greatest(floor(count(*) OVER (PARTITION BY s)*0.05::DOUBLE),1)::BIGINT AS b FROM t),
 u AS (SELECT *, (z-min(z) OVER p)/nullif(max(z) OVER p-min(z) OVER p,0)*b AS ux, (sd-min(sd) OVER p)/nullif(max(sd) OVER p-min(sd) OVER p,0)*b AS uy FROM u0 WINDOW p AS (PARTITION BY s)),
 h AS (SELECT s, b, least(floor(ux),b-1)::BIGINT AS bx, least(floor(uy),b-1)::BIGINT AS by, count(*)::DOUBLE AS n FROM u GROUP BY ALL),
-kw AS (SELECT d, exp(-d*d/2.0::DOUBLE)/sum(exp(-d*d/2.0::DOUBLE)) OVER () AS w FROM generate_series(-4,4) t(d)),
-cc AS (SELECT DISTINCT s, b, (ceil(ux)-1)::BIGINT AS cx, (ceil(uy)-1)::BIGINT AS cy FROM u WHERE ux>0 AND uy>0),
-mi AS (SELECT s, b, cx, cy, a.w*c.w AS w, cx+a.d AS mx, cy+c.d AS my FROM cc, kw a, kw c),
-rf AS (SELECT s, cx, cy, w, (mx%(2*b)+2*b)%(2*b) AS mx, (my%(2*b)+2*b)%(2*b) AS my, b FROM mi),
-dn AS (SELECT rf.s, cx, cy, sum(w*coalesce(n,0)) AS dens FROM rf LEFT JOIN h ON h.s=rf.s AND h.bx=CASE WHEN mx>=rf.b THEN 2*rf.b-1-mx ELSE mx END AND h.by=CASE WHEN my>=rf.b THEN 2*rf.b-1-my ELSE my END GROUP BY ALL)
+sg AS (SELECT s, b, greatest(1, floor(b*0.02::DOUBLE))::BIGINT AS g FROM (SELECT DISTINCT s, b FROM u)),
+kd AS (SELECT s, b, g, unnest(generate_series(-floor(4.0::DOUBLE*g+0.5)::BIGINT, floor(4.0::DOUBLE*g+0.5)::BIGINT)) AS d FROM sg),
+kw AS (SELECT s, b, d, exp(-(d*d)/(2.0::DOUBLE*g*g))/sum(exp(-(d*d)/(2.0::DOUBLE*g*g))) OVER (PARTITION BY s) AS w FROM kd),
+rm AS (SELECT s, b, c, w, ((c+d)%(2*b)+2*b)%(2*b) AS m FROM (SELECT *, unnest(generate_series(0, b-1)) AS c FROM kw)),
+rf AS (SELECT s, c, CASE WHEN m>=b THEN 2*b-1-m ELSE m END AS m, sum(w) AS w FROM rm GROUP BY ALL),
+ly AS (SELECT h.s, bx, c AS cy, sum(w*n) AS v FROM h JOIN rf ON rf.s=h.s AND rf.m=h.by GROUP BY ALL),
+cc AS (SELECT DISTINCT s, (ceil(ux)-1)::BIGINT AS cx, (ceil(uy)-1)::BIGINT AS cy FROM u WHERE ux>0 AND uy>0),
+dn AS (SELECT cc.s, cx, cc.cy, sum(w*v) AS dens FROM cc JOIN rf ON rf.s=cc.s AND rf.c=cc.cx JOIN ly ON ly.s=cc.s AND ly.bx=rf.m AND ly.cy=cc.cy GROUP BY ALL)
 SELECT u.s AS sample, row, col, round(coalesce(dens,0),6) AS density, coalesce(dens,0)<3 AS low_density FROM u LEFT JOIN dn ON dn.s=u.s AND cx=(ceil(ux)-1)::BIGINT AND cy=(ceil(uy)-1)::BIGINT"""
 
 
