@@ -5,7 +5,7 @@ import glob
 import duckdb
 import numpy as np
 
-from bindings import QUERIES, SQL
+from bindings import QUERIES, SQL, fixtures
 
 
 def differences(spark, name, folder, tmp_path):
@@ -33,3 +33,9 @@ def test_density_with_a_sigma_above_one(spark, tmp_path):
     con.register("t", {"v": v.ravel(), "vec_id": np.repeat(np.arange(len(v)), 64), "dim": np.tile(np.arange(64), len(v))})
     con.execute(f"COPY (SELECT vec_id::BIGINT AS vec_id, list(v::FLOAT ORDER BY dim) AS embedding, 0 AS label FROM t GROUP BY 1) TO '{folder}/embeddings.parquet'")
     assert differences(spark, "density_flag_default", str(folder), tmp_path) == []
+
+
+def test_shares_add_the_sums_they_divide(spark):
+    # the numerator and the total from two aggregations need not agree in the last bit; floor(p * 2**level) then moves a cell
+    plan = fixtures.props(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_totalprice") and plan.count("Aggregate [o_custkey") == 1
