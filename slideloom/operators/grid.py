@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window, functions as F, types as T
 
 from ..functions.arrays import all_finite, center_weight, disk_offsets, finite_or_extreme
@@ -197,7 +202,8 @@ def disk_tokens(spots, tokens, r, spot="spot", feat="feat", block=64):
 
     A spot whose disk is not wholly present (grid border) is left out; the others of
     its sample stay. Every list has the fixed disk size. Tokens go to blocks of cells with a
-    border of r, so each vector is shuffled little more than once; lists are made inside the blocks.
+    border of r, so each vector is shuffled little more than once; lists are made inside the blocks, and sent on
+    some spots at a time, however many a block holds.
     """
     import math
 
@@ -211,33 +217,38 @@ def disk_tokens(spots, tokens, r, spot="spot", feat="feat", block=64):
         {"_br": F.floor(F.col("row") / block), "_bc": F.floor(F.col("col") / block)}
     )
 
-    def gather(asked, cells):
-        import numpy as np
-        import pyarrow as pa
-
-        vectors = cells.column(feat).combine_chunks()
+    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((spots, "sample"), (spots, spot), (tokens, feat))}
+    keys = ["sample", "_br", "_bc"]
+    kept = [*keys, "row", "col"]
+    both = cells.select(*kept, F.lit(None).cast(kinds[spot]).alias("_spot"), F.lit(False).alias("_asks"), F.col(feat).alias("_feat")).unionByName(
+        asked.select(*kept, F.col(spot).alias("_spot"), F.lit(True).alias("_asks"), F.lit(None).cast(kinds[feat]).alias("_feat")))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.filter(pc.invert(b.column("_asks"))), b.filter(b.column("_asks"))) for b in batches]
+        cells, asked = (pa.Table.from_batches([p[i].drop_columns(["_spot" if i == 0 else "_feat"]) for p in parts]) for i in (0, 1))
+        if not len(cells) or not len(asked):
+            return
+        vectors = cells.column("_feat").combine_chunks()
+        top, left = cells.column("_br")[0].as_py() * block - reach, cells.column("_bc")[0].as_py() * block - reach
         side = block + 2 * reach
         place = np.full((side, side), -1, np.int64)
-        if len(cells):
-            top, left = cells.column("_br")[0].as_py() * block - reach, cells.column("_bc")[0].as_py() * block - reach
-            place[cells.column("row").to_numpy() - top, cells.column("col").to_numpy() - left] = np.arange(len(cells))
-        keep, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(cells) and len(asked):
-            i, j = np.array(disk).T
-            r0, c0 = asked.column("row").to_numpy() - top, asked.column("col").to_numpy() - left
+        place[cells.column("row").to_numpy() - top, cells.column("col").to_numpy() - left] = np.arange(len(cells))
+        i, j = np.array(disk).T
+        # about 16 MB of values a batch
+        step = max(1, 2_000_000 // (len(disk) * max(1, -(-len(vectors.flatten()) // len(vectors)))))
+        for s in range(0, len(asked), step):
+            some = asked.slice(s, step).combine_chunks()
+            r0, c0 = some.column("row").to_numpy() - top, some.column("col").to_numpy() - left
             got = place[r0[:, None] + i, c0[:, None] + j]
             keep = np.flatnonzero((got >= 0).all(axis=1))
-            found = got[keep].ravel()
-        ends = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * len(disk))
-        lists = pa.ListArray.from_arrays(ends, vectors.take(pa.array(found)))
-        rows = asked.take(pa.array(keep))
-        return pa.table({"sample": rows.column("sample"), spot: rows.column(spot), "tokens": lists})
-
-    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((spots, "sample"), (spots, spot), (tokens, feat))}
-    keys = ["sample", "_br", "_bc"]
-    return asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(
-        gather, f"sample {kinds['sample']}, {spot} {kinds[spot]}, tokens array<{kinds[feat]}>"
-    )
+            if not len(keep):
+                continue
+            ends = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * len(disk))
+            lists = pa.ListArray.from_arrays(ends, vectors.take(pa.array(got[keep].ravel())))
+            rows = some.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([rows.column("sample").combine_chunks(), rows.column("_spot").combine_chunks(), lists], names=["sample", spot, "tokens"])
+
+    return both.groupBy(*keys).applyInArrow(gather, f"sample {kinds['sample']}, {spot} {kinds[spot]}, tokens array<{kinds[feat]}>")
 
 
 def disk_report(spots, tokenised, spot="spot"):

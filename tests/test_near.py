@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bindings import QUERIES
-from slideloom.operators import cells as C, near as N
+from slideloom.operators import cells as C, grid as G, near as N
 
 SCHEMA = "sample string, {} long, x {}, y {}"
 
@@ -86,3 +86,13 @@ def test_nearest_equal_those_of_pairs(near, k):
 def test_choices_make_no_pairs(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_disks_of_many_spots_in_one_block(spark):
+    tokens = spark.range(100).select(F.lit("s").alias("sample"), F.floor(F.col("id") / 10).alias("row"), (F.col("id") % 10).alias("col"), F.array_repeat(F.col("id").cast("double"), 2000).alias("feat"))
+    spots = spark.range(1000).select(F.lit("s").alias("sample"), F.col("id").alias("spot"), (F.col("id") % 10).alias("row"), F.lit(5).cast("long").alias("col"))
+    d = G.disk_tokens(spots, tokens, 1)
+    assert "FlatMapCoGroups" not in d._jdf.queryExecution().executedPlan().toString()
+    got = {r.spot: r.ids for r in d.select("spot", F.transform("tokens", lambda t: t[1999].cast("int")).alias("ids")).collect()}
+    at = lambda i: i % 10 * 10 + 5
+    assert got == {i: [at(i) - 10, at(i) - 1, at(i), at(i) + 1, at(i) + 10] for i in range(1000) if 0 < i % 10 < 9}
