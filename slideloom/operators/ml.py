@@ -463,7 +463,7 @@ def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id
     tv = train.select(train_id, doubles(feat).alias("_f"))
     # keep one task's vectors near 64 MB a side, whatever their width
     width = train.select(F.max(F.size(feat))).first()[0] or 1
-    block_rows, query_rows = (max(1, min(n, 8_000_000 // width)) for n in (block_rows, query_rows))
+    block_rows, query_rows, sent_rows = (max(1, min(n, 8_000_000 // width)) for n in (block_rows, query_rows, 8192))
     n = train.count()
     m = int(max(1, min(math.isqrt(n), -(-n // block_rows))))
     pv = np.array([list(r["_f"]) for r in tv.withColumn("_h", hash32(train_id, seed)).orderBy("_h", train_id).limit(m).collect()])
@@ -502,21 +502,25 @@ def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id
     def others(it):
         import pandas as pd
 
+        step = max(1, 500_000 // m)
         for pdf in it:
-            if not len(pdf):
-                continue
-            d = to_pivots(np.stack([np.asarray(v) for v in pdf["_f"]]))
-            h = pdf["cell"].to_numpy()
-            dh = d[np.arange(len(d)), h][:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(gap[h] > 0, (d ** 2 - dh ** 2) / (2 * gap[h]), 0.0)
-            low = np.maximum(d - radius, plane)
-            bound = pdf["_kth"].fillna(np.inf).to_numpy()[:, None]
-            want = (low <= bound * (1 + 1e-9) + 1e-9) & np.isfinite(radius)
-            want[np.arange(len(d)), h] = False
-            i, j = np.nonzero(want)
-            if len(i):
-                yield pd.DataFrame({query_id: pdf[query_id].to_numpy()[i], "_f": pdf["_f"].to_numpy()[i], "cell": j.astype("int32")})
+            # a few rows at a time: distances to all pivots, and vectors once for each group that they go to
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s:s + step]
+                d = to_pivots(np.stack([np.asarray(v) for v in part["_f"]]))
+                h = part["cell"].to_numpy()
+                dh = d[np.arange(len(d)), h][:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = np.where(gap[h] > 0, (d ** 2 - dh ** 2) / (2 * gap[h]), 0.0)
+                low = np.maximum(d - radius, plane)
+                bound = part["_kth"].fillna(np.inf).to_numpy()[:, None]
+                want = (low <= bound * (1 + 1e-9) + 1e-9) & np.isfinite(radius)
+                want[np.arange(len(d)), h] = False
+                i, j = np.nonzero(want)
+                ids, vectors = part[query_id].to_numpy(), part["_f"].to_numpy()
+                for at in range(0, len(i), sent_rows):
+                    a, b = i[at:at + sent_rows], j[at:at + sent_rows]
+                    yield pd.DataFrame({query_id: ids[a], "_f": vectors[a], "cell": b.astype("int32")})
 
     def compare(q, t):
         import pandas as pd
