@@ -69,11 +69,12 @@ def hard_examples(cells, ann, mapping, counts, bins, vocab, n_classes, r, t, tar
         ok = C.qc_cells(counts, min_counts, min_genes, ("sample", "cell_id")).select("sample", "cell_id").distinct()
         c = c.join(ok, ["sample", "cell_id"], "left_semi")
     c = settle(C.label_matrix(c, vocab, n_classes))
-    pairs = settle(C.radius_join(c.where("valid"), bins, r))
-    cand = c.where("valid").join(pairs.select("sample", "cell_id").distinct(), ["sample", "cell_id"], "left_semi")
+    # any one bin makes a candidate; bins are looked for again only around the cells chosen, and pairs are never made
+    some = C.near_lists(c.where("valid"), bins, r, "first", 1).select("sample", "cell_id").distinct()
+    cand = c.where("valid").join(some, ["sample", "cell_id"], "left_semi")
     chosen = settle(C.stratified_cells(cand.select("sample", "cell_id", "class_idx"), target, "class_idx", seed=seed, scheme=scheme))
-    kept = pairs.join(chosen.select("sample", "cell_id"), ["sample", "cell_id"], "left_semi")
-    tok = C.pad_or_sample_tokens(kept, t, seed=seed, scheme=scheme)
+    kept = c.where("valid").join(chosen.select("sample", "cell_id"), ["sample", "cell_id"], "left_semi")
+    tok = C.pad_or_sample_near(kept, bins, r, t, seed=seed, scheme=scheme)
     return tok.join(chosen.select("sample", "cell_id", "class_idx"), ["sample", "cell_id"])
 
 

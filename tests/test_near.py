@@ -96,3 +96,11 @@ def test_disks_of_many_spots_in_one_block(spark):
     got = {r.spot: r.ids for r in d.select("spot", F.transform("tokens", lambda t: t[1999].cast("int")).alias("ids")).collect()}
     at = lambda i: i % 10 * 10 + 5
     assert got == {i: [at(i) - 10, at(i) - 1, at(i), at(i) + 1, at(i) + 10] for i in range(1000) if 0 < i % 10 < 9}
+
+
+def test_hard_examples_make_no_pairs(spark, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(C, "radius_join", refuse)
+    assert QUERIES["hard_examples"](spark, "/root/testdata/sf0.1").count() == 1000
