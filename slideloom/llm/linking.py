@@ -54,13 +54,14 @@ def enough(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return shared.cast("long") * (100 + percent) >= (a + b).cast("long") * percent
 
 
-def link(nodes: DataFrame, sets: DataFrame, percent: int, match: int = 1, rounds: int = 4, long_list: int = 32) -> DataFrame:
+def link(nodes: DataFrame, sets: DataFrame, percent: int, match: int = 1, rounds: int = 4, long_list: int = 32, known: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that join all sets that share a key, ``match`` tokens and ``percent`` % of their elements.
 
     ``nodes`` has fp, n (set size), keys (an array: the node's lists) and tokens (an array, compared only if ``match``
     is over 1), ``sets`` fp, items and bits. Every edge is counted on whole sets. Two bounds, which never rule out a
     true edge, spare comparisons: elements that no other node holds can't be shared, and sets differ in as many
-    elements at least as their parity maps in bits.
+    elements at least as their parity maps in bits. ``known`` are candidates (a, b) from elsewhere: those that share ``percent`` % are
+    edges too, and what they join is compared no more.
     """
     rare = sets.select("fp", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("fp"))
     own = rare.where("c = 1").groupBy("fp").agg(F.count(F.lit(1)).alias("own"))
@@ -99,6 +100,10 @@ def link(nodes: DataFrame, sets: DataFrame, percent: int, match: int = 1, rounds
 
     narrow = nodes.select("fp", "n", "most")
     edges, roots = None, None
+    if known is not None:
+        both = known.join(side(narrow, "x"), known["a"] == F.col("x_fp")).join(side(narrow, "y"), known["b"] == F.col("y_fp"))
+        edges = confirm(settle(both.where(fits("x", "y")).select("a", "b")))
+        roots = settle(components(edges).select(F.col("node").alias("fp"), "root"))
 
     def placed():
         """Every posting with the component of its node, and the largest component of each list that has several."""

@@ -32,7 +32,11 @@ def shingles(text: str, words: int, seed: int) -> list[int]:
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """SimHash of the shingles of ``words`` words, ASCII letters in lower case."""
-    hashes = shingles(text, words, seed)
+    return folded(shingles(text, words, seed))
+
+
+def folded(hashes: list[int]) -> int:
+    """The fingerprint of hashes: a bit is 1 if set in over half of them."""
     if not hashes:
         return 0
     lanes = np.array(hashes, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)
