@@ -7,6 +7,7 @@ import json
 import os
 import re
 import zlib
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -87,6 +88,11 @@ class WordCache:
                 self.pattern = regex.compile(cut["pattern"]["Regex"] + "|\n")
         self.clear()
 
+    def forget(self):
+        """Drop all tables; the tokenizer stays."""
+        self.parts = None
+        self.clear()
+
     def clear(self):
         self.words = Table()
         if self.parts is None or len(self.parts.known) > self.limit:
@@ -136,6 +142,15 @@ class WordCache:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """The cache of a tokenizer's file, read once by a Python worker: read again in each of its tasks, the freed pieces
+    of former copies pile up and the worker grows with the number of tasks."""
+    from tokenizers import Tokenizer
+
+    return WordCache(Tokenizer.from_file(path))
+
+
 def batches_of(texts: pa.Array, size: int = 4_000_000):
     """Ranges of ``texts`` of about ``size`` bytes."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -158,11 +173,9 @@ def pieces(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "
 
     def cut(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
+        cache = word_cache(tokenizer)
         gc.disable()  # tables of many small objects without cycles
         try:
-            cache = WordCache(Tokenizer.from_file(tokenizer))
             for batch in batches:
                 texts = batch.column(1)
                 for a, b in batches_of(texts):
@@ -182,7 +195,7 @@ def pieces(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "
                     )
         finally:
             # the worker goes on to other tasks
-            cache = None
+            cache.forget()
             gc.enable()
             gc.collect()
             pa.default_memory_pool().release_unused()

@@ -99,3 +99,34 @@ def test_nulls_long_texts_repeats_and_empty(spark):
     assert len(out) == 3 + 8 + 50 and whole(out) == 8
     assert sorted(r.length for r in out if r.doc_id in (1, None)) == [1, 1, 1]
     assert pack(pieces(df.limit(0), tokenizer())).count() == 0
+
+
+def test_a_worker_reads_the_tokenizer_once(spark, monkeypatch, tmp_path):
+    import shutil
+
+    import tokenizers
+
+    path, reads = str(shutil.copy(tokenizer(), tmp_path / "t.json")), []
+
+    class Reader:
+        @staticmethod
+        def from_file(p):
+            reads.append(p)
+            return real.from_file(p)
+
+    class Docs:
+        """Hands out the function that a task runs."""
+
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+        select = withColumnRenamed = lambda self, *a: self
+
+        def mapInArrow(self, fn, schema):
+            self.fn = fn
+            return self
+
+    real = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Reader)
+    task = pieces(Docs(), path).fn
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", ""])], names=["doc", "text"])
+    first, *others = [[b.to_pydict() for b in task(iter([batch]))] for _ in range(4)]
+    assert reads == [path] and all(o == first for o in others)
