@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.scale import attach_row, reread, settle
+from ..plans.scale import attach_row, beside, dealt, reread, settle
 
 
 def names(keys):
@@ -24,17 +24,24 @@ def collapse_duplicates(counts, keys=("sample", "spot", "gene"), cnt="cnt"):
     return counts.groupBy(*keys).agg(F.sum(cnt).alias(cnt))
 
 
-def reference_profile(counts, labels, group=None, min_umi=None, cell=("sample", "cell")):
+def reference_profile(counts, labels, group=None, min_umi=None, cell=("sample", "cell"), broadcast_rows=500_000):
     """Mean count per (group,) cell type and gene; cells without the gene count as zero.
 
     ``counts(*cell, gene, cnt)``, ``labels(*cell, ctype[, group])`` with one row per cell;
-    ``group`` names a column or several, such as the sample for a profile of each.
+    ``group`` names a column or several, such as the sample for a profile of each. Counts and labels
+    meet in tasks of bounded size, dealt by cell; a side of over ``broadcast_rows`` rows is never broadcast.
     """
     cell = names(cell)
-    c = min_umi_reference(counts, min_umi, cell) if min_umi else counts
+    c = reread(min_umi_reference(counts, min_umi, cell) if min_umi else counts)
     by = (names(group) if group else []) + ["ctype"]
-    cells = labels.join(c.select(*cell).distinct(), cell, "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sums = c.join(labels.select(*dict.fromkeys([*cell, *by])), cell).groupBy(*by, "gene").agg(F.sum("cnt").alias("_s"))
+    labels = labels.select(*dict.fromkeys([*cell, *by]))
+    n = labels.count()
+    rows = max(c.count(), n)
+    known = settle(dealt(c.select(*cell), cell, rows).distinct())
+    own = dealt(labels, cell, rows).join(beside(known, cell, rows, known.count(), broadcast_rows=broadcast_rows), cell, "left_semi")
+    cells = own.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    typed = dealt(c, cell, rows).join(beside(labels, cell, rows, n, broadcast_rows=broadcast_rows), cell)
+    sums = typed.groupBy(*by, "gene").agg(F.sum("cnt").alias("_s"))
     return sums.join(cells, by).select(*by, "gene", (F.col("_s") / F.col("_n")).alias("mu"))
 
 
