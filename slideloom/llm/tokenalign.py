@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from slideloom.llm.common import text_of
-from slideloom.llm.packing import batches_of, byte_letters
+from slideloom.llm.packing import batches_of, byte_letters, listed
 from slideloom.plans.scale import settle
 
 #: A link's two ids in one number: ids of the second tokenizer are below this.
 IDS = 1 << 20
+#: Between ids, the two sides of a group, and groups.
+COMMA, BAR, SEMICOLON = (pa.scalar(c, pa.large_string()) for c in ",|;")
 
 
 class ByteLevel:
@@ -63,64 +67,83 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def ends_of(sizes: np.ndarray) -> dict[int, int]:
-    """From each cumulative byte end to the number of tokens up to it."""
-    return dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1)))
+@lru_cache(maxsize=1)
+def coders(first: str, second: str) -> list[tuple]:
+    """Both files' coders with the sizes and bytes of all ids, read once by a Python worker."""
+    return [(c, np.array(list(map(len, c.pieces)), np.int64), pa.array(c.pieces, pa.large_binary())) for c in (ByteLevel(first), Pieces(second))]
 
 
-def groups_of(ids_a: list[int], ids_b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray]:
+def groups_of(ids_a, ids_b, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Where the slices between byte offsets at which tokens of both end stop in a and in b; the number of each slice's last
-    link; the slices with more than one token on a side (number, first and last of a, of b); and all links: id pairs whose bytes overlap.
+    link; the slices with more than one token on a side (number, first and last of a, of b); and all links, in
+    order: id pairs whose bytes overlap. Tokens are of one byte or more, and both sides of equally many bytes.
 
-    The ends of each side go into a dictionary to their index; the keys both hold, sorted, cut the two
-    lists. A slice's first tokens are linked; within it no inner end is shared, so further links follow by
-    stepping the side that ends first.
+    Each side has a table from every byte offset to the number of its tokens that end by then; the offsets at which both
+    end, in order, cut the two lists. Between two neighbouring ends of either side lie bytes of one token of each,
+    and of no other such stretch: a link for each stretch. Texts one after another are like one text: a text's end is an end of both.
     """
-    a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-    size_a, size_b = size_a[a], size_b[b]
-    ends_a, ends_b = ends_of(size_a), ends_of(size_b)
-    common = sorted(ends_a.keys() & ends_b.keys())
-    to_a, to_b = (np.fromiter(map(e.__getitem__, common), np.int64, len(common)) for e in (ends_a, ends_b))
+    a, b = np.asarray(ids_a, np.int64), np.asarray(ids_b, np.int64)
+    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    total = int(ends_a[-1]) if len(a) else 0
+    at_a, at_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+    at_a[ends_a] = at_b[ends_b] = True
+    upto_a, upto_b = np.cumsum(at_a, dtype=np.int32), np.cumsum(at_b, dtype=np.int32)
+    common, every = np.flatnonzero(at_a & at_b), np.flatnonzero(at_a | at_b)
+    to_a, to_b = upto_a[common].astype(np.int64), upto_b[common].astype(np.int64)
     from_a, from_b = np.concatenate([[0], to_a])[:-1], np.concatenate([[0], to_b])[:-1]
     at = np.flatnonzero((to_a - from_a > 1) | (to_b - from_b > 1))
-    wide = np.stack([at, from_a[at], to_a[at] - 1, from_b[at], to_b[at] - 1], 1).tolist()
-    links = []
-    if wide:
-        size_a, size_b = size_a.tolist(), size_b.tolist()
-    for _, i, last_a, k, last_b in wide:
-        rest = size_a[i] - size_b[k]  # how much further a's token reaches
-        while i < last_a or k < last_b:
-            if rest < 0:
-                i += 1
-                rest += size_a[i]
-            else:
-                k += 1
-                rest -= size_b[k]
-            links.append(ids_a[i] * IDS + ids_b[k])
+    wide = np.stack([at, from_a[at], to_a[at] - 1, from_b[at], to_b[at] - 1], 1)
     lasts = a[to_a - 1] * IDS + b[to_b - 1]
-    firsts = lasts.copy()
-    firsts[at] = a[from_a[at]] * IDS + b[from_b[at]]
-    return to_a, to_b, lasts, wide, np.concatenate([firsts, np.array(links, np.int64)])
+    return to_a, to_b, lasts, wide, a[upto_a[every - 1]] * IDS + b[upto_b[every - 1]]
 
 
-class PairTexts(dict):
-    """``a|b`` for a link's number, made once for each of at most ``limit`` numbers, then anew."""
+class PairTexts:
+    """Ids as decimal text, each made once: at most the greatest id's number."""
 
-    limit = 500_000
+    def __init__(self):
+        self.numbers = pa.array([], pa.large_string())
 
-    def __missing__(self, link: int) -> str:
-        if len(self) >= self.limit:
-            self.clear()
-        self[link] = out = f"{link // IDS}|{link % IDS}"
+    def of(self, ids: np.ndarray) -> pa.Array:
+        top = int(ids.max(initial=-1))
+        if top >= len(self.numbers):
+            self.numbers = pa.array(np.arange(top + 1)).cast(pa.large_string())
+        return self.numbers.take(pa.array(ids))
+
+    def listed(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """The ids from each place to another, comma-joined."""
+        ends = np.cumsum(last - first + 1)
+        places = np.arange(ends[-1]) + np.repeat(last + 1 - ends, last - first + 1)
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), self.of(ids[places])), COMMA)
+
+
+def group_texts(lasts: np.ndarray, wide: np.ndarray, ids_a, ids_b, texts: PairTexts) -> pa.Array:
+    """Each group as text: decimal ids of both sides, ``a1,a2|b1``."""
+    out = pc.binary_join_element_wise(texts.of(lasts // IDS), texts.of(lasts % IDS), BAR)
+    if not len(wide):
         return out
+    g, i, last_a, k, last_b = wide.T
+    sides = texts.listed(np.asarray(ids_a, np.int64), i, last_a), texts.listed(np.asarray(ids_b, np.int64), k, last_b)
+    mask = np.zeros(len(lasts), bool)
+    mask[g] = True
+    return pc.replace_with_mask(out, pa.array(mask), pc.binary_join_element_wise(*sides, BAR))
+
+
+def written(lasts: np.ndarray, wide: np.ndarray, ids_a, ids_b, texts: PairTexts) -> str:
+    """The groups of one text, joined: ``a1,a2|b1;a3|b2,b3``."""
+    return joined(group_texts(lasts, wide, ids_a, ids_b, texts), np.array([0, len(lasts)]))[0]
+
+
+def joined(groups: pa.Array, bounds: np.ndarray) -> list[str]:
+    """Each text's groups, of those between two neighbouring bounds."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), groups), SEMICOLON).to_pylist()
 
 
-def written(lasts: np.ndarray, wide: list, ids_a: list[int], ids_b: list[int], texts: PairTexts) -> str:
-    """The groups as text: decimal ids of both sides, ``a1,a2|b1;a3|b2``."""
-    parts = list(map(texts.__getitem__, lasts.tolist()))
-    for g, i, last_a, k, last_b in wide:
-        parts[g] = f"{','.join(map(str, ids_a[i : last_a + 1]))}|{','.join(map(str, ids_b[k : last_b + 1]))}"
-    return ";".join(parts)
+def faithful(ids: np.ndarray, counts: np.ndarray, pieces: pa.Array, sizes: np.ndarray, goals: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each text's tokens are those it should have."""
+    flat = pieces.take(pa.array(ids)).buffers()[2]
+    flat = flat.to_pybytes() if flat else b""
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return np.fromiter((flat[x:y] == g for x, y, g in zip(ends, ends[1:], goals)), bool, len(goals))
 
 
 def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: list[str] | None = None, groups: bool = False, block_bytes: int = 4_000_000) -> DataFrame:
@@ -142,25 +165,31 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: li
     named = docs.select(text_of(f"`{text}`").alias("t"), row)
 
     def run(batches):
-        left, right = ByteLevel(first), Pieces(second)
-        size_a, size_b = (np.array(list(map(len, t.pieces)), np.int64) for t in (left, right))
+        (left, size_a, bytes_a), (right, size_b, bytes_b) = coders(first, second)
         texts_of = PairTexts()
         task, number = TaskContext.get().partitionId(), 0
         for b in batches:
             for low, high in batches_of(b.column(0), block_bytes):
                 texts = b.column(0).slice(low, high - low).to_pylist()
                 spaced = [" " + t for t in texts]
-                pairs, times, facts = [], [], []
-                for t, s, ia, ib in zip(texts, spaced, left.encode(spaced), right.encode(texts)):
-                    goal = s.encode()
-                    if not t or b"".join([left.pieces[i] for i in ia]) != goal or b"".join([right.pieces[i] for i in ib]) != goal:
-                        ia, ib = [], []
-                    to_a, _, lasts, wide, links = groups_of(ia, ib, size_a, size_b)
-                    line = written(lasts, wide, ia, ib, texts_of)
-                    p, c = np.unique(links, return_counts=True)
+                goals = [t.encode() for t in spaced]
+                ids_a, n_a = listed(left.encode(spaced))
+                ids_b, n_b = listed(right.encode(texts))
+                good = faithful(ids_a, n_a, bytes_a, size_a, goals) & faithful(ids_b, n_b, bytes_b, size_b, goals)
+                good &= np.fromiter(map(bool, texts), bool, len(texts))
+                ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
+                n_a, n_b = n_a * good, n_b * good
+                to_a, _, lasts, wide, links = groups_of(ids_a, ids_b, size_a, size_b)
+                bounds = np.searchsorted(to_a, np.concatenate([[0], np.cumsum(n_a)]), "right")
+                n_groups = np.diff(bounds)
+                n_links = n_a + n_b - n_groups
+                lines = joined(group_texts(lasts, wide, ids_a, ids_b, texts_of), bounds)
+                pairs, times = [], []
+                for own in np.split(links, np.cumsum(n_links)[:-1]):
+                    p, c = np.unique(own, return_counts=True)
                     pairs.append(p)
                     times.append(c.astype(np.int32))
-                    facts.append((len(ia), len(ib), len(to_a), len(links), hashlib.sha256(line.encode()).hexdigest() if line else "", line))
+                hashes = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in lines]
                 flat = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
                 known, place, held = np.unique(flat, return_inverse=True, return_counts=True)
                 ends = np.cumsum([0] + [len(p) for p in pairs]).astype(np.int32)
@@ -169,8 +198,8 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: li
                 rows, n = b.column(1).slice(low, high - low), len(texts)
                 lists = lambda flat, off: pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), rows, *[pa.array([f[j] for f in facts], pa.int64()) for j in range(4)], pa.array([f[4] for f in facts], pa.string()),
-                     pa.array([f[5] if groups else None for f in facts], pa.string()),
+                    [pa.array(np.full(n, block)), rows, *map(pa.array, (n_a, n_b, n_groups, n_links)), pa.array(hashes, pa.string()),
+                     pa.array(lines, pa.string()) if groups else pa.nulls(n, pa.string()),
                      lists(place.astype(np.int32), ends), lists(np.concatenate(times) if times else np.zeros(0, np.int32), ends),
                      pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names=names)
                 if len(known):

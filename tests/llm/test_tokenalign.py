@@ -79,6 +79,58 @@ def test_slices_against_ranges():
         assert written(lasts, wide, a, b, PairTexts()).count(";") == len(to_a) - 1
 
 
+def test_texts_after_one_another_are_like_one():
+    """A block's links come text by text: as many as its tokens less its groups."""
+    rng, size = random.Random(3), np.arange(8)
+    for _ in range(50):
+        texts = []
+        for _ in range(rng.randint(1, 6)):
+            a, b = [rng.randint(1, 7) for _ in range(rng.randint(0, 9))], []
+            while sum(b) < sum(a):
+                b.append(rng.randint(1, min(7, sum(a) - sum(b))))
+            texts.append((a, b))
+        each = [groups_of(a, b, size, size) for a, b in texts]
+        whole_a, whole_b = sum((a for a, _ in texts), []), sum((b for _, b in texts), [])
+        to_a, _, lasts, wide, links = groups_of(whole_a, whole_b, size, size)
+        cuts = np.cumsum([len(a) + len(b) - len(e[0]) for (a, b), e in zip(texts, each)])[:-1]
+        assert [sorted(x) for x in np.split(links, cuts)] == [sorted(e[4]) for e in each]
+        assert [list(x) for x in np.split(lasts, np.cumsum([len(e[2]) for e in each])[:-1])] == [list(e[2]) for e in each]
+        line = written(lasts, wide, whole_a, whole_b, PairTexts())
+        assert line == ";".join(w for (a, b), e in zip(texts, each) if (w := written(e[2], e[3], a, b, PairTexts())))
+
+
+def test_a_worker_reads_the_files_once(spark, monkeypatch, tmp_path):
+    import shutil
+    import types
+
+    import pyarrow as pa
+
+    from slideloom.llm import tokenalign
+
+    paths, reads = [str(shutil.copy(f, tmp_path)) for f in FILES], []
+    for name in ("ByteLevel", "Pieces"):
+        real = getattr(tokenalign, name)
+        monkeypatch.setattr(tokenalign, name, lambda p, real=real: reads.append(p) or real(p))
+    monkeypatch.setattr(tokenalign, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+
+    class Stop(Exception):
+        pass
+
+    def grab(self, fn, schema):
+        raise Stop(fn)
+
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", grab)
+    try:
+        align(docs, *paths)
+    except Stop as stop:
+        task = stop.args[0]
+    rows = pa.array([{"doc_id": 1, "text": "some words"}, {"doc_id": 2, "text": ""}])
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words", ""]), rows], names=["t", "_row"])
+    first, *others = [[b.to_pydict() for b in task(iter([batch]))] for _ in range(3)]
+    assert reads == paths and all(o == first for o in others)
+
+
 def test_ids_are_those_of_the_file(sf_dir):
     """Against the library that the file is made for, also on odd characters."""
     from pyarrow.parquet import read_table
