@@ -18,6 +18,8 @@ from slideloom.plans.scale import settle
 
 #: A link's two ids in one number: ids of the second tokenizer are below this.
 IDS = 1 << 20
+#: Bytes of text that are aligned at once: bounds what a task's arrays take beside a block's pairs.
+PART_BYTES = 500_000
 #: Between ids, the two sides of a group, and groups.
 COMMA, BAR, SEMICOLON = (pa.scalar(c, pa.large_string()) for c in ",|;")
 
@@ -157,7 +159,7 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: li
     characters), have no tokens: zeros and ''. Rows alike count each. An empty table gives no rows.
 
     Tasks align their rows in blocks of about ``block_bytes`` of text (one longer text is a block of its own). A block
-    keeps its distinct pairs once; rows refer to them by place. So counting and looking up move one
+    is aligned in parts and keeps its distinct pairs once; rows refer to them by place. So counting and looking up move one
     row for each block and pair, not for each link; a block's rows and answers meet again by the block's number.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("_row")
@@ -170,36 +172,38 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", keep: li
         task, number = TaskContext.get().partitionId(), 0
         for b in batches:
             for low, high in batches_of(b.column(0), block_bytes):
-                texts = b.column(0).slice(low, high - low).to_pylist()
-                spaced = [" " + t for t in texts]
-                goals = [t.encode() for t in spaced]
-                ids_a, n_a = listed(left.encode(spaced))
-                ids_b, n_b = listed(right.encode(texts))
-                good = faithful(ids_a, n_a, bytes_a, size_a, goals) & faithful(ids_b, n_b, bytes_b, size_b, goals)
-                good &= np.fromiter(map(bool, texts), bool, len(texts))
-                ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
-                n_a, n_b = n_a * good, n_b * good
-                to_a, _, lasts, wide, links = groups_of(ids_a, ids_b, size_a, size_b)
-                bounds = np.searchsorted(to_a, np.concatenate([[0], np.cumsum(n_a)]), "right")
-                n_groups = np.diff(bounds)
-                n_links = n_a + n_b - n_groups
-                lines = joined(group_texts(lasts, wide, ids_a, ids_b, texts_of), bounds)
-                pairs, times = [], []
-                for own in np.split(links, np.cumsum(n_links)[:-1]):
-                    p, c = np.unique(own, return_counts=True)
-                    pairs.append(p)
-                    times.append(c.astype(np.int32))
-                hashes = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in lines]
+                block_texts = b.column(0).slice(low, high - low)
+                pairs, times, facts, hashes, lines = [], [], [], [], []
+                for start, stop in batches_of(block_texts, PART_BYTES):
+                    texts = block_texts.slice(start, stop - start).to_pylist()
+                    spaced = [" " + t for t in texts]
+                    goals = [t.encode() for t in spaced]
+                    ids_a, n_a = listed(left.encode(spaced))
+                    ids_b, n_b = listed(right.encode(texts))
+                    good = faithful(ids_a, n_a, bytes_a, size_a, goals) & faithful(ids_b, n_b, bytes_b, size_b, goals)
+                    good &= np.fromiter(map(bool, texts), bool, len(texts))
+                    ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
+                    n_a, n_b = n_a * good, n_b * good
+                    to_a, _, lasts, wide, links = groups_of(ids_a, ids_b, size_a, size_b)
+                    bounds = np.searchsorted(to_a, np.concatenate([[0], np.cumsum(n_a)]), "right")
+                    n_links = n_a + n_b - np.diff(bounds)
+                    for own in np.split(links, np.cumsum(n_links)[:-1]):
+                        p, c = np.unique(own, return_counts=True)
+                        pairs.append(p)
+                        times.append(c.astype(np.int32))
+                    facts.append((n_a, n_b, np.diff(bounds), n_links))
+                    part = joined(group_texts(lasts, wide, ids_a, ids_b, texts_of), bounds)
+                    hashes += [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in part]
+                    lines += part if groups else [None] * len(part)
                 flat = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
                 known, place, held = np.unique(flat, return_inverse=True, return_counts=True)
                 ends = np.cumsum([0] + [len(p) for p in pairs]).astype(np.int32)
                 block = (task << 24) + number
                 number += 1
-                rows, n = b.column(1).slice(low, high - low), len(texts)
+                rows, n = b.column(1).slice(low, high - low), high - low
                 lists = lambda flat, off: pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), rows, *map(pa.array, (n_a, n_b, n_groups, n_links)), pa.array(hashes, pa.string()),
-                     pa.array(lines, pa.string()) if groups else pa.nulls(n, pa.string()),
+                    [pa.array(np.full(n, block)), rows, *(pa.array(np.concatenate(f)) for f in zip(*facts)), pa.array(hashes, pa.string()), pa.array(lines, pa.string()),
                      lists(place.astype(np.int32), ends), lists(np.concatenate(times) if times else np.zeros(0, np.int32), ends),
                      pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names=names)
                 if len(known):
