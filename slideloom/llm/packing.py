@@ -62,23 +62,56 @@ def listed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
 
+class PartCoder:
+    """Ids of many parts at once, by a faster library from the model of the same file.
+
+    For byte-level BPE models with a suffix at each part's end whose ids rise along the merges: merging always
+    the pair with the smallest id of the result is the same rule. The suffix is written as a newline, which no part holds.
+    """
+
+    def __init__(self, model: dict):
+        import tiktoken
+
+        suffix, vocab = model["end_of_word_suffix"], model["vocab"]
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        back = {c: b for b, c in byte_letters().items()}
+        ends = {t: bool(suffix) and t.endswith(suffix) for t in vocab}
+        letters = {t: t.removesuffix(suffix) if e else t for t, e in ends.items()}
+        newline = byte_letters()[10]
+        known = {bytes(map(back.__getitem__, letters[t])) + b"\n" * ends[t]: i for t, i in vocab.items() if newline not in t and back.keys() >= set(letters[t])}
+        single = [known.get(bytes([b]) + e, len(vocab)) for b in range(256) if b != 10 for e in (b"", b"\n")]
+        plain = suffix and suffix not in vocab and not any(model[k] for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+        if not plain or not merged or merged != sorted(set(merged)) or max(single) >= merged[0]:
+            raise ValueError("no byte-level BPE model with a suffix and ids in the order of merges")
+        self.last = np.zeros(max(known.values()) + 1, bool)
+        self.last[[i for t, i in known.items() if t.endswith(b"\n")]] = True
+        self.coder = tiktoken.Encoding("parts", pat_str=r"[^\n]+\n", mergeable_ranks=known, special_tokens={})
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, and how many each has."""
+        ids = np.array(self.coder.encode_ordinary("\n".join(parts) + "\n"), np.uint32)
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
+
 class WordCache:
     """Token ids of texts, word by word, for tokenizers that never join across ASCII white space.
 
     Words are looked up in a table of at most ``limit`` words, which starts anew when full;
     only words not in it go to the tokenizer. For a model that splits by a pattern into
-    byte-level parts, new Latin words are lower-cased and split here and only their new parts go to the
-    model, which spares the tokenizer's bookkeeping of offsets; other words are encoded whole.
+    byte-level parts, new Latin words are lower-cased and split here and only their new parts go to a
+    faster coder of the same model, all at once, or to the model, which spares the tokenizer's bookkeeping of offsets; other words are encoded whole.
     """
 
     #: Letters and signs that need no normal form and are white space to nobody.
     PLAIN = re.compile("[!-~\xa1-\u024f]+")
+    #: Parts of more letters go to the model.
+    LONG = 500
 
     def __init__(self, tokenizer, limit: int = 200_000):
         self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
         spec = json.loads(tokenizer.to_str())
         self.marks = [t["content"] for t in spec["added_tokens"]]
-        self.letters, self.pattern, self.parts = byte_letters(), None, None
+        self.letters, self.pattern, self.parts, self.coder = byte_letters(), None, None, None
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         lowers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         if lowers and len(steps) == 2 and spec["post_processor"] is None and spec["model"]["type"] == "BPE":
@@ -86,6 +119,10 @@ class WordCache:
             plain = level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
             if plain and cut["type"] == "Split" and cut["invert"] and cut["behavior"] == "Removed" and "Regex" in cut["pattern"]:
                 self.pattern = regex.compile(cut["pattern"]["Regex"] + "|\n")
+                try:
+                    self.coder = PartCoder(spec["model"])
+                except (ImportError, ValueError):
+                    pass
         self.clear()
 
     def forget(self):
@@ -107,8 +144,14 @@ class WordCache:
         if len(new):
             missing = [found[i] for i in new]
             fresh = list(dict.fromkeys(missing))
-            mapped = [p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in fresh]
-            self.parts.add(fresh, *listed([[t.id for t in self.model.tokenize(m)] for m in mapped]))
+            # the faster library's time grows with the square of a part
+            short = [p for p in fresh if len(p) <= self.LONG] if self.coder else []
+            if short:
+                self.parts.add(short, *self.coder.encode(short))
+            others = [p for p in fresh if p not in self.parts.known] if len(short) < len(fresh) else []
+            if others:
+                mapped = [p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in others]
+                self.parts.add(others, *listed([[t.id for t in self.model.tokenize(m)] for m in mapped]))
             codes[new] = self.parts.codes(missing)
         ids, sizes = self.parts.gather(codes)
         ends = np.cumsum(sizes)[codes == 0]

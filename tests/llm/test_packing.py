@@ -130,3 +130,20 @@ def test_a_worker_reads_the_tokenizer_once(spark, monkeypatch, tmp_path):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", ""])], names=["doc", "text"])
     first, *others = [[b.to_pydict() for b in task(iter([batch]))] for _ in range(4)]
     assert reads == [path] and all(o == first for o in others)
+
+
+def test_new_parts_are_coded_at_once_not_one_by_one(plain):
+    cache, model, calls = WordCache(plain), plain.model, []
+
+    class Model:
+        def tokenize(self, part):
+            calls.append(part)
+            return model.tokenize(part)
+
+    cache.model = Model()
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu'.</w>Éß9") for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    texts = [" ".join(words), "It's \n <|endoftext|> </w> x</w> WE'LL", "ab" * 600 + " c", "", " "]
+    got = [ids.tolist() for ids in cache.encode(pa.array(texts))]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert calls == ["ab" * 600]
