@@ -99,6 +99,16 @@ def test_texts_after_one_another_are_like_one():
         assert line == ";".join(w for (a, b), e in zip(texts, each) if (w := written(e[2], e[3], a, b, PairTexts())))
 
 
+def test_parts_of_a_block_make_no_difference(spark, monkeypatch):
+    from slideloom.llm import tokenalign
+
+    texts = [None, "", "ﬁ", *(f"some words {i} and more, {i * i}" for i in range(60)), "word " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = sorted(align(df, *FILES, groups=True).collect())
+    monkeypatch.setattr(tokenalign, "PART_BYTES", 100)
+    assert sorted(align(df, *FILES, groups=True).collect()) == want
+
+
 def test_a_worker_reads_the_files_once(spark, monkeypatch, tmp_path):
     import shutil
     import types
