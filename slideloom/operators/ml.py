@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.arrays import all_finite, doubles, l2_normalise
 from ..functions.scalars import inverse_distance
-from ..plans.scale import attach, attach_row, exact_quantiles, hash32, reread, settle
+from ..plans.scale import attach_row, exact_quantiles, hash32, reread, settle
 
 
 def _moments(df, feat):
@@ -446,141 +446,177 @@ def knn_impute(train, query, targets, k=5, weights="uniform", train_id="train_id
                block_rows=4096, query_rows=16384, seed=0):
     """Exact k-nearest-neighbour mean and variance of each target: (query_id, target, mean, variance).
 
-    Training rows are grouped around pivots and cut into blocks of bounded size. A
-    query first visits the blocks of its nearest pivot, which bounds its k-th
-    distance; the triangle and half-plane bounds then name the only other groups that
-    can hold a nearer row. Each task compares one bounded block with one bounded
-    chunk of queries and emits k rows per query. Ties go to the smaller training id.
-    Training rows with a non-finite value take no part; queries with one get NULL. There are as many groups as blocks, but
-    at most the square root of the training rows, whose pivots the driver holds.
+    Training rows are grouped around pivots; both sides are packed, a group's rows in blocks of bounded size, each one row of a
+    written table. A query is first compared with one block of its nearest pivot, which bounds its k-th distance; the triangle and
+    half-plane bounds then name the only groups that can hold nearer rows. Tasks read blocks of queries against blocks of those
+    groups from the two tables: no vector is copied for each group that it visits, and a task emits k rows for each of its queries.
+    Ties go to the smaller training id. Training rows with a non-finite value take no part; queries with one get NULL. There are
+    as many groups as blocks, but at most the square root of the training rows, whose pivots the driver holds.
     """
     import numpy as np
+    import pyarrow as pa
 
     if weights not in ("uniform", "distance"):
         raise ValueError(f"unknown weights {weights!r}")
     train, query = reread(train.select(train_id, feat, *targets).where(all_finite(feat, nested=False))), reread(query.select(query_id, feat))
     kt, kq = train.schema[train_id].dataType.simpleString(), query.schema[query_id].dataType.simpleString()
-    tv = train.select(train_id, doubles(feat).alias("_f"))
+    # vectors stay in their own width until a task computes with them
+    own = lambda d: F.col(feat) if d.schema[feat].dataType.simpleString() in ("array<float>", "array<double>") else doubles(feat)
+    tv = train.select(train_id, own(train).alias("_f"))
+    good = query.select(query_id, own(query).alias("_f")).where(all_finite("_f", nested=False))
     # keep one task's vectors near 64 MB a side, whatever their width
     width = train.select(F.max(F.size(feat))).first()[0] or 1
-    block_rows, query_rows, sent_rows = (max(1, min(n, 8_000_000 // width)) for n in (block_rows, query_rows, 8192))
+    block_rows, query_rows = (max(1, min(n, 8_000_000 // width)) for n in (block_rows, query_rows))
     n = train.count()
     m = int(max(1, min(math.isqrt(n), -(-n // block_rows))))
-    pv = np.array([list(r["_f"]) for r in tv.withColumn("_h", hash32(train_id, seed)).orderBy("_h", train_id).limit(m).collect()])
+    pv = np.array([list(r["_f"]) for r in tv.withColumn("_h", hash32(train_id, seed)).orderBy("_h", train_id).limit(m).collect()], dtype=float)
     gap = np.sqrt(((pv[:, None] - pv[None]) ** 2).sum(-1)) if m * m * pv.shape[1] < 5e7 else np.stack([np.sqrt(((pv - p) ** 2).sum(-1)) for p in pv])
 
-    def to_pivots(x):
-        d2 = (x ** 2).sum(1)[:, None] - 2 * x @ pv.T + (pv ** 2).sum(1)
+    def matrix(vectors):
+        return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), width)
+
+    def to_pivots(x, p=slice(None)):
+        d2 = (x ** 2).sum(1)[:, None] - 2 * x @ pv[p].T + (pv[p] ** 2).sum(1)
         return np.sqrt(np.maximum(d2, 0))
 
-    def place(it):
-        for pdf in it:
-            if not len(pdf):
-                continue
-            d = to_pivots(np.stack([np.asarray(v) for v in pdf["_f"]]))
-            pdf["cell"] = d.argmin(1).astype("int32")
-            pdf["_d"] = d.min(1)
-            yield pdf
-
-    placed = settle(tv.mapInPandas(place, f"{train_id} {kt}, _f array<double>, cell int, _d double"))
-    cells = settle(placed.groupBy("cell").agg(
-        F.max("_d").alias("radius"), F.count(F.lit(1)).alias("n"),
-        F.ceil(F.count(F.lit(1)) / float(block_rows)).cast("int").alias("blocks"),
-    ))
-    radius = np.full(m, -np.inf)
-    for r in cells.collect():  # one row per pivot
-        radius[r["cell"]] = r["radius"]
-    good = query.select(query_id, doubles(feat).alias("_f")).where(all_finite(feat, nested=False))
+    def placed(d, held, *cols):
+        """Rows with the nearest of the pivots that are ``held`` (cell) and its distance (_d)."""
+        def place(batches):
+            for b in batches:
+                far = np.where(held, to_pivots(matrix(b.column("_f"))), np.inf)
+                found = {"cell": far.argmin(1).astype(np.int32), "_d": far.min(1)}
+                yield pa.RecordBatch.from_arrays([pa.array(found[c]) if c in found else b.column(c) for c in cols], names=list(cols))
 
-    def home(it):
-        for pdf in it:
-            if not len(pdf):
-                continue
-            pdf["cell"] = np.where(np.isfinite(radius), to_pivots(np.stack([np.asarray(v) for v in pdf["_f"]])), np.inf).argmin(1).astype("int32")
-            yield pdf
+        kinds = {"cell": "int", "_d": "double"}
+        return d.mapInArrow(place, ", ".join(f"`{c}` {kinds.get(c) or d.schema[c].dataType.simpleString()}" for c in cols))
 
-    def others(it):
-        import pandas as pd
+    def parts(d, held, rows, name):
+        """Blocks of each cell; counted in a pass of its own, so that no placed vectors are written."""
+        return settle(placed(d, held, "cell").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / float(rows)).cast("int").alias(name)))
 
-        step = max(1, 500_000 // m)
-        for pdf in it:
-            # a few rows at a time: distances to all pivots, and vectors once for each group that they go to
-            for s in range(0, len(pdf), step):
-                part = pdf.iloc[s:s + step]
-                d = to_pivots(np.stack([np.asarray(v) for v in part["_f"]]))
-                h = part["cell"].to_numpy()
-                dh = d[np.arange(len(d)), h][:, None]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(gap[h] > 0, (d ** 2 - dh ** 2) / (2 * gap[h]), 0.0)
-                low = np.maximum(d - radius, plane)
-                bound = part["_kth"].fillna(np.inf).to_numpy()[:, None]
-                want = (low <= bound * (1 + 1e-9) + 1e-9) & np.isfinite(radius)
-                want[np.arange(len(d)), h] = False
-                i, j = np.nonzero(want)
-                ids, vectors = part[query_id].to_numpy(), part["_f"].to_numpy()
-                for at in range(0, len(i), sent_rows):
-                    a, b = i[at:at + sent_rows], j[at:at + sent_rows]
-                    yield pd.DataFrame({query_id: ids[a], "_f": vectors[a], "cell": b.astype("int32")})
-
-    def compare(q, t):
-        import pandas as pd
+    def cut(ident, name):
+        return F.pmod(F.xxhash64(ident), F.coalesce(name, F.lit(1))).cast("int")
 
-        a = np.stack([np.asarray(v) for v in q["_f"]])
-        b = np.stack([np.asarray(v) for v in t["_f"]])
-        tid = t[train_id].to_numpy()
-        take = min(len(b), k)
+    blocks = parts(tv, np.ones(m, bool), block_rows, "_blocks")
+    pack = F.collect_list(F.struct(train_id, "_f"))
+    dealt_train = placed(tv, np.ones(m, bool), train_id, "_f", "cell", "_d").join(blocks, "cell", "left").withColumn("block", cut(train_id, "_blocks"))
+    packed = settle(dealt_train.groupBy("cell", "block").agg(pack.alias("_s"), F.max("_d").alias("_radius")).select(
+        F.col("cell").alias("_cell"), "block", F.col(f"_s.{train_id}").alias("_tids"), F.flatten("_s._f").alias("_tv"), "_radius"))
+    radius = np.full(m, -np.inf)
+    for r in packed.groupBy("_cell").agg(F.max("_radius").alias("_r")).collect():  # one row per pivot
+        radius[r["_cell"]] = r["_r"]
+    held = np.isfinite(radius)
+
+    def lower(x, home, cells):
+        """Lower bounds of the distances from rows of ``x``, of the cell ``home``, to rows of ``cells``, less what rounding may add."""
+        d, own = to_pivots(x, cells), np.sqrt(((x - pv[home]) ** 2).sum(1))[:, None]
+        scale = np.sqrt(max((x ** 2).sum(1).max(), (pv ** 2).sum(1).max()))
+        apart = gap[home][cells]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(apart > 1e-7 * scale, (d ** 2 - own ** 2) / (2 * apart), 0.0)
+        return np.maximum(d - radius[cells], plane) * (1 - 1e-9) - 1e-7 * scale - 1e-9
+
+    def first(row):
+        return np.arange(len(row)) - np.searchsorted(row, row)
+
+    def closer(x, rows, best, bound, b, tid):
+        """``best`` (row, training id, distance; at most k a row) with what ``b`` has nearer to ``rows``; ``bound`` follows the k-th."""
         norms = (b ** 2).sum(1)
-        outs = []
-        for s in range(0, len(a), 1024):
-            x = a[s:s + 1024]
-            approx = norms - 2 * x @ b.T
-            kth = np.partition(approx, take - 1, axis=1)[:, take - 1]
+        take = min(len(b), k)
+        found = [best] if best else []
+        for s in range(0, len(rows), 256):
+            at = rows[s:s + 256]
+            y = x[at]
+            yy = (y ** 2).sum(1)
+            approx = (-2 * y) @ b.T
+            approx += norms
             # all within the rounding error of the k-th, so that equal distances stay together
-            slack = 1e-12 * b.shape[1] * (norms.max() + (x ** 2).sum(1))
-            row, col = np.nonzero(approx <= (kth + slack)[:, None])
-            d = np.concatenate([np.sqrt(((x[row[i:i + 65536]] - b[col[i:i + 65536]]) ** 2).sum(-1)) for i in range(0, len(row), 65536)])
+            slack = 1e-12 * width * (norms.max() + yy)
+            limit = bound[at] ** 2 - yy + slack
+            if np.isinf(limit).any():
+                limit = np.minimum(limit, np.partition(approx, take - 1, axis=1)[:, take - 1] + slack)
+            row, col = np.nonzero(approx <= limit[:, None])
+            if not len(row):
+                continue
+            d = np.concatenate([np.sqrt(((y[row[i:i + 65536]] - b[col[i:i + 65536]]) ** 2).sum(-1)) for i in range(0, len(row), 65536)])
             order = np.lexsort((tid[col], d, row))
             row, col, d = row[order], col[order], d[order]
-            first = np.arange(len(row)) - np.searchsorted(row, row) < k
-            outs.append(pd.DataFrame({query_id: q[query_id].to_numpy()[s + row[first]], train_id: tid[col[first]], "dist": d[first]}))
-        return pd.concat(outs)
-
-    out_schema = f"{query_id} {kq}, {train_id} {kt}, dist double"
-
-    def nearest(q):
-        """k rows per (query, block); ``q`` is (query_id, _f, cell)."""
-        plan = settle(q.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / float(query_rows)).cast("int").alias("chunks")).join(cells, "cell"))
-        zero = F.lit(0)
-        qq = attach(q, plan.select("cell", "blocks", "chunks"), "cell", "inner").withColumns({
-            "chunk": F.pmod(F.xxhash64(query_id), F.col("chunks")).cast("int"),
-            "block": F.explode(F.sequence(zero, F.col("blocks") - 1)),
-        }).select(query_id, "_f", "cell", "block", "chunk")
-        tt = attach(placed, plan.select("cell", "blocks", "chunks"), "cell", "inner").withColumns({
-            "block": F.pmod(F.xxhash64(train_id), F.col("blocks")).cast("int"),
-            "chunk": F.explode(F.sequence(zero, F.col("chunks") - 1)),
-        }).select(train_id, "_f", "cell", "block", "chunk")
-        on = ["cell", "block", "chunk"]
-
-        def pair(a, b):
-            import pandas as pd
-
-            if not len(a) or not len(b):
-                return pd.DataFrame({c: pd.Series(dtype=float) for c in (query_id, train_id, "dist")})
-            return compare(a, b)
-
-        return qq.groupBy(*on).cogroup(tt.groupBy(*on)).applyInPandas(pair, out_schema)
-
+            keep = first(row) < k
+            found.append((at[row[keep]], tid[col[keep]], d[keep]))
+        if not found:
+            return best
+        row, ids, d = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((ids, d, row))
+        row, ids, d = row[order], ids[order], d[order]
+        at = first(row)
+        last = at == k - 1
+        bound[row[last]] = np.minimum(bound[row[last]], d[last])
+        return row[at < k], ids[at < k], d[at < k]
+
+    def start(q, t):
+        """A block of queries as one row, with a bound of each k-th distance and the cells that any of them must visit."""
+        ids, flat = q.column(query_id).combine_chunks(), q.column("_f").combine_chunks()
+        many = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)] if len(q) else [0], pa.int32()), a)
+        bound, cells = np.full(len(q), np.inf), []
+        if len(q):
+            x, home = matrix(flat), q.column("cell")[0].as_py()
+            if len(t):
+                b = t.column("_tv").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                closer(x, np.arange(len(x)), None, bound, b, np.arange(len(b)))
+            want = np.arange(m) == home
+            step = max(1, 500_000 // m)
+            for s in range(0, len(x), step):
+                want |= (lower(x[s:s + step], home, slice(None)) <= bound[s:s + step, None]).any(0)
+            cells = np.flatnonzero(want & held)
+        return pa.table({
+            "cell": q.column("cell").combine_chunks()[:1], "chunk": q.column("chunk").combine_chunks()[:1], "_qids": many(ids),
+            "_qv": many(flat.flatten()), "_bound": many(pa.array(bound)), "_cells": many(pa.array(cells, pa.int32())),
+        })
+
+    def search(batches):
+        at, best = None, None
+
+        def done():
+            row, tid, d = best
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(tid, named), pa.array(d)], names=[query_id, train_id, "dist"])
+
+        for batch in batches:
+            named = batch.schema.field("_tids").type.value_type
+            value = lambda c, i: batch.column(c).slice(i, 1).flatten()  # noqa: B023, E731
+            for i, key in enumerate(zip(batch.column("cell").to_pylist(), batch.column("chunk").to_pylist())):
+                if key != at:
+                    if best:
+                        yield done()
+                    at, best, ids = key, None, value("_qids", i)
+                    x = value("_qv", i).to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), width)
+                    bound = value("_bound", i).to_numpy(zero_copy_only=False).copy()
+                cell = batch.column("_cell")[i].as_py()
+                rows = np.arange(len(x)) if cell == key[0] else np.flatnonzero(lower(x, key[0], [cell])[:, 0] <= bound)
+                if len(rows):
+                    tid = value("_tids", i).to_numpy(zero_copy_only=False)
+                    b = value("_tv", i).to_numpy(zero_copy_only=False).astype(float).reshape(len(tid), width)
+                    best = closer(x, rows, best, bound, b, tid)
+        if best:
+            yield done()
+
+    # enough blocks of queries for all cores, none larger than the bound
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    chunk_rows = max(min(query_rows, 1024), min(query_rows, query.count() // (4 * cores)))
+    chunks = parts(good, held, chunk_rows, "_chunks")
+    tasks = max(1, min(4 * cores, chunks.agg(F.sum("_chunks")).first()[0] or 1))
+    on = ["cell", "chunk"]
+    asks = placed(good, held, query_id, "_f", "cell").join(chunks, "cell", "left").select(query_id, "_f", "cell", cut(query_id, "_chunks").alias("chunk"))
+    one = packed.where("block = 0").select("_tv", F.col("_cell").alias("cell")).join(chunks, "cell").select(
+        "_tv", "cell", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"))
+    asks, one = (d.repartition(tasks, *on).groupBy(*on) for d in (asks, one))
+    asking = settle(asks.cogroup(one).applyInArrow(
+        start, f"cell int, chunk int, _qids array<{kq}>, _qv {good.schema['_f'].dataType.simpleString()}, _bound array<double>, _cells array<int>"))
+    # few reads of the training side by each task: a query has k rows for each of them
+    reads = max(1, -(-n * width // 8_000_000))
+    pairs = asking.crossJoin(packed.drop("_radius", "block").coalesce(reads).hint("shuffle_replicate_nl")).where(F.array_contains("_cells", F.col("_cell")))
     best = Window.partitionBy(query_id).orderBy("dist", train_id)
-    top = lambda d: d.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-    qschema = f"{query_id} {kq}, _f array<double>, cell int"
-    at_home = settle(good.mapInPandas(home, qschema))
-    found = settle(top(nearest(at_home)).drop("_r"))
-    if m > 1:
-        kth = found.groupBy(query_id).agg(
-            F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("_kth")
-        )
-        more = settle(at_home.join(kth, query_id, "left").mapInPandas(others, qschema))
-        found = top(found.unionByName(nearest(more))).drop("_r")
+    found = pairs.drop("_cells").mapInArrow(search, f"`{query_id}` {kq}, `{train_id}` {kt}, dist double")
+    found = settle(found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))
     w = F.lit(1.0) if weights == "uniform" else inverse_distance("dist")
     hit = found.join(train.select(train_id, *[F.col(t).cast("double") for t in targets]), train_id).withColumn("_w", w)
     mean = hit.groupBy(query_id).agg(F.sum("_w").alias("_tw"), *[(F.sum(F.col("_w") * F.col(t)) / F.sum("_w")).alias(f"_m_{t}") for t in targets])
