@@ -35,3 +35,7 @@ def knn(spark, weights):
 
 def test_knn_writes_no_query_for_each_group(spark):
     assert max(knn(spark, "uniform")) <= 3 * 300
+
+
+def test_knn_by_distance_writes_no_query_for_each_group(spark):
+    assert max(knn(spark, "distance")) <= 3 * 300
